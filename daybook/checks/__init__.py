@@ -4,7 +4,15 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("commit_checks",)
+MODULES = (
+    "commit_checks",
+    "text_checks",
+    "history_checks",
+    "usage_checks",
+    "log_checks",
+    "answer_checks",
+    "settings_checks",
+)
 
 
 def all_queries() -> tuple[dict, dict]:

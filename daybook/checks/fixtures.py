@@ -225,5 +225,5 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def with_inputs(*names: str, then: str, tables: dict[str, str] | None = None) -> str:
     """Oracle SQL: the named inputs and further tables as common tables, then the statement."""
     parts = {n: for_duckdb(n) for n in names} | (tables or {})
-    head = ",\n".join(f"{n} AS ({sql})" for n, sql in parts.items())
+    head = ",\n".join(f"{n} AS MATERIALIZED ({sql})" for n, sql in parts.items())
     return f"WITH RECURSIVE {head}\n{then}" if parts else then

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from daybook import rules
@@ -57,11 +57,15 @@ def _has_clue(c: Column, clues: tuple[str, ...]) -> Column:
     return reduce(lambda a, b: a | b, tests)
 
 
+def _literal(replacement: str) -> str:
+    return replacement.replace("\\", "\\\\").replace("$", "\\$")
+
+
 def redact(c: Column | str) -> Column:
     """Replace secrets and internal network names in a short text, rule after rule.
 
     One nested expression, so it fits inside a printed line.  For long texts use
-    ``redact_columns``, which skips the rules a text holds no clue for.
+    ``redact_counted``, which skips the rules a text holds no clue for.
     """
     text = col(c)
     for replacement, pattern in rules.REDACTIONS:
@@ -69,30 +73,29 @@ def redact(c: Column | str) -> Column:
     return text
 
 
-def _literal(replacement: str) -> str:
-    return replacement.replace("\\", "\\\\").replace("$", "\\$")
+def _redaction_step(pattern: str, replacement: str, clues: tuple[str, ...]):
+    def step(s: Column) -> Column:
+        text, clue = s["text"], _has_clue(s["text"], clues)
+        found = F.when(clue, F.regexp_count(text, F.lit(pattern))).otherwise(0)
+        changed = F.when(clue, F.regexp_replace(text, pattern, replacement)).otherwise(text)
+        return F.struct(changed.alias("text"), (s["hits"] + found).alias("hits"))
+
+    return step
 
 
-def redact_columns(df: DataFrame, source: str, text_out: str, hits_out: str) -> DataFrame:
-    """Add the redacted text and the number of hits.
+def redact_counted(c: Column | str) -> Column:
+    """Struct of the redacted ``text`` and its number of ``hits``.
 
-    A rule counts its hits on the text the rules before it left, so text and count
-    advance together, one projection per rule.  A rule runs only where the text holds
-    its literal clue: ordinary text costs a few byte searches and no pattern matching.
+    A rule counts its hits on the text the rules before it left, so each step needs
+    the last step's result several times.  The one-element array gives that result a
+    name; written out instead, ten steps would grow into millions of terms as soon as
+    someone filters on the outcome.  A rule runs only where the text holds its literal
+    clue: ordinary text costs a few byte searches and no pattern matching.
     """
-    out = df.withColumns({text_out: F.col(source), hits_out: F.lit(0)})
+    state = F.array(F.struct(col(c).alias("text"), F.lit(0).alias("hits")))
     for (replacement, pattern), clues in zip(rules.REDACTIONS, rules.REDACTION_CLUES, strict=True):
-        clue = _has_clue(F.col(text_out), clues)
-        hits = F.when(clue, F.regexp_count(F.col(text_out), F.lit(pattern))).otherwise(0)
-        out = out.withColumns(
-            {
-                hits_out: F.col(hits_out) + hits,
-                text_out: F.when(
-                    hits > 0, F.regexp_replace(F.col(text_out), pattern, _literal(replacement))
-                ).otherwise(F.col(text_out)),
-            }
-        )
-    return out
+        state = F.transform(state, _redaction_step(pattern, _literal(replacement), clues))
+    return F.get(state, F.lit(0))
 
 
 def error_clean(message: Column | str, error_class: Column | str | None = None) -> Column:
