@@ -38,16 +38,35 @@ def changed_path(a_path: Column | str, b_path: Column | str) -> Column:
 
 
 def path_module(path: Column | str) -> Column:
-    """Second part of a path with three parts or more, else the first part."""
+    """Second part of a path with three parts or more, else the first part.
+
+    Empty and ``.`` parts do not count, and a leading slash is a part of its own.
+    Ordinary paths take the first branch, which needs no pattern and no array.
+    """
     p = col(path)
-    root = (
-        F.when(p.rlike("^//(?!/)"), F.array(F.lit("//")))
-        .when(p.startswith("/"), F.array(F.lit("/")))
-        .otherwise(F.array().cast("array<string>"))
+    odd = (
+        p.startswith("/")
+        | p.startswith("./")
+        | p.endswith("/")
+        | p.endswith("/.")
+        | p.contains("//")
+        | p.contains("/./")
+        | p.isin("", ".")
+    )
+    first_two = F.substring_index(p, "/", 2)
+    ordinary = F.when(first_two != p, F.substring_index(first_two, "/", -1)).otherwise(
+        F.substring_index(p, "/", 1)
+    )
+    tidy = F.regexp_replace(F.regexp_replace(p, r"^\.$|(?<=/|^)(?:\./|/)|/\.$", ""), "/$", "")
+    names = F.split(tidy, "/")
+    root = F.when(p.rlike("^//(?!/)"), "//").otherwise("/")
+    absolute = F.when(F.size(names) >= 2, F.get(names, F.lit(0))).otherwise(root)
+    relative = F.get(names, F.when(F.size(names) >= 3, 1).otherwise(0))
+    return (
+        F.when(~odd, ordinary)
+        .when(p.startswith("/"), absolute)
+        .otherwise(F.nullif(relative, F.lit("")))
     )
-    names = F.filter(F.split(p, "/"), lambda x: (x != "") & (x != "."))
-    parts = F.concat(root, names)
-    return F.when(F.size(parts) >= 3, F.get(parts, 1)).otherwise(F.get(parts, 0))
 
 
 def modules(paths: Column | str) -> Column:

@@ -15,56 +15,55 @@ from daybook.functions.text import col
 FIELDS = "map<string,variant>"
 
 
-def is_json_object(line: Column | str) -> Column:
-    """True for a line that parses as JSON and is an object."""
+def event_fields(line: Column | str) -> Column:
+    """Field map of a line that is a JSON object (names in order), null for any other line."""
     text = F.trim(col(line), F.lit(" \t\r\n"))
-    shaped = text.startswith("{") & text.endswith("}")
-    return F.coalesce(shaped & F.try_parse_json(col(line)).isNotNull(), F.lit(False))
+    shaped = F.when(text.startswith("{") & text.endswith("}"), text)
+    return F.try_parse_json(shaped).try_cast(FIELDS)
 
 
-def event_fields(line: Column | str) -> Column:
-    """Field map of an object line, null for any other line."""
-    return F.when(is_json_object(line), F.try_parse_json(col(line)).cast(FIELDS))
+def is_json_object(line: Column | str) -> Column:
+    return event_fields(line).isNotNull()
 
 
 def field_text(fields: Column | str, name: str) -> Column:
-    """One field as text, ``''`` when absent."""
-    return F.coalesce(value_text(F.try_element_at(col(fields), F.lit(name))), F.lit(""))
+    """One plain field as text, ``''`` when absent."""
+    return F.coalesce(F.try_element_at(col(fields), F.lit(name)).try_cast("string"), F.lit(""))
 
 
-def value_text(value: Column) -> Column:
-    """A field value as it is printed: True, None, [..] with quoted texts, else plain."""
-    kind = F.schema_of_variant(value)
-    items = F.transform(value.try_cast("array<variant>"), _item_text)
-    listed = F.concat(F.lit("["), F.array_join(items, ", "), F.lit("]"))
-    return (
-        F.when(kind == "BOOLEAN", F.initcap(value.try_cast("string")))
-        .when(kind == "VOID", "None")
-        .when(kind.startswith("ARRAY"), listed)
-        .when(kind.startswith("OBJECT"), F.to_json(value))
-        .otherwise(value.try_cast("string"))
+def printed_fields(fields: Column | str, leave_out: tuple[str, ...]) -> Column:
+    """Array of ``name=value`` texts in name order.
+
+    Values print as True, None, [..] with quoted texts, or plain.  Each value is turned
+    into JSON text once; its first character tells what it is.
+    """
+    shown = F.map_filter(col(fields), lambda k, _: ~k.isin(*leave_out))
+    read = F.transform(
+        F.map_entries(shown),
+        lambda e: F.struct(e["key"].alias("k"), e["value"].alias("v"), F.to_json(e["value"]).alias("j")),
     )
+    return F.transform(read, lambda e: F.concat(e["k"], F.lit("="), _printed(e["v"], e["j"])))
 
 
-def _item_text(value: Column) -> Column:
-    kind = F.schema_of_variant(value)
-    text = value.try_cast("string")
-    return (
-        F.when(kind == "STRING", F.concat(F.lit("'"), text, F.lit("'")))
-        .when(kind == "BOOLEAN", F.initcap(text))
-        .when(kind == "VOID", "None")
-        .when(kind.startswith("ARRAY") | kind.startswith("OBJECT"), F.to_json(value))
-        .otherwise(text)
+def _printed(value: Column, as_json: Column) -> Column:
+    items = F.transform(
+        value.try_cast("array<variant>"),
+        lambda v: F.struct(v.alias("v"), F.to_json(v).alias("j")),
     )
+    listed = F.transform(items, lambda i: _plain(i["v"], i["j"], quote="'"))
+    return F.when(
+        as_json.startswith("["), F.concat(F.lit("["), F.array_join(listed, ", "), F.lit("]"))
+    ).otherwise(_plain(value, as_json))
 
 
-def sorted_json(fields: Column | str) -> Column:
-    """Field map as JSON text with sorted keys."""
-    entries = F.array_sort(F.map_keys(col(fields)))
-    return F.to_json(
-        F.map_from_arrays(
-            entries, F.transform(entries, lambda k: F.try_element_at(col(fields), k))
-        )
+def _plain(value: Column, as_json: Column, quote: str = "") -> Column:
+    text = F.concat(F.lit(quote), value.try_cast("string"), F.lit(quote))
+    return (
+        F.when(as_json.startswith('"'), text)
+        .when(as_json == "true", "True")
+        .when(as_json == "false", "False")
+        .when(as_json == "null", "None")
+        .otherwise(as_json)
     )
 
 
@@ -87,13 +86,9 @@ def redact_fields(fields: Column | str) -> Column:
     )
 
 
-def has_nested_fields(fields: Column | str) -> Column:
-    """True when a value under a plain key is, or holds, an object."""
-
-    def nested(k: Column, v: Column) -> Column:
-        return (key_kind(k) == "plain") & F.schema_of_variant(v).contains("OBJECT")
-
-    return F.size(F.map_filter(col(fields), nested)) > 0
+def may_nest(line: Column | str) -> Column:
+    """True when a brace follows the opening one: the only lines that can hold objects."""
+    return F.locate("{", F.trim(col(line), F.lit(" \t\r\n")), 2) > 0
 
 
 def _hide(key: str, value):

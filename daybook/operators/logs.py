@@ -22,37 +22,37 @@ def tail(lines: DataFrame, limit: int = 20, seq: str = "seq") -> DataFrame:
     return last.filter(fe.is_json_object("line")).orderBy(seq)
 
 
+def _read(lines: DataFrame) -> DataFrame:
+    """Object lines with their field map.
+
+    Exploding the map or nothing drops the other lines with one parse per line; a
+    filter on the map would be pushed down and parse every line again.
+    """
+    found = F.array_compact(F.array(fe.event_fields("line")))
+    return lines.select("*", F.explode(found).alias("_fields"))
+
+
 def view(lines: DataFrame) -> DataFrame:
     """Printed listing of object lines: clock time, event, up to 120 characters of detail."""
-    read = lines.withColumn("_fields", fe.event_fields("line")).filter("_fields is not null")
-    names = F.filter(
-        F.array_sort(F.map_keys("_fields")), lambda k: ~k.isin("ts", "event", "level")
-    )
-    pairs = F.transform(
-        names,
-        lambda k: F.concat(k, F.lit("="), fe.value_text(F.try_element_at("_fields", k))),
-    )
-    return read.select(
+    details = fe.printed_fields("_fields", ("ts", "event", "level"))
+    return _read(lines).select(
         "seq",
         F.substring(fe.field_text("_fields", "ts"), 12, 8).alias("time"),
         fe.field_text("_fields", "event").alias("event"),
-        F.left(F.array_join(pairs, ", "), F.lit(120)).alias("detail"),
+        F.left(F.array_join(details, ", "), F.lit(120)).alias("detail"),
     )
 
 
 def redact(lines: DataFrame) -> DataFrame:
     """Object lines with sensitive fields hidden and keys sorted; other lines are dropped.
 
-    Flat lines stay inside Spark's expressions; lines with objects inside objects go
-    through the Python walker.
+    Flat lines stay inside Spark's expressions; lines that may hold objects inside
+    objects go through the Python walker.
     """
-    read = lines.withColumn("_fields", fe.event_fields("line")).filter("_fields is not null")
-    flat = fe.sorted_json(fe.redact_fields("_fields"))
-    nested = read.withColumn("_nested", fe.has_nested_fields("_fields"))
-    walked = nested.withColumn(
-        "_walked", fe.redact_nested_json(F.when(F.col("_nested"), F.col("line")))
-    )
-    return walked.select("seq", F.coalesce("_walked", flat).alias("line"))
+    flat = F.when(~fe.may_nest("line"), F.to_json(fe.redact_fields("_fields")))
+    read = _read(lines).select("seq", "line", flat.alias("_flat"))
+    walked = fe.redact_nested_json(F.when(F.col("_flat").isNull(), F.col("line")))
+    return read.select("seq", F.coalesce("_flat", walked).alias("line"))
 
 
 def _field(name: str, value: Column, kind: T.DataType) -> Column:
