@@ -7,8 +7,9 @@ types, so the checks read the variant itself rather than a typed struct.
 from __future__ import annotations
 
 import json
+from dataclasses import dataclass, replace
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from daybook import rules
@@ -26,68 +27,79 @@ def setting(doc: Column, path: str, default=MISSING) -> Column:
     return F.coalesce(found, F.parse_json(F.lit(json.dumps(default))))
 
 
-def kind(value: Column) -> Column:
-    return F.coalesce(F.schema_of_variant(value), F.lit("VOID"))
+@dataclass(frozen=True)
+class Value:
+    """A JSON value with its kind, its text and, where asked for, its whole number."""
 
+    raw: Column
+    kind: Column
+    text: Column
+    number: Column | None = None
 
-def is_object(value: Column) -> Column:
-    return kind(value).startswith("OBJECT")
+    def is_object(self) -> Column:
+        return self.kind.startswith("OBJECT")
 
+    def is_list(self) -> Column:
+        return self.kind.startswith("ARRAY")
 
-def is_list(value: Column) -> Column:
-    return kind(value).startswith("ARRAY")
+    def is_text(self) -> Column:
+        return self.kind == "STRING"
 
 
-def text_of(value: Column) -> Column:
+def value_of(raw: Column) -> Value:
+    return Value(raw, F.coalesce(F.schema_of_variant(raw), F.lit("VOID")), raw.try_cast("string"))
+
+
+def printed(value: Value) -> Column:
     """The value as printed text."""
-    plain = value.try_cast("string")
     return (
-        F.when(kind(value) == "VOID", "None")
-        .when(kind(value) == "BOOLEAN", F.initcap(plain))
-        .when(is_object(value) | is_list(value), F.to_json(value))
-        .otherwise(plain)
+        F.when(value.kind == "VOID", "None")
+        .when(value.kind == "BOOLEAN", F.initcap(value.text))
+        .when(value.is_object() | value.is_list(), F.to_json(value.raw))
+        .otherwise(value.text)
     )
 
 
-def quoted(value: Column) -> Column:
+def quoted(value: Value) -> Column:
     """The value as it is shown in a message: texts in quotes."""
-    text = value.try_cast("string")
+    text = value.text
     escaped = F.replace(text, F.lit("\\"), F.lit("\\\\"))
-    single = F.concat(
-        F.lit("'"), F.replace(escaped, F.lit("'"), F.lit("\\'")), F.lit("'")
-    )
+    single = F.concat(F.lit("'"), F.replace(escaped, F.lit("'"), F.lit("\\'")), F.lit("'"))
     double = F.concat(F.lit('"'), escaped, F.lit('"'))
     shown = F.when(text.contains("'") & ~text.contains('"'), double).otherwise(single)
-    return F.when(kind(value) == "STRING", shown).otherwise(text_of(value))
+    return F.when(value.is_text(), shown).otherwise(printed(value))
 
 
-def whole(value: Column) -> Column:
+def whole(value: Value) -> Column:
     """Whole number of a JSON value, null where it has none; fractions are cut off."""
-    k = kind(value)
-    number = value.try_cast("decimal(38,6)")
+    number = value.text.try_cast("decimal(38,6)")
     return (
-        F.when(k == "STRING", parse_int(value.try_cast("string")))
-        .when(k == "BOOLEAN", F.when(value.try_cast("boolean"), 1).otherwise(0))
+        F.when(value.is_text(), parse_int(value.text))
+        .when(value.kind == "BOOLEAN", F.when(value.text == "true", 1).otherwise(0))
         .when(
-            k.rlike("INT|DECIMAL|DOUBLE|FLOAT"),
+            value.kind.rlike("INT|DECIMAL|DOUBLE|FLOAT"),
             F.when(number >= 0, F.floor(number)).otherwise(F.ceil(number)),
         )
         .cast("decimal(38,0)")
     )
 
 
-def whole_or_zero(value: Column) -> Column:
-    """Like ``whole``, but empty values count as 0."""
-    empty = (
-        (kind(value) == "VOID")
-        | F.coalesce(value.try_cast("string") == "", F.lit(False))
-        | F.to_json(value).isin("[]", "{}")
-    )
-    return F.when(F.coalesce(empty, F.lit(True)), F.lit(0).cast("decimal(38,0)")).otherwise(
-        whole(value)
+def is_empty(value: Value) -> Column:
+    """Null, ``""``, false, 0, ``[]`` or ``{}``."""
+    return (
+        F.when(value.kind == "VOID", True)
+        .when(value.is_text(), value.text == "")
+        .when(value.kind == "BOOLEAN", value.text == "false")
+        .when(value.is_object() | value.is_list(), F.to_json(value.raw).isin("[]", "{}"))
+        .otherwise(value.text.try_cast("double") == 0)
     )
 
 
+def whole_or_zero(value: Value) -> Column:
+    """Like ``whole``, but empty values count as 0."""
+    return F.when(is_empty(value), F.lit(0).cast("decimal(38,0)")).otherwise(whole(value))
+
+
 def message_when(bad: Column, *parts: Column | str) -> Column:
     texts = [F.lit(p) if isinstance(p, str) else p for p in parts]
     return F.when(F.coalesce(bad, F.lit(False)), F.concat(*texts))
@@ -103,20 +115,21 @@ def _names(words) -> str:
     return "(" + ", ".join(f"'{w}'" for w in words) + ")"
 
 
-def boolean_error(value: Column, name: str) -> Column:
-    return message_when(kind(value) != "BOOLEAN", f"{name} must be a boolean.")
+def boolean_error(value: Value, name: str) -> Column:
+    return message_when(value.kind != "BOOLEAN", f"{name} must be a boolean.")
 
 
-def range_error(value: Column, number: Column, name: str, low: int, high: int) -> Column:
+def range_error(value: Value, name: str, low: int, high: int) -> Column:
     """Not a whole number, or outside the range."""
+    number = value.number
     return F.coalesce(
         message_when(number.isNull(), f"{name} must be an integer, got: ", quoted(value)),
         message_when((number < low) | (number > high), f"{name} must be between {low} and {high}."),
     )
 
 
-def hours_error(value: Column) -> Column:
-    number = whole(value)
+def hours_error(value: Value) -> Column:
+    number = value.number
     return F.coalesce(
         message_when(number.isNull(), "hours_lookback must be an integer, got: ", quoted(value)),
         message_when(
@@ -127,29 +140,28 @@ def hours_error(value: Column) -> Column:
     )
 
 
-def email_error(value: Column) -> Column:
-    text = text_of(value)
-    empty = (kind(value) == "STRING") & (text == "")
+def email_error(value: Value) -> Column:
+    empty = value.is_text() & (value.text == "")
     return message_when(
-        ~empty & ~text.rlike(rules.EMAIL), "author_email: Invalid email format: ", quoted(value)
+        ~empty & ~printed(value).rlike(rules.EMAIL),
+        "author_email: Invalid email format: ",
+        quoted(value),
     )
 
 
-def tone_error(value: Column) -> Column:
-    text = F.lower(strip(value.try_cast("string")))
-    not_text = kind(value) != "STRING"
+def tone_error(value: Value) -> Column:
     return F.coalesce(
-        message_when(not_text, "tone: tone must be a string, got: ", type_word(value)),
+        message_when(~value.is_text(), "tone: tone must be a string, got: ", type_word(value)),
         message_when(
-            ~text.isin(*rules.TONES),
+            ~F.lower(strip(value.text)).isin(*rules.TONES),
             f"tone: tone must be one of {_names(rules.TONES)}, got: ",
             quoted(value),
         ),
     )
 
 
-def type_word(value: Column) -> Column:
-    k = kind(value)
+def type_word(value: Value) -> Column:
+    k = value.kind
     return (
         F.when(k == "VOID", "NoneType")
         .when(k == "BOOLEAN", "bool")
@@ -161,93 +173,86 @@ def type_word(value: Column) -> Column:
     )
 
 
-def webhook_error(value: Column) -> Column:
-    text = text_of(value)
+def webhook_error(value: Value) -> Column:
+    empty = value.is_text() & (value.text == "")
     return message_when(
-        (text != "") & ~text.startswith(rules.WEBHOOK_PREFIX),
+        ~empty & ~printed(value).startswith(rules.WEBHOOK_PREFIX),
         f"slack_webhook_url: slack_webhook_url must start with '{rules.WEBHOOK_PREFIX}', got: ",
         quoted(value),
     )
 
 
-def rate_limit_error(block: Column) -> Column:
-    cooldown, calls = setting(block, "cooldown_minutes"), setting(block, "max_calls_per_day")
+def rate_limit_error(v: dict[str, Value]) -> Column:
     inside = [
-        boolean_error(setting(block, "enabled"), "rate_limit.enabled"),
-        range_error(cooldown, whole_or_zero(cooldown), "rate_limit.cooldown_minutes", 0, 1440),
-        range_error(calls, whole_or_zero(calls), "rate_limit.max_calls_per_day", 1, 50),
+        boolean_error(v["rate_enabled"], "rate_limit.enabled"),
+        range_error(v["cooldown"], "rate_limit.cooldown_minutes", 0, 1440),
+        range_error(v["max_calls"], "rate_limit.max_calls_per_day", 1, 50),
     ]
     return F.when(
-        ~is_object(block), "rate_limit: rate_limit must be a JSON object."
+        ~v["rate_limit"].is_object(), "rate_limit: rate_limit must be a JSON object."
     ).otherwise(joined(inside, "rate_limit: "))
 
 
-def quality_error(block: Column) -> Column:
-    score = setting(block, "min_score")
+def quality_error(v: dict[str, Value]) -> Column:
     inside = [
-        boolean_error(setting(block, "enabled"), "quality.enabled"),
-        boolean_error(setting(block, "show_breakdown"), "quality.show_breakdown"),
-        range_error(score, whole_or_zero(score), "quality.min_score", 0, 100),
+        boolean_error(v["quality_enabled"], "quality.enabled"),
+        boolean_error(v["show_breakdown"], "quality.show_breakdown"),
+        range_error(v["min_score"], "quality.min_score", 0, 100),
     ]
-    return F.when(~is_object(block), "quality: quality must be a JSON object.").otherwise(
-        joined(inside, "quality: ")
-    )
+    return F.when(
+        ~v["quality"].is_object(), "quality: quality must be a JSON object."
+    ).otherwise(joined(inside, "quality: "))
 
 
-def provider_error(block: Column) -> Column:
-    name = setting(block, "name", "")
-    local, cloud = setting(block, "ollama", {}), setting(block, "groq", {})
-    url, key = setting(local, "base_url", ""), setting(cloud, "api_key", "")
+def provider_error(v: dict[str, Value]) -> Column:
+    name, local, cloud, key = v["provider_name"], v["ollama"], v["groq"], v["api_key"]
 
-    def model_error(owner: Column, label: str) -> Column:
-        model = setting(owner, "model", "")
-        bad = (kind(model) != "STRING") | is_blank(model.try_cast("string"))
+    def model_error(owner: Value, model: Value, label: str) -> Column:
+        bad = ~model.is_text() | is_blank(model.text)
         return message_when(
-            is_object(owner) & bad, f"provider.{label}.model must be a non-empty string."
+            owner.is_object() & bad, f"provider.{label}.model must be a non-empty string."
         )
 
-    key_given = ~F.to_json(key).isin('""', "null", "0", "false", "[]", "{}")
-    key_bad = (kind(key) != "STRING") | ~key.try_cast("string").startswith(rules.API_KEY_PREFIX)
+    key_bad = ~key.is_text() | ~key.text.startswith(rules.API_KEY_PREFIX)
     inside = [
-        message_when(~is_object(local), "provider.ollama must be a JSON object."),
+        message_when(~local.is_object(), "provider.ollama must be a JSON object."),
         message_when(
-            is_object(local) & ~text_of(url).rlike(rules.BASE_URL),
+            local.is_object() & ~printed(v["base_url"]).rlike(rules.BASE_URL),
             "provider.ollama.base_url must be a valid URL, got: ",
-            quoted(url),
+            quoted(v["base_url"]),
         ),
-        model_error(local, "ollama"),
-        message_when(~is_object(cloud), "provider.groq must be a JSON object."),
-        model_error(cloud, "groq"),
+        model_error(local, v["ollama_model"], "ollama"),
+        message_when(~cloud.is_object(), "provider.groq must be a JSON object."),
+        model_error(cloud, v["groq_model"], "groq"),
         message_when(
-            is_object(cloud) & key_given & key_bad,
+            cloud.is_object() & ~is_empty(key) & key_bad,
             "provider.groq.api_key must start with 'gsk_' when provided.",
         ),
     ]
     unknown = message_when(
-        ~((kind(name) == "STRING") & text_of(name).isin(*rules.PROVIDERS)),
+        ~(name.is_text() & name.text.isin(*rules.PROVIDERS)),
         f"provider: provider.name must be one of {_names(rules.PROVIDERS)}, got: ",
         quoted(name),
     )
-    return F.when(~is_object(block), "provider: provider must be a JSON object.").otherwise(
-        F.coalesce(unknown, joined(inside, "provider: "))
-    )
+    return F.when(
+        ~v["provider"].is_object(), "provider: provider must be a JSON object."
+    ).otherwise(F.coalesce(unknown, joined(inside, "provider: ")))
 
 
-def template_name_error(value: Column, custom: Column) -> Column:
-    own = F.coalesce(F.map_keys(custom.try_cast("map<string,variant>")), F.array())
+def template_name_error(value: Value, custom: Value) -> Column:
+    own = F.coalesce(F.map_keys(custom.raw.try_cast("map<string,variant>")), F.array())
     builtin = F.array(*[F.lit(name) for name, _ in rules.BUILTIN_TEMPLATES])
-    available = F.array_sort(F.array_union(builtin, own.cast("array<string>")))
-    text = value.try_cast("string")
+    available = F.array_union(builtin, own.cast("array<string>"))
     shown = F.array_join(
-        F.transform(available, lambda n: F.concat(F.lit("'"), n, F.lit("'"))), ", "
+        F.transform(F.array_sort(available), lambda n: F.concat(F.lit("'"), n, F.lit("'"))), ", "
     )
     return F.coalesce(
         message_when(
-            (kind(value) != "STRING") | is_blank(text),
+            ~value.is_text() | is_blank(value.text),
             "template: template must be a non-empty string.",
         ),
         message_when(
-            ~F.array_contains(available, text),
+            ~F.array_contains(available, value.text),
             "template: template must be one of [",
             shown,
             "], got: ",
@@ -256,11 +261,11 @@ def template_name_error(value: Column, custom: Column) -> Column:
     )
 
 
-def custom_templates_error(block: Column) -> Column:
-    entries = F.map_entries(block.try_cast("map<string,variant>"))
+def custom_templates_error(block: Value) -> Column:
+    entries = F.map_entries(block.raw.try_cast("map<string,variant>"))
 
     def one(e: Column) -> Column:
-        body = F.when(kind(e["value"]) == "STRING", e["value"].try_cast("string"))
+        body = F.when(F.schema_of_variant(e["value"]) == "STRING", e["value"].try_cast("string"))
         problem = template_error(body)
         return F.coalesce(
             message_when(
@@ -268,15 +273,13 @@ def custom_templates_error(block: Column) -> Column:
                 "custom_templates keys must use letters, numbers, underscores, "
                 "or dashes (max 50 chars).",
             ),
-            message_when(
-                problem != "", "custom_templates.", e["key"], F.lit(": "), problem
-            ),
+            message_when(problem != "", "custom_templates.", e["key"], F.lit(": "), problem),
         )
 
     found = F.array_compact(F.transform(entries, one))
     return (
         F.when(
-            ~is_object(block), "custom_templates: custom_templates must be a JSON object."
+            ~block.is_object(), "custom_templates: custom_templates must be a JSON object."
         )
         .when(
             F.size(entries) > rules.MAX_CUSTOM_TEMPLATES,
@@ -290,49 +293,105 @@ def custom_templates_error(block: Column) -> Column:
     )
 
 
-def repos_errors(value: Column) -> Column:
+def repos_errors(value: Value) -> Column:
     """One message per bad entry."""
-    items = value.try_cast("array<variant>")
+    items = value.raw.try_cast("array<variant>")
 
     def one(v: Column) -> Column:
-        bad = (kind(v) != "STRING") | is_blank(v.try_cast("string"))
-        return message_when(bad, "repos: each entry must be a non-empty string.")
+        bad = (F.schema_of_variant(v) != "STRING") | is_blank(v.try_cast("string"))
+        return message_when(
+            F.coalesce(bad, F.lit(True)), "repos: each entry must be a non-empty string."
+        )
 
-    return F.when(~is_list(value), F.array(F.lit("repos must be a JSON array."))).otherwise(
+    return F.when(~value.is_list(), F.array(F.lit("repos must be a JSON array."))).otherwise(
         F.array_compact(F.transform(items, one))
     )
 
 
-def settings_errors(doc: Column) -> Column:
+# name: path, value where the key is absent
+SETTINGS = {
+    "repos": ("repos", []),
+    "email": ("author_email", ""),
+    "hours": ("hours_lookback", 24),
+    "tone": ("tone", "casual"),
+    "webhook": ("slack_webhook_url", ""),
+    "provider": ("provider", {}),
+    "provider_name": ("provider.name", ""),
+    "ollama": ("provider.ollama", {}),
+    "base_url": ("provider.ollama.base_url", ""),
+    "ollama_model": ("provider.ollama.model", ""),
+    "groq": ("provider.groq", {}),
+    "groq_model": ("provider.groq.model", ""),
+    "api_key": ("provider.groq.api_key", ""),
+    "rate_limit": ("rate_limit", {}),
+    "rate_enabled": ("rate_limit.enabled", MISSING),
+    "cooldown": ("rate_limit.cooldown_minutes", MISSING),
+    "max_calls": ("rate_limit.max_calls_per_day", MISSING),
+    "quality": ("quality", {"enabled": True, "min_score": 0, "show_breakdown": False}),
+    "template": ("template", "default"),
+    "custom": ("custom_templates", {}),
+    "noise_filter": ("noise_filter_enabled", True),
+    "auto_warm_up": ("auto_warm_up", False),
+}
+# read from the quality block itself, which has a default as a whole
+QUALITY = {
+    "quality_enabled": "enabled",
+    "show_breakdown": "show_breakdown",
+    "min_score": "min_score",
+}
+NUMBERS = {
+    "hours": whole,
+    "cooldown": whole_or_zero,
+    "max_calls": whole_or_zero,
+    "min_score": whole_or_zero,
+}
+
+
+def with_values(documents: DataFrame, doc: str) -> tuple[DataFrame, dict[str, Value]]:
+    """Read every setting once into columns of its own, for rules that use it many times."""
+    out = documents.withColumns(
+        {f"_{n}": setting(F.col(doc), path, default) for n, (path, default) in SETTINGS.items()}
+    )
+    out = out.withColumns({f"_{n}": setting(F.col("_quality"), p) for n, p in QUALITY.items()})
+    names = [*SETTINGS, *QUALITY]
+    facts = {}
+    for n in names:
+        value = value_of(F.col(f"_{n}"))
+        facts |= {f"_{n}_kind": value.kind, f"_{n}_text": value.text}
+    out = out.withColumns(facts)
+    values = {
+        n: Value(F.col(f"_{n}"), F.col(f"_{n}_kind"), F.col(f"_{n}_text")) for n in names
+    }
+    out = out.withColumns({f"_{n}_number": read(values[n]) for n, read in NUMBERS.items()})
+    values |= {n: replace(values[n], number=F.col(f"_{n}_number")) for n in NUMBERS}
+    return out, values
+
+
+def settings_errors(v: dict[str, Value]) -> Column:
     """All messages of a settings document, in field order; empty when it is valid."""
-    repos = setting(doc, "repos", [])
-    hours = setting(doc, "hours_lookback", 24)
-    custom = setting(doc, "custom_templates", {})
     single = [
-        email_error(setting(doc, "author_email", "")),
-        F.concat(F.lit("hours_lookback: "), hours_error(hours)),
-        tone_error(setting(doc, "tone", "casual")),
-        webhook_error(setting(doc, "slack_webhook_url", "")),
-        provider_error(setting(doc, "provider", {})),
-        rate_limit_error(setting(doc, "rate_limit", {})),
-        quality_error(
-            setting(doc, "quality", {"enabled": True, "min_score": 0, "show_breakdown": False})
-        ),
-        template_name_error(setting(doc, "template", "default"), custom),
-        custom_templates_error(custom),
-        boolean_error(setting(doc, "noise_filter_enabled", True), "noise_filter_enabled"),
-        boolean_error(setting(doc, "auto_warm_up", False), "auto_warm_up"),
+        email_error(v["email"]),
+        F.concat(F.lit("hours_lookback: "), hours_error(v["hours"])),
+        tone_error(v["tone"]),
+        webhook_error(v["webhook"]),
+        provider_error(v),
+        rate_limit_error(v),
+        quality_error(v),
+        template_name_error(v["template"], v["custom"]),
+        custom_templates_error(v["custom"]),
+        boolean_error(v["noise_filter"], "noise_filter_enabled"),
+        boolean_error(v["auto_warm_up"], "auto_warm_up"),
         message_when(
-            F.size(repos.try_cast("array<variant>")) > rules.MAX_REPOS,
+            F.size(v["repos"].raw.try_cast("array<variant>")) > rules.MAX_REPOS,
             f"repos must contain at most {rules.MAX_REPOS} entries.",
         ),
         message_when(
-            F.size(custom.try_cast("map<string,variant>")) > rules.MAX_CUSTOM_TEMPLATES,
+            F.size(v["custom"].raw.try_cast("map<string,variant>")) > rules.MAX_CUSTOM_TEMPLATES,
             f"custom_templates must contain at most {rules.MAX_CUSTOM_TEMPLATES} entries.",
         ),
-        hours_error(hours),
+        hours_error(v["hours"]),
     ]
-    return F.concat(repos_errors(repos), F.array_compact(F.array(*single)))
+    return F.concat(repos_errors(v["repos"]), F.array_compact(F.array(*single)))
 
 
 def argument_errors(

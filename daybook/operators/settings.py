@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from daybook.functions.settings import settings_errors
+from daybook.functions.settings import settings_errors, with_values
 
 SECRET_LAYERS_FROM = 2  # keychain and environment rows count only when they hold a value
 
@@ -54,16 +54,13 @@ def validate(documents: DataFrame, document: str = "settings") -> DataFrame:
     doc = F.col(document)
     if documents.schema[document].dataType.typeName() == "string":
         doc = F.try_parse_json(doc)
-    held = documents.withColumn("_doc", doc)
+    held, values = with_values(documents.withColumn("_doc", doc), "_doc")
     is_object = F.coalesce(F.schema_of_variant("_doc").startswith("OBJECT"), F.lit(False))
-    errors = F.when(is_object, settings_errors(F.col("_doc"))).otherwise(
+    errors = F.when(is_object, settings_errors(values)).otherwise(
         F.array(F.lit("settings must be a JSON object."))
     )
-    return (
-        held.withColumn("errors", errors)
-        .withColumn("is_valid", F.size("errors") == 0)
-        .drop("_doc")
-    )
+    judged = held.select(*documents.columns, errors.alias("errors"))
+    return judged.withColumn("is_valid", F.size("errors") == 0)
 
 
 def split_valid(validated: DataFrame) -> tuple[DataFrame, DataFrame]:
