@@ -18,9 +18,11 @@ from pyspark.sql import types as T
 
 from daybook import rules
 from daybook.functions.limits import DAY_US, REASONS, LimitState, decide_sorted
+from daybook.operators.joins import for_every_salt, salted
 from daybook.session import checkpointed
 
 BIG_USER_ROWS = 5_000_000
+SALTS = 64  # parts a big user's day is split into
 
 
 def admit(
@@ -140,13 +142,14 @@ def _solve_big_users(
     """Exact decisions without ever meeting a user, or a user's day, in one task.
 
     Between two admitted calls the state stands still, so the next admitted call of a
-    day is the earliest call the present state lets in: a minimum, reduced before its
-    shuffle.  All days of all big users take that step together.  A day starts from
+    day is the earliest call the present state lets in: a minimum, taken first over
+    salted parts of the day and then over the parts.  All days of all big users take that step together.  A day starts from
     the state the day before left; days are first solved from a fresh state, then
     those whose real entry state matters and differs are solved again until none is
     left (at latest after as many turns as a user has days).
     """
-    rows = checkpointed(plan.withColumn("_day", F.floor(F.col("_at") / DAY_US)), checkpoint_dir)
+    dated = plan.withColumn("_day", F.floor(F.col("_at") / DAY_US))
+    rows = checkpointed(salted(dated, "_id", SALTS), checkpoint_dir)
     key = ["_user", "_day"]
     days = rows.groupBy(*key).agg(F.min("_at").alias("_first"))
     days = days.withColumns(
@@ -198,10 +201,12 @@ def _solve_days(rows, days, cooldown_us, cap, checkpoint_dir) -> DataFrame:
         behind = (F.size("_picks") == 0) | (at > place)
         allowed = F.col("_free") | (rested & (F.col("_used") < cap))
         step = (
-            rows.join(chains, key)
+            rows.join(for_every_salt(chains, SALTS), [*key, "_salt"])
             .filter(behind & allowed)
+            .groupBy(*key, "_salt")
+            .agg(F.min(F.struct("_at", "_id", "_done", "_ok")).alias("_n"))
             .groupBy(*key)
-            .agg(F.min(F.struct(F.col("_at"), F.col("_id"), F.col("_done"), F.col("_ok"))).alias("_n"))
+            .agg(F.min("_n").alias("_n"))
         )
         n = F.col("_n")
         last = F.when(n["_ok"], n["_done"]).otherwise(F.col("_last"))
@@ -251,7 +256,8 @@ def _decide_rows(
     rows: DataFrame, given: list[str], solved: DataFrame, cooldown_us: int
 ) -> DataFrame:
     """Every call against the last admitted call of its day in front of it."""
-    facts = rows.join(solved.select("_user", "_day", "_entry_last", "_picks"), ["_user", "_day"])
+    states = solved.select("_user", "_day", "_entry_last", "_picks")
+    facts = rows.join(for_every_salt(states, SALTS), ["_user", "_day", "_salt"])
     here = F.struct(F.col("_at").alias("at"), F.col("_id").alias("id"))
     earlier = F.filter(
         "_picks", lambda p: F.struct(p["at"].alias("at"), p["id"].alias("id")) < here

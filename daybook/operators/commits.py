@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from daybook import rules
 from daybook.functions import commits as fc
 from daybook.functions.text import strip, subject_line
+from daybook.operators.joins import apart
 from daybook.operators.times import before, literal_for
 
 
@@ -38,7 +39,8 @@ def lookback_strict_walk(
     shuffle, so no repository is ever sorted in one task.
     """
     cutoff = literal_for(df, ts, before(now, hours=hours))
-    stops = df.filter(F.col(ts) < cutoff).groupBy(repo).agg(F.min(seq).alias("_stop"))
+    older = df.filter(F.col(ts) < cutoff).groupBy(repo, apart([repo]))
+    stops = older.agg(F.min(seq).alias("_stop")).drop("_apart")
     inside = df.filter(F.col(ts) >= cutoff).join(stops, repo, "left")
     reached = F.col("_stop").isNull() | (F.col(seq) < F.col("_stop"))
     return inside.filter(reached).drop("_stop")
@@ -91,8 +93,8 @@ def drop_noise(df: DataFrame, run: Sequence[str], message: str = "message") -> D
     """
     flagged = df.withColumn("_noise", fc.is_noise(message))
     only_noise = (
-        flagged.groupBy(*run).agg(F.min("_noise").alias("_all")).filter(F.col("_all")).drop("_all")
-    )
+        flagged.groupBy(*run, apart(run)).agg(F.min("_noise").alias("_all")).filter("_all")
+    ).select(*run)
     kept = flagged.filter(~F.col("_noise"))
     rescued = flagged.filter("_noise").join(only_noise, list(run), "left_semi")
     return kept.unionByName(rescued.select(*kept.columns)).drop("_noise")

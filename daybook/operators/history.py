@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from daybook import rules
 from daybook.functions.text import col
+from daybook.operators.joins import apart
 from daybook.operators.times import before, literal_for
 
 REUSE_KEYS = ("commit_hash", "tone", "provider", "day")
@@ -49,7 +50,9 @@ def _latest_per_key(history: DataFrame) -> DataFrame:
     A ranked limit: each task keeps one row per key before the shuffle.
     """
     dated = history.withColumn("day", F.to_date("created_at"))
-    newest = Window.partitionBy(*REUSE_KEYS).orderBy(F.col("created_at").desc(), F.col("id").desc())
+    newest = Window.partitionBy(*REUSE_KEYS, apart(REUSE_KEYS)).orderBy(
+        F.col("created_at").desc(), F.col("id").desc()
+    )
     return dated.withColumn("_rank", F.row_number().over(newest)).filter("_rank = 1").drop("_rank")
 
 
@@ -73,8 +76,9 @@ def find_reusable(requests: DataFrame, history: DataFrame) -> DataFrame:
 def find_missing(requests: DataFrame, history: DataFrame) -> DataFrame:
     """Requests nothing can be reused for: the only ones to generate, limit and record."""
     wanted = requests.withColumn("day", F.to_date("requested_at"))
-    keys = history.withColumn("day", F.to_date("created_at")).select(*REUSE_KEYS).distinct()
-    return wanted.join(keys, list(REUSE_KEYS), "left_anti")
+    dated = history.withColumn("day", F.to_date("created_at"))
+    known = dated.select(*REUSE_KEYS, apart(REUSE_KEYS)).distinct().select(*REUSE_KEYS)
+    return wanted.join(known, list(REUSE_KEYS), "left_anti")
 
 
 def newest(history: DataFrame, limit: int = 10) -> DataFrame:
@@ -83,7 +87,7 @@ def newest(history: DataFrame, limit: int = 10) -> DataFrame:
     return history.orderBy(F.col("created_at").desc(), F.col("id").desc()).limit(n)
 
 
-def _newest_ranked(history: DataFrame, owner: Sequence[str]) -> DataFrame:
+def _newest_ranked(history: DataFrame, owner: Sequence[Column | str]) -> DataFrame:
     order = Window.partitionBy(*owner).orderBy(F.col("created_at").desc(), F.col("id").desc())
     return history.withColumn("_rank", F.row_number().over(order))
 
@@ -104,7 +108,7 @@ def beyond_ceiling(
     compared with one row and never sorted.
     """
     edge = (
-        _newest_ranked(history.select(*owner, "created_at", "id"), owner)
+        _newest_ranked(history.select(*owner, "created_at", "id"), [*owner, apart(owner)])
         .filter(F.col("_rank") == ceiling)
         .select(*owner, F.struct("created_at", "id").alias("_edge"))
     )
@@ -141,10 +145,12 @@ def stale_keys(
     Keys without a use, or with one that has no time, are stale as well.
     """
     ranked = _newest_ranked(history, owner).filter(F.col("_rank") <= rules.STALE_LOOKBACK_ROWS)
-    last = ranked.groupBy(*owner, *keys).agg(F.max("created_at").alias("last_used"))
+    names = [*owner, *keys]
+    last = ranked.groupBy(*names, apart(names)).agg(F.max("created_at").alias("last_used"))
+    last = last.drop("_apart")
     edge = literal_for(history, "created_at", before(now, minutes=rules.STALE_AFTER_MINUTES))
     stale = F.coalesce(F.col("last_used") < edge, F.lit(True))
-    return wanted.join(last, [*owner, *keys], "left").withColumn("stale", stale)
+    return wanted.join(last, names, "left").withColumn("stale", stale)
 
 
 def count_rows(history: DataFrame) -> DataFrame:

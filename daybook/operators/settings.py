@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from daybook.functions.settings import settings_errors, with_values
+from daybook.operators.joins import apart
 
 SECRET_LAYERS_FROM = 2  # keychain and environment rows count only when they hold a value
 
@@ -28,9 +29,13 @@ def resolve(layers: DataFrame, scope: str = "scope") -> DataFrame:
     )
     spread = latest.withColumn("_path", F.explode(path))
     own = F.col("_path") == F.col("key")
-    at_path = spread.groupBy(scope, "_path").agg(
-        F.max(F.when(own, F.col("_layer"))).alias("_as_value"),
-        F.max(F.when(~own, F.col("_layer"))).alias("_as_block"),
+    at_path = (
+        spread.groupBy(scope, "_path", apart([scope, "_path"]))
+        .agg(
+            F.max(F.when(own, F.col("_layer"))).alias("_as_value"),
+            F.max(F.when(~own, F.col("_layer"))).alias("_as_block"),
+        )
+        .drop("_apart")
     )
     over = F.when(own, F.col("_as_block")).otherwise(F.col("_as_value"))
     return (
