@@ -247,7 +247,7 @@ UNION ALL SELECT 'd' || doc_id, {q.classify(q.subject('text'))} FROM documents""
     ),
 )
 def classify(commits, documents):
-    return subject(commits, documents).select("id", fc.classify("subject").alias("type"))
+    return oc.annotate(subject(commits, documents), "subject").select("id", "type")
 
 
 @query(

@@ -11,9 +11,14 @@ from daybook.functions.text import col, is_blank, redact, strip
 
 def classify(message: Column | str) -> Column:
     """Commit type key: a conventional prefix wins, then the first matching hint."""
-    text = strip(message)
+    return classify_trimmed(strip(message))
+
+
+def classify_trimmed(text: Column | str) -> Column:
+    """``classify`` for a message already trimmed; on a column of its own, it is trimmed once."""
+    text = col(text)
     prefix = F.lower(F.regexp_extract(text, rules.CONVENTIONAL_PREFIX, 1))
-    out = F.when(is_blank(message), rules.UNKNOWN_TYPE).when(prefix != "", prefix)
+    out = F.when(F.coalesce(text, F.lit("")) == "", rules.UNKNOWN_TYPE).when(prefix != "", prefix)
     for name, pattern in rules.TYPE_HINTS:
         out = out.when(text.rlike("(?iu)" + pattern), name)
     return out.otherwise(rules.UNKNOWN_TYPE)

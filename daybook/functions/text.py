@@ -52,9 +52,12 @@ def response_truncated(c: Column | str) -> Column:
 # --- redaction ---------------------------------------------------------------
 
 
-def _has_clue(c: Column, clues: tuple[str, ...]) -> Column:
-    tests = [c.rlike(w) if w.startswith("(?") else c.contains(w) for w in clues]
-    return reduce(lambda a, b: a | b, tests)
+def _has_clue(text: Column, low: Column, groups: tuple[tuple[str, ...], ...]) -> Column:
+    def one_of(words: tuple[str, ...]) -> Column:
+        tests = [low.contains(w[1:]) if w.startswith("~") else text.contains(w) for w in words]
+        return reduce(lambda a, b: a | b, tests)
+
+    return reduce(lambda a, b: a & b, [one_of(g) for g in groups])
 
 
 def _literal(replacement: str) -> str:
@@ -73,31 +76,55 @@ def redact(c: Column | str) -> Column:
     return text
 
 
-def _redaction_step(pattern: str, replacement: str, clues: tuple[str, ...]):
-    def step(s: Column) -> Column:
-        text, clue = s["text"], _has_clue(s["text"], clues)
-        found = F.when(clue, F.regexp_count(text, F.lit(pattern))).otherwise(0)
-        changed = F.when(clue, F.regexp_replace(text, pattern, replacement)).otherwise(text)
-        return F.struct(changed.alias("text"), (s["hits"] + found).alias("hits"))
-
-    return step
-
-
 def redact_counted(c: Column | str) -> Column:
-    """Struct of the redacted ``text`` and its number of ``hits``.
+    """Struct with the redacted ``text`` and its number of ``hits``.
 
     A rule counts its hits on the text the rules before it left, so each step needs
     the last step's result several times.  The one-element array gives that result a
     name; written out instead, ten steps would grow into millions of terms as soon as
-    someone filters on the outcome.  A rule runs only where the text holds its literal
-    clue: ordinary text costs a few byte searches and no pattern matching.
+    someone filters on the outcome.
+
+    A rule runs only where the text held its literal clue at the start (a replacement
+    never brings a new one), so ordinary text costs a few byte searches and no
+    pattern matching; a replacement is made only where there was a hit.
     """
-    state = F.array(F.struct(col(c).alias("text"), F.lit(0).alias("hits")))
-    for (replacement, pattern), clues in zip(rules.REDACTIONS, rules.REDACTION_CLUES, strict=True):
-        state = F.transform(state, _redaction_step(pattern, _literal(replacement), clues))
+    named = F.array(F.struct(col(c).alias("text"), F.lower(col(c)).alias("low")))
+
+    def begin(s: Column) -> Column:
+        clues = [_has_clue(s["text"], s["low"], groups) for groups in rules.REDACTION_CLUES]
+        return F.struct(
+            s["text"].alias("text"), F.lit(0).alias("hits"), F.array(*clues).alias("clues")
+        )
+
+    state = F.transform(named, begin)
+    for rule, (replacement, pattern) in enumerate(rules.REDACTIONS):
+        state = F.transform(state, _counting(rule, pattern))
+        state = F.transform(state, _replacing(pattern, _literal(replacement)))
     return F.get(state, F.lit(0))
 
 
+def _counting(rule: int, pattern: str):
+    def step(s: Column) -> Column:
+        found = F.regexp_count(s["text"], F.lit(pattern))
+        found = F.when(F.get(s["clues"], F.lit(rule)), found).otherwise(0)
+        parts = [s[name].alias(name) for name in ("text", "hits", "clues")]
+        return F.struct(*parts, found.alias("found"))
+
+    return step
+
+
+def _replacing(pattern: str, replacement: str):
+    def step(s: Column) -> Column:
+        changed = F.regexp_replace(s["text"], pattern, replacement)
+        return F.struct(
+            F.when(s["found"] > 0, changed).otherwise(s["text"]).alias("text"),
+            (s["hits"] + s["found"]).alias("hits"),
+            s["clues"].alias("clues"),
+        )
+
+    return step
+
+
 def error_clean(message: Column | str, error_class: Column | str | None = None) -> Column:
     """User-facing text of an error: fixed sentence per known class, else scrubbed and capped."""
     text = strip(message)

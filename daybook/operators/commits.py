@@ -81,10 +81,19 @@ def with_subject(df: DataFrame, message: str = "message") -> DataFrame:
 
 def annotate(df: DataFrame, message: str = "message") -> DataFrame:
     """Add type key and emoji; no row is dropped."""
-    typed = df.withColumn("type", fc.classify(message))
+    typed = _with_type(df, message)
     return typed.withColumn("type_emoji", fc.type_attribute("type", 1))
 
 
+def _with_type(df: DataFrame, message: str, given: str | None = None) -> DataFrame:
+    """Add ``type``; a given type stays where it is not empty."""
+    kind = fc.classify_trimmed("_trimmed")
+    if given:
+        kind = F.coalesce(F.nullif(F.col(given), F.lit("")), kind)
+    trimmed = df.withColumn("_trimmed", strip(message))
+    return trimmed.withColumn("type", kind).drop("_trimmed")
+
+
 def drop_noise(df: DataFrame, run: Sequence[str], message: str = "message") -> DataFrame:
     """Rows that are no noise; a run with nothing else keeps all its rows.
 
@@ -113,10 +122,8 @@ def drop_noise_in_capped_runs(
 
 def count_by_type(df: DataFrame, keys: Sequence[str] = (), message: str = "message") -> DataFrame:
     """Rows per type; a missing or empty type is classified from the message."""
-    kind = fc.classify(message)
-    if "type" in df.columns:
-        kind = F.coalesce(F.nullif(F.col("type"), F.lit("")), kind)
-    return df.withColumn("type", kind).groupBy(*keys, "type").agg(F.count("*").alias("n"))
+    typed = _with_type(df, message, "type" if "type" in df.columns else None)
+    return typed.groupBy(*keys, "type").agg(F.count("*").alias("n"))
 
 
 # --- files -------------------------------------------------------------------

@@ -148,19 +148,20 @@ REDACTIONS = (
     ),
 )
 
-# What a text must contain for the rule in the same place to match at all.  Plain
-# text is searched byte-wise; an entry starting with "(?" is a pattern.
+# What a text must contain for the rule in the same place to match at all: one entry of
+# every group.  "~" looks in the lower-cased text.  The long s and the dotless and
+# dotted i are there because matching without case takes them for s and i.
 REDACTION_CLUES = (
-    ("=", ":"),
-    ("10.", "172.", "192.168."),
-    (r"(?iu)\.(?:local|internal|corp|lan)",),
-    (r"(?iu)bearer",),
-    ("ghp_", "github_pat_"),
-    ("sk-",),
-    ("gsk_",),
-    ("AKIA", "ASIA"),
-    ("xox",),
-    ("://",),
+    (("=", ":"), ("~pass", "~secret", "~token", "~key", "\u017f")),
+    (("10.", "172.", "192.168."),),
+    (("~.local", "~.internal", "~.corp", "~.lan", "\u0131", "\u0130"),),
+    (("~bearer",),),
+    (("ghp_", "github_pat_"),),
+    (("sk-",),),
+    (("gsk_",),),
+    (("AKIA", "ASIA"),),
+    (("xox",),),
+    (("://",),),
 )
 
 # --- fixed values: error texts -----------------------------------------------
