@@ -438,6 +438,33 @@ def prompt_text(commits, files):
     )
 
 
+_RECENT = q.CAPPED | {
+    "capped": q.CAPPED["capped"].replace(
+        "FROM commits c)",
+        f"""FROM commits c WHERE committed_at >= TIMESTAMP '{COMMITS_NOW}' - INTERVAL 720 HOUR
+    AND author_email IN ('u1@example.com', 'u2@example.com', 'u7@example.com'))""",
+    )
+}
+
+
+@query(
+    "recent_digest",
+    "commits",
+    "commit_files",
+    oracle=with_inputs(
+        "commits",
+        "commit_files",
+        tables=_RECENT | {"kept": q.KEPT} | q.digest_tables("kept"),
+        then="SELECT author_email, day, commits, digest, fingerprint FROM digests",
+    ),
+)
+def recent_digest(commits, files):
+    authors = ["u1@example.com", "u2@example.com", "u7@example.com"]
+    return daily.author_days(commits, files, COMMITS_NOW, 720, authors).select(
+        *RUN, "commits", "digest", "fingerprint"
+    )
+
+
 # Earlier answers for runs of one commit, so that some digests can be reused.
 _EARLIER = """SELECT o_orderkey AS id, o_orderdate + INTERVAL '20' HOUR AS created_at,
   {sha}(left(md5(CAST(o_orderkey AS STRING)), 7){bits}) AS commit_hash,

@@ -23,14 +23,22 @@ def author_days(
 ) -> DataFrame:
     """Digest per author and day.
 
+    With a time window, file rows of other commits are dropped before anything is
+    reduced: the window's commits are few, and where they are fewer than the broadcast
+    limit the file table is filtered while it is read.  Without one, nearly all file
+    rows are wanted and go straight into their reduction.
+
     Exchanges: the cap ships at most its limit per task, author, day and repository;
     file facts are reduced per commit before they move; after the two meet, one
     exchange on (author, day) serves the noise rule and the digest.
     """
     kept = commits
     if now is not None and hours is not None:
-        kept = oc.lookback(kept, now, hours)
-    kept = oc.by_author(kept, authors).withColumn("day", F.to_date("committed_at"))
+        kept = oc.by_author(oc.lookback(kept, now, hours), authors)
+        files = files.join(kept.select("seq"), "seq", "left_semi")
+    else:
+        kept = oc.by_author(kept, authors)
+    kept = kept.withColumn("day", F.to_date("committed_at"))
     kept = oc.cap_newest(kept, [*RUN, "repo"]).drop("truncated")
     kept = oc.with_subject(kept).withColumn("hash", F.left("hash", F.lit(7)))
     full = oc.with_file_totals(kept, files)
