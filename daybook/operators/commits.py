@@ -173,27 +173,29 @@ def with_file_totals(commits: DataFrame, files: DataFrame, key: str = "seq") ->
     )
 
 
-def scan(commits: DataFrame, files: DataFrame, key: str = "seq") -> DataFrame:
+def scan(
+    commits: DataFrame, files: DataFrame, key: str = "seq", paths_per_row: int = 10_000
+) -> DataFrame:
     """Commit records: subject, short hash, local minute, ordered paths, counts, modules.
 
-    The full path list is part of the record.  Digests do not need it and use
-    ``with_file_totals`` instead.
+    A commit is one row, ``part`` 0.  One with more paths than a row should hold goes on
+    in further parts, cut by position, so no task ever gathers a huge commit; the other
+    columns repeat the facts of the whole commit.
     """
-    listed = (
-        _named_files(files)
-        .groupBy(key)
-        .agg(
-            F.array_sort(
-                F.collect_list(F.when(F.col("path").isNotNull(), F.struct("pos", "path")))
-            ).alias("_files"),
-            F.sum("insertions").alias("insertions"),
-            F.sum("deletions").alias("deletions"),
-        )
-        .select(key, F.col("_files.path").alias("files_changed"), "insertions", "deletions")
+    named = _named_files(files)
+    facts = named.groupBy(key).agg(
+        F.sum("insertions").alias("insertions"),
+        F.sum("deletions").alias("deletions"),
+        F.array_sort(F.collect_set(fc.path_module("path"))).alias("modules"),
+    )
+    place = F.when(F.col("path").isNotNull(), F.struct("pos", "path"))
+    parts = (
+        named.groupBy(key, F.floor(F.col("pos") / paths_per_row).alias("part"))
+        .agg(F.array_sort(F.collect_list(place)).alias("_files"))
+        .select(key, "part", F.col("_files.path").alias("files_changed"))
     )
     none = F.array().cast("array<string>")
-    joined = commits.join(listed, key, "left")
-    changed = F.coalesce("files_changed", none)
+    joined = commits.join(facts, key, "left").join(parts, key, "left")
     return joined.select(
         key,
         "repo",
@@ -202,10 +204,11 @@ def scan(commits: DataFrame, files: DataFrame, key: str = "seq") -> DataFrame:
         "committed_at",
         subject_line("message").alias("message"),
         fc.minute_text("committed_at", "tz_offset_min").alias("timestamp"),
-        changed.alias("files_changed"),
+        F.coalesce("part", F.lit(0)).alias("part"),
+        F.coalesce("files_changed", none).alias("files_changed"),
         F.coalesce("insertions", F.lit(0)).alias("insertions"),
         F.coalesce("deletions", F.lit(0)).alias("deletions"),
-        fc.modules(changed).alias("modules"),
+        F.coalesce("modules", none).alias("modules"),
     )
 
 

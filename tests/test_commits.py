@@ -137,6 +137,15 @@ def test_scan_formats_time_in_the_commits_own_offset(spark):
     assert rows[2].modules == ["auth"]
 
 
+def test_scan_cuts_a_huge_commit_into_parts(spark):
+    commits, _ = _sample(spark)
+    files = spark.createDataFrame([(1, i, None, f"d/f{i}", 1, 0) for i in range(25)], FILES)
+    rows = oc.scan(commits, files, paths_per_row=10).filter("seq = 1").orderBy("part").collect()
+    assert [len(r.files_changed) for r in rows] == [10, 10, 5]
+    assert [p for r in rows for p in r.files_changed] == [f"d/f{i}" for i in range(25)]
+    assert {(r.insertions, *r.modules) for r in rows} == {(25, "d")}
+
+
 @pytest.mark.parametrize("n,want", [(0, ""), (5, "f0, f1, f2, f3, f4"), (10, "f0, f1, f2, f3, f4 (+5 more)")])
 def test_files_preview(spark, n, want):
     commits = spark.createDataFrame([(1,)], "seq bigint")
