@@ -63,3 +63,16 @@ def latin_classes() -> dict[str, str]:
         return re.escape("".join(c for c in chars if unicodedata.category(c).startswith(kind)))
 
     return {"L": of("L"), "N": of("N"), "S": "\t-\r \x85\xa0"}
+
+
+def bounded_ids(rows: DataFrame, stratum: str, each: int) -> DataFrame:
+    """At most ``each`` rows of every stratum, chosen by a hash of ``doc_id``.
+
+    ``rows`` has ``doc_id`` and the stratum only.  The rank is limited in every task before the
+    shuffle, so a hot stratum does not gather in one task.
+    """
+    from pyspark.sql import Window
+
+    order = Window.partitionBy(stratum).orderBy(F.xxhash64("doc_id"), "doc_id")
+    ranked = rows.where(F.col("doc_id").isNotNull()).withColumn("_rank", F.row_number().over(order))
+    return ranked.where(F.col("_rank") <= each).drop("_rank").distinct()

@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from daybook.llm import byte_bpe, packing
+from daybook.llm import byte_bpe, langid, packing, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": byte_bpe.query,
+    "op2_toxicity": toxicity.query,
     "op5_packing": packing.query,
+    "op10_language_id": langid.query,
 }
 
 ORACLES: dict[str, str] = {}
