@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import unicodedata
+import uuid
 from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,11 +34,17 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint in the shared folder."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint(eager=True)
+    """Cut lineage with a table written to the shared folder, which is removed when Spark ends.
+
+    Unlike a checkpoint, the table brings its true size to the planner, so plans in loops do not
+    multiply the sizes of the rounds before.
+    """
+    spark = df.sparkSession
+    folder = f"{shared_folder(spark)}/llm-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return spark.read.schema(df.schema).parquet(folder)
 
 
 def free_name(df: DataFrame, base: str) -> str:
