@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from daybook.llm import byte_bpe, fingerprints, jaccard_join, langid, packing, pii, toxicity
+from daybook.llm import byte_bpe, fingerprints, jaccard_join, langid, nearest, packing, pii, toxicity, training_order
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": byte_bpe.query,
     "op2_toxicity": toxicity.query,
+    "op3_nearest_neighbours": nearest.query,
     "op5_packing": packing.query,
     "op6_document_fingerprints": fingerprints.query,
+    "op7_training_order": training_order.query,
     "op8_pii_surrogates": pii.query,
     "op9_ngram_jaccard_join": jaccard_join.query,
     "op10_language_id": langid.query,

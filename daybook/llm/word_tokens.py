@@ -14,7 +14,7 @@ import numpy as np
 
 from daybook.llm.common import latin_classes
 
-CACHE_ENTRIES = 250_000
+CACHE_ENTRIES = 500_000
 
 
 class WordIds(dict):
