@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from daybook.llm import byte_bpe, fingerprints, jaccard_join, langid, nearest, packing, pii, toxicity, training_order
+from daybook.llm import byte_bpe, fingerprints, jaccard_join, langid, licenses, nearest, packing, pii, toxicity, training_order
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": byte_bpe.query,
     "op2_toxicity": toxicity.query,
     "op3_nearest_neighbours": nearest.query,
+    "op4_license_scan": licenses.query,
     "op5_packing": packing.query,
     "op6_document_fingerprints": fingerprints.query,
     "op7_training_order": training_order.query,
@@ -20,4 +21,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_language_id": langid.query,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op4_license_scan": licenses.oracle()}
