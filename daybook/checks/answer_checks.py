@@ -60,8 +60,9 @@ def score_band(events):
         "attempts",
         tables={
             "s": _SCORED.format(table="attempts"),
-            "good": "SELECT run_id, min(attempt) AS n FROM s WHERE score >= 60 GROUP BY run_id",
-            "last": "SELECT run_id, max(attempt) AS n FROM s GROUP BY run_id",
+            "good": """SELECT run_id, min(attempt) AS n FROM s
+  WHERE score >= 60 AND attempt <= 3 GROUP BY run_id""",
+            "last": "SELECT run_id, max(attempt) AS n FROM s WHERE attempt <= 3 GROUP BY run_id",
         },
         then="""SELECT s.run_id, s.response, s.score, array_to_string(s.issues, '|') AS issues,
   CAST(s.attempt - 1 AS INTEGER) AS retries

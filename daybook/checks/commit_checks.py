@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from daybook.checks import sqltext as q
@@ -33,14 +35,14 @@ def _capped(commits):
         "commits",
         "commit_files",
         tables={
-            "f": f"""SELECT seq, string_agg({q.CHANGED_PATH}, ',' ORDER BY pos, {q.CHANGED_PATH}) AS files,
+            "f": f"""SELECT seq, count({q.CHANGED_PATH}) AS n_files,
   sum(insertions)::BIGINT AS insertions, sum(deletions)::BIGINT AS deletions,
   array_to_string(list_sort(list_distinct(list({q.module(q.CHANGED_PATH)}))), ',') AS modules
 FROM commit_files GROUP BY seq"""
         },
         then=f"""SELECT c.seq, repo, left(hash, 7) AS hash, author_email,
   {q.subject('message')} AS message, strftime(committed_at, '%Y-%m-%d %H:%M') AS timestamp,
-  coalesce(files, '') AS files_changed, coalesce(insertions, 0) AS insertions,
+  coalesce(n_files, 0) AS n_files, coalesce(insertions, 0) AS insertions,
   coalesce(deletions, 0) AS deletions, coalesce(modules, '') AS modules
 FROM commits c LEFT JOIN f ON f.seq = c.seq""",
     ),
@@ -53,13 +55,26 @@ def commit_scan(commits, files):
         "author_email",
         "message",
         "timestamp",
-        F.array_join("files_changed", ",").alias("files_changed"),
+        "n_files",
         "insertions",
         "deletions",
         F.array_join("modules", ",").alias("modules"),
     )
 
 
+@query(
+    "commit_paths",
+    "path_pairs",
+    oracle=with_inputs(
+        "path_pairs",
+        then=f"""SELECT l_orderkey AS seq, l_linenumber AS pos, {q.CHANGED_PATH} AS path
+FROM path_pairs WHERE {q.CHANGED_PATH} IS NOT NULL""",
+    ),
+)
+def commit_paths(pairs):
+    return oc.paths(pairs.withColumnsRenamed({"l_orderkey": "seq", "l_linenumber": "pos"}))
+
+
 @query(
     "commit_union_repos",
     "commits",
@@ -465,6 +480,66 @@ def recent_digest(commits, files):
     )
 
 
+_WEEK = {
+    k: re.sub(r"CAST\(committed_at AS DATE\) AS day,\s*", "", sql)
+    .replace("author_email, CAST(committed_at AS DATE), repo", "author_email, repo")
+    .replace(
+        "FROM commits c)",
+        f"FROM commits c WHERE committed_at >= TIMESTAMP '{COMMITS_NOW}' - INTERVAL 168 HOUR)",
+    )
+    for k, sql in q.CAPPED.items()
+}
+
+
+def _per_author(sql: str) -> str:
+    """The same statement without the day."""
+    return (
+        sql.replace("author_email, day", "author_email")
+        .replace("f.author_email, f.day", "f.author_email")
+        .replace(" AND t.day = f.day", "")
+    )
+
+
+_WEEK_DIGESTS = {k: _per_author(v) for k, v in q.digest_tables("kept").items()}
+
+
+@query(
+    "weekly_digest",
+    "commits",
+    "commit_files",
+    "orders",
+    oracle=with_inputs(
+        "commits",
+        "commit_files",
+        tables=_WEEK
+        | {"kept": _per_author(q.KEPT)}
+        | _WEEK_DIGESTS
+        | {
+            "answers": f"""SELECT left(md5(CAST(o_orderkey AS STRING)), 7) AS hash, o_orderkey AS id,
+  TIMESTAMP '{COMMITS_NOW}' + INTERVAL '1' HOUR * (o_orderkey % 30 - 3) AS created_at FROM orders""",
+        },
+        then=f"""SELECT author_email, commits, digest, fingerprint, id IS NOT NULL AS hit, id AS history_id
+FROM (SELECT d.*, a.id, row_number() OVER (PARTITION BY d.author_email ORDER BY a.created_at DESC, a.id DESC) AS rn
+  FROM digests d LEFT JOIN answers a ON sha256(a.hash) = d.fingerprint
+    AND CAST(a.created_at AS DATE) = CAST(TIMESTAMP '{COMMITS_NOW}' AS DATE)) WHERE rn = 1""",
+    ),
+)
+def weekly_digest(commits, files, orders):
+    answers = orders.selectExpr(
+        "o_orderkey AS id",
+        f"TIMESTAMP_NTZ '{COMMITS_NOW}' + INTERVAL '1' HOUR * (o_orderkey % 30 - 3) AS created_at",
+        "sha2(left(md5(CAST(o_orderkey AS STRING)), 7), 256) AS commit_hash",
+        "'casual' AS tone",
+        "'local' AS provider",
+        "'answer' AS standup_text",
+        "0 AS quality_score",
+    )
+    digests = daily.author_windows(commits, files, COMMITS_NOW, 168)
+    return daily.with_reuse(digests, answers, "casual", "local", requested_at=COMMITS_NOW).select(
+        "author_email", "commits", "digest", "fingerprint", "hit", "history_id"
+    )
+
+
 # Earlier answers for runs of one commit, so that some digests can be reused.
 _EARLIER = """SELECT o_orderkey AS id, o_orderdate + INTERVAL '20' HOUR AS created_at,
   {sha}(left(md5(CAST(o_orderkey AS STRING)), 7){bits}) AS commit_hash,

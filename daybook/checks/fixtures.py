@@ -77,12 +77,13 @@ SELECT event_id AS id, ts AS created_at, md5(CAST(user_id % 10 AS STRING)) AS co
        CASE event_id % 5 WHEN 0 THEN 'not valid json' WHEN 1 THEN '[]'
          ELSE '["api", "web"]' END AS repos,
        24 AS hours_lookback, CAST(floor(value) AS INT) % 101 AS quality_score, user_id
-FROM $events WHERE event_type = 'purchase'""",
+FROM $events""",
     "requests": """
-SELECT event_id AS request_id, ts AS requested_at, md5(CAST(user_id % 10 AS STRING)) AS commit_hash,
+SELECT event_id AS request_id, ts AS requested_at, md5(CAST(user_id % 12 AS STRING)) AS commit_hash,
        CASE WHEN user_id % 2 = 0 THEN 'local' ELSE 'cloud' END AS provider,
        CASE WHEN event_id % 3 = 0 THEN 'casual' ELSE 'formal' END AS tone
-FROM $events WHERE event_type = 'view'""",
+FROM $events""",
+    # runs of one to six attempts in turn, every event one attempt
     "attempts": """
 SELECT run_id, attempt, 'draft ' || CAST(event_id AS STRING) AS response,
        CASE event_type
@@ -91,10 +92,12 @@ SELECT run_id, attempt, 'draft ' || CAST(event_id AS STRING) AS response,
          WHEN 'view' THEN '{"score": ' || k || '.7, "issues": "single", "strengths": ["clear"]}'
          WHEN 'signup' THEN '{"score": ' || k || '0, "issues": [], "strengths": {}}'
          ELSE '{"score": -' || k || ', "issues": ["thin"], "strengths": ["short"]}' END AS raw
-FROM (SELECT event_id, event_type, regexp_extract(props, '([0-9]+)', 1) AS k, user_id AS run_id,
-             row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS attempt
-      FROM $events) e
-WHERE attempt <= 3""",
+FROM (SELECT event_id, event_type, regexp_extract(props, '([0-9]+)', 1) AS k,
+             event_id - event_id % 21 + CASE WHEN p < 1 THEN 0 WHEN p < 3 THEN 1 WHEN p < 6 THEN 3
+               WHEN p < 10 THEN 6 WHEN p < 15 THEN 10 ELSE 15 END AS run_id,
+             p + 1 - CASE WHEN p < 1 THEN 0 WHEN p < 3 THEN 1 WHEN p < 6 THEN 3
+               WHEN p < 10 THEN 6 WHEN p < 15 THEN 10 ELSE 15 END AS attempt
+      FROM (SELECT *, event_id % 21 AS p FROM $events) n) e""",
     # every event as a scoring answer of its own
     "answers": """
 SELECT event_id AS answer_id, event_type, user_id,

@@ -1,9 +1,12 @@
 """Admission of calls under a cooldown and a daily limit, decided per user in time order.
 
-The rule is a greedy recursion: a call is judged against the last call that was let
-in.  Users of ordinary size are walked in time order, one user at a time with constant
-memory.  A user too big for one task is split by day and solved in rounds, each round
-being one reduced minimum over all its days at once; see ``_solve_big_users``.
+The rule is a greedy recursion: a call is judged against the last call that was recorded.  Every
+user's days are walked apart, in time order and with constant memory, so a user with very many
+calls is as many units of work as days.  A day depends on the days before it only through its
+entry state: the last recorded call, where its cooldown reaches into the day, and calls recorded
+into the day from before.  Days are first walked from a fresh state; those whose real entry state
+differs are walked again, until none is left.  Turns follow how far a change travels from day to
+day, never the number of calls.
 """
 
 from __future__ import annotations
@@ -18,11 +21,9 @@ from pyspark.sql import types as T
 
 from daybook import rules
 from daybook.functions.limits import DAY_US, REASONS, LimitState, decide_sorted
-from daybook.operators.joins import for_every_salt, salted
 from daybook.session import checkpointed
 
-BIG_USER_ROWS = 5_000_000
-SALTS = 64  # parts a big user's day is split into
+DAY = ["_user", "_day"]
 
 
 def admit(
@@ -36,32 +37,23 @@ def admit(
     forced: str | None = None,
     succeeded: str | None = None,
     completed: str | None = None,
-    big_user_rows: int = BIG_USER_ROWS,
-    checkpoint_dir: str | None = None,
 ) -> DataFrame:
     """Calls with ``admitted``, ``reason`` and ``seconds_remaining``.
 
-    Ties in time go by ``order``.  Calls that are forced, or not ``enabled`` for
-    limiting, skip the checks; every admitted call that succeeded is recorded, at its
-    completion time where there is one.
+    Ties in time go by ``order``, then by completion and the flags.  Calls that are forced, or not
+    ``enabled`` for limiting, skip the checks; every admitted call that succeeded is recorded, at
+    its completion time where there is one.  A call without a time is refused as ``invalid``.
     """
     plan = _prepared(calls, user, ts, order, enabled, forced, succeeded, completed)
-    cooldown_us = int(cooldown_minutes) * 60_000_000
-    given = [user, order, ts]
-    big = (
-        plan.groupBy("_user").agg(F.count("*").alias("_n")).filter(F.col("_n") > big_user_rows)
-    ).select("_user")
-    if big.isEmpty():
-        decided = _walk_users(plan, given, cooldown_us, int(max_calls))
-    else:
-        big = checkpointed(big, checkpoint_dir)
-        usual = plan.join(big, "_user", "left_anti")
-        usual = _walk_users(usual, given, cooldown_us, int(max_calls))
-        rest = _solve_big_users(
-            plan.join(big, "_user", "left_semi"), given, cooldown_us, int(max_calls), checkpoint_dir
-        )
-        decided = usual.unionByName(rest)
-    return decided.select(
+    cooldown_us, cap = int(cooldown_minutes) * 60_000_000, int(max_calls)
+    given = list(dict.fromkeys([user, order, ts]))
+    timed = plan.filter(F.col("_at").isNotNull()).withColumn("_day", F.floor(F.col("_at") / DAY_US))
+    entries = _entries_of_days(timed, cooldown_us, cap)
+    decided = _walk_days(timed.join(entries, DAY, "left"), given, cooldown_us, cap)
+    untimed = plan.filter(F.col("_at").isNull()).select(
+        *given, F.lit("invalid").alias("_reason"), F.lit(0).cast("bigint").alias("_left")
+    )
+    return decided.unionByName(untimed).select(
         *given,
         (F.col("_reason") == "").alias("admitted"),
         F.col("_reason").alias("reason"),
@@ -94,68 +86,99 @@ def _prepared(calls, user, ts, order, enabled, forced, succeeded, completed) ->
     )
 
 
-def _walk_users(plan: DataFrame, given: list[str], cooldown_us: int, cap: int) -> DataFrame:
-    """One task per set of users, in time order, carrying one small state."""
-    facts = ["_user", "_at", "_done", "_free", "_ok"]
+def _in_order(rows: DataFrame) -> DataFrame:
+    """Each day of a user in one task, in the order calls are judged."""
+    return rows.repartition(*DAY).sortWithinPartitions(*DAY, "_at", "_id", "_done", "_free", "_ok")
+
+
+def _judged(
+    batches: Iterator[pd.DataFrame], cooldown_us: int, cap: int
+) -> Iterator[tuple[pd.DataFrame, list[tuple], np.ndarray, np.ndarray]]:
+    """Batches with their day parts (start, user, day, entry, state), reasons and seconds left.
+
+    A part's state is the day's state after it; a day may go on in the next batch.
+    """
+    current, state, entry = None, LimitState(), None
+    for batch in batches:
+        users, days, *facts = (batch[c].to_numpy() for c in (*DAY, "_at", "_done", "_free", "_ok"))
+        given = [batch[c].to_numpy() if c in batch else None for c in ("_entry_last", "_entry_used")]
+        edges = np.flatnonzero((users[1:] != users[:-1]) | (days[1:] != days[:-1])) + 1
+        parts, reasons, lefts = [], [], []
+        for start, stop in zip([0, *edges], [*edges, len(users)], strict=True):
+            if start == stop:
+                continue
+            key = (users[start], int(days[start]))
+            if key != current:
+                last, used = (None if g is None or pd.isna(g[start]) else int(g[start]) for g in given)
+                current, entry, state = key, last, LimitState(last, {key[1]: used} if used else {})
+            reason, left = decide_sorted(*(f[start:stop] for f in facts), state, cooldown_us, cap)
+            parts.append((start, *key, entry, state))
+            reasons.append(reason)
+            lefts.append(left)
+        if parts:
+            yield batch, parts, np.concatenate(reasons), np.concatenate(lefts)
+
+
+def _walk_days(rows: DataFrame, given: list[str], cooldown_us: int, cap: int) -> DataFrame:
+    """Every call's decision, from the entry state its row carries."""
     schema = T.StructType(
         [
-            *[plan.schema[c] for c in given],
+            *[rows.schema[c] for c in given],
             T.StructField("_reason", T.StringType()),
             T.StructField("_left", T.LongType()),
         ]
     )
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, state = None, LimitState()
-        for batch in batches:
-            users, at, done, free, ok = (batch[c].to_numpy() for c in facts)
-            edges = np.flatnonzero(users[1:] != users[:-1]) + 1
-            reasons, lefts = [], []
-            for start, stop in zip([0, *edges], [*edges, len(users)], strict=True):
-                if start == stop:
-                    continue
-                if users[start] != current:
-                    current, state = users[start], LimitState()
-                part = slice(start, stop)
-                reason, left = decide_sorted(
-                    at[part], done[part], free[part], ok[part], state, cooldown_us, cap
-                )
-                reasons.append(reason)
-                lefts.append(left)
-            if reasons:
-                yield batch[given].assign(
-                    _reason=REASONS[np.concatenate(reasons)], _left=np.concatenate(lefts)
-                )
+        for batch, _, reason, left in _judged(batches, cooldown_us, cap):
+            yield batch[given].assign(_reason=REASONS[reason], _left=left)
 
-    ordered = plan.repartition("_user").sortWithinPartitions("_user", "_at", "_id")
-    return ordered.mapInPandas(walk, schema)
+    return _in_order(rows).mapInPandas(walk, schema)
 
 
-# --- users too big for one task ----------------------------------------------
+_EXIT = "_user string, _day bigint, _first bigint, _last bigint, _later array<struct<day:bigint,used:int>>"
 
-_PICK = "struct<at:bigint,id:{id},last:bigint,used:int>"
 
+def _exit_states(rows: DataFrame, cooldown_us: int, cap: int) -> DataFrame:
+    """One row a day: its first call, the last recorded call, calls recorded into later days."""
 
-def _solve_big_users(
-    plan: DataFrame, given: list[str], cooldown_us: int, cap: int, checkpoint_dir: str | None
-) -> DataFrame:
-    """Exact decisions without ever meeting a user, or a user's day, in one task.
-
-    Between two admitted calls the state stands still, so the next admitted call of a
-    day is the earliest call the present state lets in: a minimum, taken first over
-    salted parts of the day and then over the parts.  All days of all big users take that step together.  A day starts from
-    the state the day before left; days are first solved from a fresh state, then
-    those whose real entry state matters and differs are solved again until none is
-    left (at latest after as many turns as a user has days).
-    """
-    dated = plan.withColumn("_day", F.floor(F.col("_at") / DAY_US))
-    rows = checkpointed(salted(dated, "_id", SALTS), checkpoint_dir)
-    key = ["_user", "_day"]
-    days = rows.groupBy(*key).agg(F.min("_at").alias("_first"))
-    days = days.withColumns(
-        {"_entry_last": F.lit(None).cast("bigint"), "_entry_used": F.lit(0)}
-    )
-    solved = _solve_days(rows, days, cooldown_us, cap, checkpoint_dir)
+    def frame(days: list[tuple]) -> pd.DataFrame:
+        out = [
+            (
+                user,
+                day,
+                first,
+                None if state.last == entry else state.last,
+                [{"day": d, "used": n} for d, n in sorted(state.used.items()) if d > day],
+            )
+            for first, user, day, entry, state in days
+        ]
+        named = pd.DataFrame(out, columns=["_user", "_day", "_first", "_last", "_later"])
+        return named.astype({"_last": "Int64"})
+
+    def reduce_days(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        going = None  # the day that may go on in the next batch
+        for batch, parts, _, _ in _judged(batches, cooldown_us, cap):
+            at, closed = batch["_at"].to_numpy(), []
+            for start, user, day, entry, state in parts:
+                if going and going[1:3] == (user, day):
+                    continue
+                if going:
+                    closed.append(going)
+                going = (int(at[start]), user, day, entry, state)
+            if closed:
+                yield frame(closed)
+        if going:
+            yield frame([going])
+
+    return _in_order(rows).mapInPandas(reduce_days, _EXIT)
+
+
+def _entries_of_days(timed: DataFrame, cooldown_us: int, cap: int) -> DataFrame:
+    """(user, day, entry state) of the days that do not start fresh."""
+    facts = timed.select(*DAY, "_at", "_id", "_done", "_free", "_ok")
+    fresh = {"_entry_last": F.lit(None).cast("bigint"), "_entry_used": F.lit(0)}
+    solved = checkpointed(_exit_states(facts, cooldown_us, cap).withColumns(fresh))
     while True:
         entry = _entry_states(solved, cooldown_us)
         differs = ~(
@@ -163,67 +186,16 @@ def _solve_big_users(
             & (F.col("_entry_used") == F.col("_next_used"))
         )
         again = checkpointed(
-            solved.join(entry, key)
+            solved.join(entry, DAY)
             .filter(differs)
-            .select(
-                *key,
-                "_first",
-                F.col("_next_last").alias("_entry_last"),
-                F.col("_next_used").alias("_entry_used"),
-            ),
-            checkpoint_dir,
+            .select(*DAY, F.col("_next_last").alias("_entry_last"), F.col("_next_used").alias("_entry_used"))
         )
         if again.isEmpty():
-            break
-        redone = _solve_days(rows, again, cooldown_us, cap, checkpoint_dir)
-        kept = solved.join(again.select(*key), key, "left_anti")
-        solved = checkpointed(kept.unionByName(redone), checkpoint_dir)
-    return _decide_rows(rows, given, solved, cooldown_us)
-
-
-def _solve_days(rows, days, cooldown_us, cap, checkpoint_dir) -> DataFrame:
-    """Admitted calls of each day from its entry state, one call per day and round."""
-    key = ["_user", "_day"]
-    pick = _PICK.format(id=rows.schema["_id"].dataType.simpleString())
-    chains = days.withColumns(
-        {
-            "_last": F.col("_entry_last"),
-            "_used": F.col("_entry_used"),
-            "_picks": F.array().cast(f"array<{pick}>"),
-        }
-    )
-    finished = None
-    while True:
-        at = F.struct(F.col("_at").alias("at"), F.col("_id").alias("id"))
-        newest = F.get("_picks", F.size("_picks") - 1)
-        place = F.struct(newest["at"].alias("at"), newest["id"].alias("id"))
-        rested = F.col("_last").isNull() | (F.col("_at") >= F.col("_last") + cooldown_us)
-        behind = (F.size("_picks") == 0) | (at > place)
-        allowed = F.col("_free") | (rested & (F.col("_used") < cap))
-        step = (
-            rows.join(for_every_salt(chains, SALTS), [*key, "_salt"])
-            .filter(behind & allowed)
-            .groupBy(*key, "_salt")
-            .agg(F.min(F.struct("_at", "_id", "_done", "_ok")).alias("_n"))
-            .groupBy(*key)
-            .agg(F.min("_n").alias("_n"))
-        )
-        n = F.col("_n")
-        last = F.when(n["_ok"], n["_done"]).otherwise(F.col("_last"))
-        same_day = n["_ok"] & (F.floor(n["_done"] / DAY_US) == F.col("_day"))
-        used = F.col("_used") + F.when(same_day, 1).otherwise(0)
-        moved = checkpointed(chains.join(step, key, "left"), checkpoint_dir)
-        still = moved.filter(n.isNull()).drop("_n")
-        finished = still if finished is None else finished.unionByName(still)
-        going = moved.filter(n.isNotNull())
-        if going.isEmpty():
-            return checkpointed(finished, checkpoint_dir)
-        entry = F.struct(
-            n["_at"].alias("at"), n["_id"].alias("id"), last.alias("last"), used.alias("used")
-        ).cast(pick)
-        chains = going.withColumns(
-            {"_last": last, "_used": used, "_picks": F.concat("_picks", F.array(entry))}
-        ).drop("_n")
+            fresh_day = F.col("_entry_last").isNull() & (F.col("_entry_used") == 0)
+            return solved.filter(~fresh_day).select(*DAY, "_entry_last", "_entry_used")
+        redone = _exit_states(facts.join(again, DAY), cooldown_us, cap).join(again, DAY)
+        kept = solved.join(again.select(*DAY), DAY, "left_anti")
+        solved = checkpointed(kept.unionByName(redone))
 
 
 def _entry_states(solved: DataFrame, cooldown_us: int) -> DataFrame:
@@ -232,49 +204,18 @@ def _entry_states(solved: DataFrame, cooldown_us: int) -> DataFrame:
         Window.partitionBy("_user").orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
     )
     carried = F.last("_last", ignorenulls=True).over(earlier)
-    done_on = F.floor(F.col("_pick.last") / DAY_US)
     spilled = (
-        solved.select("_user", "_day", F.explode("_picks").alias("_pick"))
-        .filter(done_on > F.col("_day"))
-        .groupBy("_user", done_on.alias("_day"))
-        .agg(F.count_distinct("_pick.last").cast("int").alias("_spilled"))
+        solved.select("_user", F.explode("_later").alias("_l"))
+        .groupBy("_user", F.col("_l.day").alias("_day"))
+        .agg(F.sum("_l.used").cast("int").alias("_spilled"))
     )
     matters = F.col("_carried") + cooldown_us > F.col("_first")
     return (
-        solved.select("_user", "_day", "_first", carried.alias("_carried"))
-        .join(spilled, ["_user", "_day"], "left")
+        solved.select(*DAY, "_first", carried.alias("_carried"))
+        .join(spilled, DAY, "left")
         .select(
-            "_user",
-            "_day",
+            *DAY,
             F.when(matters, F.col("_carried")).alias("_next_last"),
             F.coalesce("_spilled", F.lit(0)).alias("_next_used"),
         )
     )
-
-
-def _decide_rows(
-    rows: DataFrame, given: list[str], solved: DataFrame, cooldown_us: int
-) -> DataFrame:
-    """Every call against the last admitted call of its day in front of it."""
-    states = solved.select("_user", "_day", "_entry_last", "_picks")
-    facts = rows.join(for_every_salt(states, SALTS), ["_user", "_day", "_salt"])
-    here = F.struct(F.col("_at").alias("at"), F.col("_id").alias("id"))
-    earlier = F.filter(
-        "_picks", lambda p: F.struct(p["at"].alias("at"), p["id"].alias("id")) < here
-    )
-    state = F.get("_earlier", F.size("_earlier") - 1)
-    chosen = F.exists("_picks", lambda p: (p["at"] == F.col("_at")) & (p["id"] == F.col("_id")))
-    wait = F.col("_before") + cooldown_us - F.col("_at")
-    cooling = F.coalesce(wait > 0, F.lit(False)) & ~F.col("_chosen")
-    return (
-        facts.withColumns({"_earlier": earlier, "_chosen": chosen})
-        .withColumn(
-            "_before",
-            F.when(F.size("_earlier") > 0, state["last"]).otherwise(F.col("_entry_last")),
-        )
-        .select(
-            *given,
-            F.when(F.col("_chosen"), "").when(cooling, "cooldown").otherwise("daily").alias("_reason"),
-            F.when(cooling, F.floor(wait / 1_000_000)).otherwise(0).cast("bigint").alias("_left"),
-        )
-    )

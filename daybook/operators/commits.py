@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from daybook import rules
 from daybook.functions import commits as fc
 from daybook.functions.text import strip, subject_line
-from daybook.operators.joins import apart
+from daybook.operators.joins import apart, same_keys
 from daybook.operators.times import before, literal_for
 
 
@@ -97,16 +97,15 @@ def _with_type(df: DataFrame, message: str, given: str | None = None) -> DataFra
 def drop_noise(df: DataFrame, run: Sequence[str], message: str = "message") -> DataFrame:
     """Rows that are no noise; a run with nothing else keeps all its rows.
 
-    Only noise rows are joined with the runs, and runs are reduced before the
-    shuffle, so a run of any size is fine.
+    Runs are reduced before the shuffle, so a run of any size is fine; a null in a run's key is a
+    value like any other.
     """
     flagged = df.withColumn("_noise", fc.is_noise(message))
-    only_noise = (
-        flagged.groupBy(*run, apart(run)).agg(F.min("_noise").alias("_all")).filter("_all")
-    ).select(*run)
-    kept = flagged.filter(~F.col("_noise"))
-    rescued = flagged.filter("_noise").join(only_noise, list(run), "left_semi")
-    return kept.unionByName(rescued.select(*kept.columns)).drop("_noise")
+    runs = flagged.groupBy(*run, apart(run)).agg(F.min("_noise").alias("_all")).drop("_apart")
+    only_noise, same = same_keys(flagged, runs.filter("_all"), run)
+    joined = flagged.join(only_noise, same, "left")
+    kept = joined.filter(~F.col("_noise") | F.coalesce("_all", F.lit(False)))
+    return kept.select(*df.columns)
 
 
 def drop_noise_in_capped_runs(
@@ -173,30 +172,30 @@ def with_file_totals(commits: DataFrame, files: DataFrame, key: str = "seq") ->
     )
 
 
-def scan(
-    commits: DataFrame, files: DataFrame, key: str = "seq", paths_per_row: int = 10_000
-) -> DataFrame:
-    """Commit records: subject, short hash, local minute, ordered paths, counts, modules.
+def paths(files: DataFrame, key: str = "seq") -> DataFrame:
+    """One row per named file of a commit: (commit, pos, path)."""
+    named = _named_files(files).filter(F.col("path").isNotNull())
+    return named.select(key, "pos", "path")
+
+
+def scan(commits: DataFrame, files: DataFrame, key: str = "seq") -> DataFrame:
+    """Commit records: subject, short hash, local minute, file count, line counts, modules.
 
-    A commit is one row, ``part`` 0.  One with more paths than a row should hold goes on
-    in further parts, cut by position, so no task ever gathers a huge commit; the other
-    columns repeat the facts of the whole commit.
+    One row per commit whatever its size, from one reduction of the file table.  Its files are the
+    rows of ``paths``, so no task ever gathers a huge commit.
     """
-    named = _named_files(files)
-    facts = named.groupBy(key).agg(
-        F.sum("insertions").alias("insertions"),
-        F.sum("deletions").alias("deletions"),
-        F.array_sort(F.collect_set(fc.path_module("path"))).alias("modules"),
-    )
-    place = F.when(F.col("path").isNotNull(), F.struct("pos", "path"))
-    parts = (
-        named.groupBy(key, F.floor(F.col("pos") / paths_per_row).alias("part"))
-        .agg(F.array_sort(F.collect_list(place)).alias("_files"))
-        .select(key, "part", F.col("_files.path").alias("files_changed"))
+    facts = (
+        _named_files(files)
+        .groupBy(key)
+        .agg(
+            F.count("path").alias("n_files"),
+            F.sum("insertions").alias("insertions"),
+            F.sum("deletions").alias("deletions"),
+            F.array_sort(F.collect_set(fc.path_module("path"))).alias("modules"),
+        )
     )
     none = F.array().cast("array<string>")
-    joined = commits.join(facts, key, "left").join(parts, key, "left")
-    return joined.select(
+    return commits.join(facts, key, "left").select(
         key,
         "repo",
         F.left("hash", F.lit(7)).alias("hash"),
@@ -204,8 +203,7 @@ def scan(
         "committed_at",
         subject_line("message").alias("message"),
         fc.minute_text("committed_at", "tz_offset_min").alias("timestamp"),
-        F.coalesce("part", F.lit(0)).alias("part"),
-        F.coalesce("files_changed", none).alias("files_changed"),
+        F.coalesce("n_files", F.lit(0)).alias("n_files"),
         F.coalesce("insertions", F.lit(0)).alias("insertions"),
         F.coalesce("deletions", F.lit(0)).alias("deletions"),
         F.coalesce("modules", none).alias("modules"),
@@ -297,7 +295,7 @@ def digest(df: DataFrame, run: Sequence[str], seq: str = "seq") -> DataFrame:
         F.collect_list(_usable_hash("hash")).alias("_hashes"),
     )
     block = F.concat(
-        F.lit("REPO: "), F.col("repo"), F.lit("\n"), F.array_join("_lines.line", "\n"), F.lit("\n")
+        F.lit("REPO: "), F.coalesce("repo", F.lit("")), F.lit("\n"), F.array_join("_lines.line", "\n"), F.lit("\n")
     )
     per_run = (
         per_repo.withColumn("_block", F.struct("_first", block.alias("text")))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from daybook import rules
 from daybook.functions.text import col
-from daybook.operators.joins import apart
+from daybook.operators.joins import apart, same_keys
 from daybook.operators.times import before, literal_for
 
 REUSE_KEYS = ("commit_hash", "tone", "provider", "day")
@@ -44,12 +44,18 @@ def view(history: DataFrame) -> DataFrame:
     )
 
 
+def _dated(history: DataFrame) -> DataFrame:
+    """History with its day: the partition column where the table has one, so that days are pruned."""
+    stored = "created_date" in history.columns
+    return history.withColumn("day", F.col("created_date") if stored else F.to_date("created_at"))
+
+
 def _latest_per_key(history: DataFrame) -> DataFrame:
     """Newest row per reuse key, newest id on a tie.
 
     A ranked limit: each task keeps one row per key before the shuffle.
     """
-    dated = history.withColumn("day", F.to_date("created_at"))
+    dated = _dated(history)
     newest = Window.partitionBy(*REUSE_KEYS, apart(REUSE_KEYS)).orderBy(
         F.col("created_at").desc(), F.col("id").desc()
     )
@@ -76,7 +82,7 @@ def find_reusable(requests: DataFrame, history: DataFrame) -> DataFrame:
 def find_missing(requests: DataFrame, history: DataFrame) -> DataFrame:
     """Requests nothing can be reused for: the only ones to generate, limit and record."""
     wanted = requests.withColumn("day", F.to_date("requested_at"))
-    dated = history.withColumn("day", F.to_date("created_at"))
+    dated = _dated(history)
     known = dated.select(*REUSE_KEYS, apart(REUSE_KEYS)).distinct().select(*REUSE_KEYS)
     return wanted.join(known, list(REUSE_KEYS), "left_anti")
 
@@ -113,7 +119,8 @@ def beyond_ceiling(
         .select(*owner, F.struct("created_at", "id").alias("_edge"))
     )
     older = F.struct("created_at", "id") < F.col("_edge")
-    return history.join(edge, list(owner)).filter(older).drop("_edge")
+    edges, same = same_keys(history, edge, owner)
+    return history.join(edges, same).filter(older).select(*history.columns)
 
 
 def deleted_counts(
@@ -128,9 +135,11 @@ def purge(history: DataFrame, now: datetime | str, days: int | None = None) -> D
     """Rows left after deleting everything, or everything older than ``days``."""
     if days is None:
         return history.filter(F.lit(False))
-    return history.filter(
-        F.col("created_at") >= literal_for(history, "created_at", before(now, days=days))
-    )
+    edge = before(now, days=days)
+    kept = history.filter(F.col("created_at") >= literal_for(history, "created_at", edge))
+    if "created_date" in history.columns:
+        kept = kept.filter(F.col("created_date") >= F.lit(edge.date()))
+    return kept
 
 
 def stale_keys(

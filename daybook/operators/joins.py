@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,12 +21,7 @@ def apart(keys: Sequence[str]) -> Column:
     return F.xxhash64(*keys).alias("_apart")
 
 
-def salted(facts: DataFrame, spread_by: str, parts: int) -> DataFrame:
-    """Facts with a ``_salt`` of 0..parts-1 taken from a column that varies within a key."""
-    return facts.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(parts)))
-
-
-def for_every_salt(reduced: DataFrame, parts: int) -> DataFrame:
-    """Each row of a small table once per salt."""
-    every = F.sequence(F.lit(0).cast("bigint"), F.lit(parts - 1).cast("bigint"))
-    return reduced.withColumn("_salt", F.explode(every))
+def same_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], mark: str = "_r_") -> tuple[DataFrame, Column]:
+    """``right`` with its keys renamed, and the condition that the keys are equal, nulls included."""
+    renamed = right.withColumnsRenamed({k: mark + k for k in keys})
+    return renamed, reduce(lambda a, b: a & b, [left[k].eqNullSafe(renamed[mark + k]) for k in keys])

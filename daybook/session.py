@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -25,17 +30,32 @@ def build(app: str = "daybook", master: str | None = None, **extra: str) -> Spar
     return builder.getOrCreate()
 
 
-def checkpointed(df, fallback_dir: str | None = None):
-    """Cut lineage with a reliable checkpoint in the folder the cluster names.
+def checkpointed(df):
+    """Cut lineage with a table written to the shared folder the cluster names in its settings.
 
-    ``spark.checkpoint.dir`` is read from the session.  Only where it is unset, as in
-    tests, ``fallback_dir`` is used.
+    The table is removed when Spark ends.  It brings its true size to the planner, where a
+    checkpoint would carry the estimates of all rounds before it through a loop.
     """
     spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+    place = f"{folder.rstrip('/')}/daybook-{uuid.uuid4().hex}"
+    df.write.parquet(place)
+    path = spark._jvm.org.apache.hadoop.fs.Path(place)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return spark.read.schema(df.schema).parquet(place)
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once a session, where it is not installed there."""
     sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None) or fallback_dir
-        if folder is None:
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        sc.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    if getattr(sc, "_daybook_shipped", False):
+        return
+    root = Path(__file__).resolve().parents[1]
+    place = Path(tempfile.mkdtemp(prefix="daybook-package-")) / "daybook.zip"
+    with zipfile.ZipFile(place, "w", zipfile.ZIP_DEFLATED) as archive:
+        for source in sorted((root / "daybook").rglob("*.py")):
+            archive.write(source, source.relative_to(root))
+    sc.addPyFile(str(place))
+    sc._daybook_shipped = True

@@ -1,4 +1,4 @@
-"""The admission rule: batch walk, rounds for big users, stream, against a plain loop."""
+"""The admission rule against a plain loop."""
 
 import random
 from datetime import datetime, timedelta
@@ -67,21 +67,34 @@ def test_forced_failed_and_slow_calls(spark, cooldown, cap):
     assert decided(got) == plain_loop(rows, cooldown, cap)
 
 
-@pytest.mark.parametrize("cooldown,cap", [(200, 3), (1440, 2)])
-def test_big_users_are_solved_in_rounds(spark, cooldown, cap):
-    rows = calls(300, 3, 4, seed=11)
-    df = spark.createDataFrame([r[:3] for r in rows], SCHEMA)
-    got = admit(df, cooldown, cap, big_user_rows=100)
+@pytest.mark.parametrize("cooldown,cap", [(200, 3), (1440, 2), (4000, 9)])
+def test_one_user_with_all_rows(spark, cooldown, cap):
+    rows = [(1, *r[1:]) for r in calls(300, 3, 6, seed=11, flags=True)]
+    df = spark.createDataFrame(rows, FLAGGED)
+    got = admit(df, cooldown, cap, forced="forced", succeeded="ok", completed="done")
     assert decided(got) == plain_loop(rows, cooldown, cap)
 
 
-def test_big_user_with_flags(spark):
-    rows = calls(120, 2, 2, seed=13, flags=True)
-    df = spark.createDataFrame(rows, FLAGGED)
-    got = admit(
-        df, 240, 2, forced="forced", succeeded="ok", completed="done", big_user_rows=50
-    )
-    assert decided(got) == plain_loop(rows, 240, 2)
+@pytest.mark.parametrize("column", ["enabled", "forced", "ok"])
+def test_jobs_do_not_grow_with_free_or_failed_calls(spark, column):
+    """Limits off, all forced, or all failed: as many jobs for 30 as for 3,000 calls of one user."""
+    jobs = []
+    for n in (30, 3000):
+        rows = [(1, i, START + timedelta(seconds=150_000 * i // n), column == "forced") for i in range(n)]
+        df = spark.createDataFrame(rows, f"{SCHEMA}, {column} boolean")
+        spark.sparkContext.setJobGroup(f"{column}-{n}", "admission")
+        named = {"ok": {"succeeded": "ok"}}.get(column, {column: column})
+        out = admit(df, 120, 1, **named).collect()
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"{column}-{n}")))
+        assert all(r.admitted for r in out) and len(out) == n
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs[1] <= jobs[0] + 4
+
+
+def test_calls_without_a_time_are_refused_not_lost(spark):
+    rows = [(1, 1, None), (1, 2, START), (None, 3, None), (None, 4, START), (1, 2, START)]
+    got = sorted(((r.call_id, r.admitted, r.reason) for r in admit(spark.createDataFrame(rows, SCHEMA), 30, 10).collect()))
+    assert got == [(1, False, "invalid"), (2, False, "cooldown"), (2, True, ""), (3, False, "invalid"), (4, True, "")]
 
 
 def test_exact_boundary_admits_and_ties_go_by_id(spark):

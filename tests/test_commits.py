@@ -132,18 +132,61 @@ def test_scan_formats_time_in_the_commits_own_offset(spark):
     rows = {r.seq: r for r in oc.scan(shifted, files).collect()}
     assert rows[1].timestamp == "2024-01-15 08:02"
     assert rows[1].hash == "abc1234"
-    assert rows[1].files_changed == ["src/auth/login.py", "tests/test_auth.py"]
-    assert rows[3].files_changed == ["routes/users.py", "models/user.py"]
+    assert (rows[1].n_files, rows[3].n_files) == (2, 2)
     assert rows[2].modules == ["auth"]
+    named = sorted((r.seq, r.pos, r.path) for r in oc.paths(files).collect())
+    assert [p for q, _, p in named if q == 1] == ["src/auth/login.py", "tests/test_auth.py"]
+    assert [p for q, _, p in named if q == 3] == ["routes/users.py", "models/user.py"]
 
 
-def test_scan_cuts_a_huge_commit_into_parts(spark):
+@pytest.mark.parametrize("n", [3, 25_000])
+def test_scan_gives_one_row_per_commit_of_any_size(spark, n):
     commits, _ = _sample(spark)
-    files = spark.createDataFrame([(1, i, None, f"d/f{i}", 1, 0) for i in range(25)], FILES)
-    rows = oc.scan(commits, files, paths_per_row=10).filter("seq = 1").orderBy("part").collect()
-    assert [len(r.files_changed) for r in rows] == [10, 10, 5]
-    assert [p for r in rows for p in r.files_changed] == [f"d/f{i}" for i in range(25)]
-    assert {(r.insertions, *r.modules) for r in rows} == {(25, "d")}
+    files = spark.range(n).selectExpr(
+        "1 AS seq", "id AS pos", "CAST(NULL AS STRING) AS a_path", "'d/f' || id AS b_path", "1 AS insertions", "0 AS deletions"
+    )
+    [row] = oc.scan(commits, files).filter("seq = 1").collect()
+    assert (row.n_files, row.insertions, row.modules) == (n, n, ["d"])
+    assert oc.paths(files).count() == n
+
+
+def test_null_authors_and_repositories_are_kept(spark):
+    rows = [
+        (1, "r", "h1", None, datetime(2024, 1, 1), 0, "wip"),
+        (2, "r", "h2", None, datetime(2024, 1, 1), 0, "merge branch x"),
+        (3, None, "h3", "a@x", datetime(2024, 1, 1), 0, "feat: one"),
+        (4, "r", "h4", "a@x", datetime(2024, 1, 1), 0, "wip"),
+    ]
+    names = "seq bigint, repo string, hash string, author_email string, committed_at timestamp_ntz, tz_offset_min int, message string"
+    commits = spark.createDataFrame(rows, names)
+    kept = oc.drop_noise(commits, ["author_email"])
+    capped = oc.drop_noise_in_capped_runs(commits, ["author_email"])
+    assert sorted(r.seq for r in kept.collect()) == sorted(r.seq for r in capped.collect()) == [1, 2, 3]
+    files = spark.createDataFrame([], FILES)
+    full = oc.with_file_totals(oc.with_subject(commits), files)
+    [digest] = oc.digest(oc.with_lines(oc.annotate(full)), ["author_email"]).filter("author_email = 'a@x'").collect()
+    assert digest.commits == 2 and len([x for x in digest.digest.split("\n") if "feat" in x or "wip" in x]) == 2
+
+
+def test_a_day_across_midnight_is_one_window(spark):
+    from daybook.plans import daily
+
+    rows = [
+        (1, "r", "h1", "a@x", datetime(2024, 1, 1, 20), 0, "feat: one"),
+        (2, "r", "h2", "a@x", datetime(2024, 1, 2, 8), 0, "fix: two"),
+    ]
+    names = "seq bigint, repo string, hash string, author_email string, committed_at timestamp_ntz, tz_offset_min int, message string"
+    commits, files = spark.createDataFrame(rows, names), spark.createDataFrame([], FILES)
+    assert daily.author_windows(commits, files, "2024-01-02 09:00:00", 24).count() == 1
+    assert daily.author_days(commits, files, "2024-01-02 09:00:00", 24).count() == 2
+    [run] = daily.author_windows(commits, files, "2024-01-02 09:00:00", 24).collect()
+    stored = spark.createDataFrame(
+        [(7, run.fingerprint, "casual", "local", datetime(2024, 1, 2, 7), "text", 80)],
+        "id bigint, commit_hash string, tone string, provider string, created_at timestamp_ntz, standup_text string, quality_score int",
+    )
+    runs = daily.author_windows(commits, files, "2024-01-02 09:00:00", 24)
+    again = daily.with_reuse(runs, stored, "casual", "local", requested_at="2024-01-02 09:00:00")
+    assert [(r.hit, r.history_id) for r in again.collect()] == [(True, 7)]
 
 
 @pytest.mark.parametrize("n,want", [(0, ""), (5, "f0, f1, f2, f3, f4"), (10, "f0, f1, f2, f3, f4 (+5 more)")])

@@ -185,3 +185,31 @@ def test_usage_prune(spark):
 def test_lookback_hours(spark, week, hours, configured, want):
     df = spark.createDataFrame([(week, hours, configured)], "w boolean, h int, c int")
     assert df.select(fc.lookback_hours("w", "h", "c")).first()[0] == want
+
+
+def test_retention_with_a_null_owner_loses_nothing(spark):
+    rows = [(i, None if i < 5 else "u", datetime(2024, 1, 1, i)) for i in range(9)]
+    df = spark.createDataFrame(rows, "id bigint, owner string, created_at timestamp_ntz")
+    kept = {r.id for r in oh.keep_newest(df, ["owner"], 2).collect()}
+    gone = {r.id for r in oh.beyond_ceiling(df, ["owner"], 2).collect()}
+    assert kept | gone == set(range(9)) and not kept & gone
+    assert {r.owner: r.deleted for r in oh.deleted_counts(df, ["owner"], 2).collect()} == {None: 3, "u": 2}
+
+
+def test_stored_days_are_pruned(spark, tmp_path):
+    place = str(tmp_path / "history")
+    rows = [(i, f"h{i}", "casual", "local", datetime(2024, 1, 1 + i), "t", 1) for i in range(6)]
+    names = "id bigint, commit_hash string, tone string, provider string, created_at timestamp_ntz, standup_text string, quality_score int"
+    df = spark.createDataFrame(rows, names)
+    df.withColumn("created_date", F.to_date("created_at")).write.partitionBy("created_date").parquet(place)
+    stored = spark.read.parquet(place)
+    purged = oh.purge(stored, "2024-01-06 12:00:00", days=2)
+    assert purged.count() == 2
+    plan = purged._jdf.queryExecution().executedPlan().toString()
+    assert "created_date" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    asked = spark.createDataFrame([("h3", "casual", "local", datetime(2024, 1, 4, 9))], "commit_hash string, tone string, provider string, requested_at timestamp_ntz")
+    asked.write.parquet(str(tmp_path / "asked"))
+    asked = spark.read.parquet(str(tmp_path / "asked")).filter("commit_hash = 'h3'")
+    found = oh.find_reusable(asked, stored)
+    assert [r.history_id for r in found.collect()] == [3]
+    assert oh.find_missing(asked, stored).count() == 0
