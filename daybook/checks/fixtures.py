@@ -112,6 +112,10 @@ FROM (SELECT event_id, event_type, user_id, regexp_extract(props, '([0-9]+)', 1)
     "log_lines": """
 SELECT event_id AS seq,
        CASE WHEN event_id % 17 = 0 THEN 'not json' WHEN event_id % 19 = 0 THEN '[1, 2]'
+         WHEN event_id % 23 = 0 THEN '{"event": "nan", "api_key": "k", "n": NaN, "ts": "2024-01-02T03:04:05"}'
+         WHEN event_id % 29 = 0 THEN '{"event": "first", "user_token": "t", "event": "last"}'
+         WHEN event_id % 31 = 0 THEN '{"event": "long", "n": ' || repeat('1234567890', 5) || ', "x": 1.50}'
+         WHEN event_id % 37 = 0 THEN '{"event": "broken", "n": {1}}'
          WHEN event_id % 13 = 0 THEN
            '{"ts": "' || replace(substring(CAST(ts AS STRING), 1, 19), ' ', 'T')
            || '", "level": "INFO", "event": "' || event_type

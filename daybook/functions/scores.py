@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import json
+import math
+import re
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from daybook.functions.text import col
+from daybook.functions.text import col, is_blank
 
 PAYLOAD = T.StructType(
     [
@@ -20,40 +22,83 @@ PAYLOAD = T.StructType(
 )
 
 
-def _texts(value) -> list[str]:
-    items = [str(x) for x in value] if isinstance(value, list) else []
-    return [x for x in items if x.strip()]
+#: What may stay in Spark's expressions: one object without escapes, control characters or fractions of
+#: unusual form.  All else is read by the strict reader.
+_ORDINARY_SCORE = r"^-?[0-9]{1,9}([.][0-9]{1,9})?$|^\"[ ]*[+-]?[0-9]{1,9}[ ]*\"$"
+_UNUSUAL = r"[\\\x00-\x1f]|^.+\{"
 
 
-def _payload(block: str | None) -> tuple[int, list[str], list[str]]:
-    empty = (0, [], [])
-    if not block:
-        return empty
-    try:
-        found = json.loads(block)
-        score = found.get("score", 0)
-        try:
-            score = max(0, min(int(score), 100))
-        except (TypeError, ValueError):
-            score = 0
-    except (ValueError, OverflowError, RecursionError):
-        return empty
-    return score, _texts(found.get("issues")), _texts(found.get("strengths"))
+def _bounded(number):
+    return F.greatest(F.lit(0), F.least(number, F.lit(100)))
+
+
+def _flat_payload(block: Column) -> Column:
+    """The payload of an ordinary flat block, null for any other."""
+    found = F.try_parse_json(F.when(~block.rlike(_UNUSUAL), block)).try_cast("map<string,variant>")
+
+    def read(fields: Column) -> Column:
+        given = F.to_json(fields["score"])
+        number = F.trim(given, F.lit('" '))
+        score = F.when(F.map_contains_key(fields, "score"), _bounded(number.try_cast("double").cast("int"))).otherwise(0)
+        lists = [fields[name].try_cast("array<variant>") for name in ("issues", "strengths")]
+        plain = [F.coalesce(F.forall(x, lambda v: F.to_json(v).startswith('"')), F.lit(True)) for x in lists]
+        texts = [
+            F.filter(F.transform(x, lambda v: v.try_cast("string")), lambda t: ~is_blank(t)) for x in lists
+        ]
+        issues, strengths = (F.coalesce(t, F.array().cast("array<string>")) for t in texts)
+        ordinary = ~F.map_contains_key(fields, "score") | given.rlike(_ORDINARY_SCORE)
+        made = F.struct(score.cast("int").alias("score"), issues.alias("issues"), strengths.alias("strengths"))
+        return F.when(ordinary & plain[0] & plain[1], made)
+
+    return F.get(F.transform(F.array(found), lambda m: F.when(m.isNotNull(), read(m))), F.lit(0))
+
+
+def _whole(value) -> int:
+    """A number, or a text that reads as a whole number, held to 0..100; 0 for anything else."""
+    if isinstance(value, str):
+        digits = value.strip()
+        value = int(digits) if len(digits) < 1000 and re.fullmatch(r"[+-]?\d+(?:_\d+)*", digits) else 0
+    elif isinstance(value, float):
+        value = 0 if math.isnan(value) else math.trunc(value)
+    return min(100, max(0, int(value))) if isinstance(value, int) else 0
+
+
+def _named_texts(found: dict, name: str) -> list[str]:
+    listed = found.get(name)
+    shown = map(str, listed if isinstance(listed, list) else ())
+    return list(filter(str.strip, shown))
 
 
 @F.pandas_udf(PAYLOAD)
-def _read_payload(blocks: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([_payload(b) for b in blocks], columns=["score", "issues", "strengths"])
+def _strict_payload(blocks: pd.Series) -> pd.DataFrame:
+    """What the strict reader makes of each block; nothing for what is no object."""
+    rows = []
+    for block in blocks:
+        row = (0, [], [])
+        try:
+            found = json.loads(block) if block else None
+            if isinstance(found, dict):
+                row = (_whole(found.get("score", 0)), *(_named_texts(found, n) for n in ("issues", "strengths")))
+        except (ValueError, OverflowError, RecursionError):
+            pass  # not readable: the empty payload
+        rows.append(row)
+    return pd.DataFrame(rows, columns=["score", "issues", "strengths"])
 
 
 def score_payload(raw: Column | str) -> Column:
     """Score 0..100, issues and strengths from the widest ``{...}`` of a raw answer.
 
-    Only the slice goes to Python.  Spark's JSON readers accept text a strict reader
-    rejects (anything behind the object, single quotes) and reject text it accepts
-    (repeated keys, NaN), so the slice is read by the strict reader itself.
+    Ordinary flat blocks are read by Spark: a block with a single opening brace cannot hold a second
+    object behind the first, which Spark would overlook.  The rest goes to the strict reader.
     """
-    return _read_payload(F.regexp_extract(F.coalesce(col(raw), F.lit("")), r"(?s)\{.*\}", 0))
+    block = F.regexp_extract(F.coalesce(col(raw), F.lit("")), r"(?s)\{.*\}", 0)
+    flat = F.struct(_flat_payload(block).alias("flat"), block.alias("block"))
+
+    def choose(s: Column) -> Column:
+        return F.struct(s["flat"].alias("flat"), F.when(s["flat"].isNull(), s["block"]).alias("rest"))
+
+    read = F.get(F.transform(F.array(flat), choose), F.lit(0))
+    return F.coalesce(read["flat"], _strict_payload(read["rest"]))
 
 
 def score_band(score: Column | str) -> Column:

@@ -44,7 +44,7 @@ def admit(
     ``enabled`` for limiting, skip the checks; every admitted call that succeeded is recorded, at
     its completion time where there is one.  A call without a time is refused as ``invalid``.
     """
-    plan = _prepared(calls, user, ts, order, enabled, forced, succeeded, completed)
+    plan = prepared(calls, user, ts, order, enabled, forced, succeeded, completed)
     cooldown_us, cap = int(cooldown_minutes) * 60_000_000, int(max_calls)
     given = list(dict.fromkeys([user, order, ts]))
     timed = plan.filter(F.col("_at").isNotNull()).withColumn("_day", F.floor(F.col("_at") / DAY_US))
@@ -66,7 +66,7 @@ def _micros(calls: DataFrame, column: str) -> Column:
     return F.timestamp_diff("MICROSECOND", epoch, F.col(column))
 
 
-def _prepared(calls, user, ts, order, enabled, forced, succeeded, completed) -> DataFrame:
+def prepared(calls, user, ts, order, enabled, forced, succeeded, completed) -> DataFrame:
     at = _micros(calls, ts)
     skips = F.lit(False)
     if forced:

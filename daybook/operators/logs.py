@@ -22,46 +22,38 @@ def tail(lines: DataFrame, limit: int = 20, seq: str = "seq") -> DataFrame:
     return last.filter(fe.is_json_object("line")).orderBy(seq)
 
 
-def _read(lines: DataFrame) -> DataFrame:
-    """Object lines with their field map.
-
-    Exploding the map or nothing drops the other lines with one parse per line; a
-    filter on the map would be pushed down and parse every line again.
-    """
-    found = F.array_compact(F.array(fe.event_fields("line")))
-    return lines.select("*", F.explode(found).alias("_fields"))
+def _read(lines: DataFrame, *columns: str) -> DataFrame:
+    """The columns with each line's ``fields`` and ``rest``; exploding binds one parse per line."""
+    return lines.select(*columns, F.explode(F.array(fe.read_line("line"))).alias("_read")).select(
+        *columns, "_read.*"
+    )
 
 
 def view(lines: DataFrame) -> DataFrame:
     """Printed listing of object lines: clock time, event, up to 120 characters of detail."""
-    details = fe.printed_fields("_fields", ("ts", "event", "level"))
-    return _read(lines).select(
+    details = F.array_join(fe.printed_fields("fields", ("ts", "event", "level")), ", ")
+    flat = F.col("fields").isNotNull()
+    strict = _read(lines, "seq").withColumn("_strict", fe.view_strictly("rest"))
+    return strict.filter(flat | F.col("_strict.found")).select(
         "seq",
-        F.substring(fe.field_text("_fields", "ts"), 12, 8).alias("time"),
-        fe.field_text("_fields", "event").alias("event"),
-        F.left(F.array_join(details, ", "), F.lit(120)).alias("detail"),
+        F.substring(F.when(flat, fe.field_text("fields", "ts")).otherwise(F.col("_strict.ts")), 12, 8).alias("time"),
+        F.when(flat, fe.field_text("fields", "event")).otherwise(F.col("_strict.event")).alias("event"),
+        F.left(F.when(flat, details).otherwise(F.col("_strict.detail")), F.lit(120)).alias("detail"),
     )
 
 
 def redact(lines: DataFrame) -> DataFrame:
-    """Object lines with sensitive fields hidden and keys sorted; other lines are dropped.
-
-    Flat lines stay inside Spark's expressions; lines that may hold objects inside
-    objects go through the Python walker.
-    """
-    flat = F.when(~fe.may_nest("line"), F.to_json(fe.redact_fields("_fields")))
-    read = _read(lines).select("seq", "line", flat.alias("_flat"))
-    walked = fe.redact_nested_json(F.when(F.col("_flat").isNull(), F.col("line")))
-    return read.select("seq", F.coalesce("_flat", walked).alias("line"))
+    """Object lines with sensitive fields hidden and keys sorted; other lines are dropped."""
+    flat = F.to_json(fe.redact_fields("fields"))
+    read = _read(lines, "seq").select("seq", flat.alias("_flat"), fe.redact_strictly("rest").alias("_strict"))
+    return read.select("seq", F.coalesce("_flat", "_strict").alias("line")).filter(F.col("line").isNotNull())
 
 
 def _field(name: str, value: Column, kind: T.DataType) -> Column:
     """A field as it may be written: names decide, so nested structs are settled here."""
-    lowered = name.strip().lower()
-    if lowered in rules.SAFE_LOG_KEYS:
+    if name.strip().lower() in rules.SAFE_LOG_KEYS:
         return value
-    fragments = rules.SENSITIVE_LOG_FRAGMENTS
-    if lowered in rules.SENSITIVE_LOG_KEYS or any(x in lowered for x in fragments):
+    if fe.hides(name):
         return F.lit(rules.REDACTED)
     if isinstance(kind, T.StructType):
         inner = [_field(f.name, value[f.name], f.dataType).alias(f.name) for f in kind.fields]

@@ -33,13 +33,14 @@ def build(app: str = "daybook", master: str | None = None, **extra: str) -> Spar
 def checkpointed(df):
     """Cut lineage with a table written to the shared folder the cluster names in its settings.
 
-    The table is removed when Spark ends.  It brings its true size to the planner, where a
+    Only where that setting is absent, as in tests, a temporary folder is set.  The table is removed when Spark ends.  It brings its true size to the planner, where a
     checkpoint would carry the estimates of all rounds before it through a loop.
     """
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+        folder = tempfile.mkdtemp(prefix="daybook-shared-")
+        spark.conf.set("spark.checkpoint.dir", folder)
     place = f"{folder.rstrip('/')}/daybook-{uuid.uuid4().hex}"
     df.write.parquet(place)
     path = spark._jvm.org.apache.hadoop.fs.Path(place)

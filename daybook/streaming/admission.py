@@ -12,8 +12,14 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from daybook import rules
 from daybook.functions.limits import DAY_US, REASONS, LimitState, decide_sorted
+from daybook.operators.admission import prepared
 
-STATE = "last bigint, day bigint, used int"
+#: Last recorded call, recorded calls by day, and the calls that wait for the watermark.
+STATE = (
+    "last bigint, days array<bigint>, used array<int>, "
+    "at array<bigint>, id array<bigint>, done array<bigint>, free array<boolean>, ok array<boolean>"
+)
+_WAITING = ["_at", "_id", "_done", "_free", "_ok"]
 
 
 def admit_stream(
@@ -23,40 +29,92 @@ def admit_stream(
     user: str = "user_id",
     ts: str = "ts",
     order: str = "call_id",
+    enabled: str | None = None,
+    forced: str | None = None,
+    succeeded: str | None = None,
+    completed: str | None = None,
+    lateness: str = "10 minutes",
 ) -> DataFrame:
-    """Calls with ``admitted``, ``reason`` and ``seconds_remaining``, as they arrive.
+    """(user, order, at, admitted, reason, seconds_remaining), each call once the watermark passed it.
 
-    State per user is three numbers: last admitted call, its day, calls of that day.
-    Calls of one trigger are put in time order; a call older than the last admitted
-    one is in its cooldown, as it would be in the batch form had it been known late.
+    Calls wait until no earlier one can come, so the result is that of the batch form whatever the
+    order of files and the size of triggers.  ``order`` is an integer column.  A call later than
+    ``lateness`` allows is dropped by the watermark, as in any stream, and counted in the query's
+    progress; one without a time is ``invalid`` at once.  A user's state holds the waiting calls of
+    the lateness span and is dropped once its cooldown and its day have passed.
     """
-    cooldown_us = int(cooldown_minutes) * 60_000_000
-    epoch = F.lit("1970-01-01 00:00:00").cast(calls.schema[ts].dataType)
-    timed = calls.select(
-        F.col(user), F.col(order), F.col(ts), F.timestamp_diff("MICROSECOND", epoch, F.col(ts)).alias("_at")
+    cooldown_us, cap = int(cooldown_minutes) * 60_000_000, int(max_calls)
+    facts = prepared(calls, user, ts, order, enabled, forced, succeeded, completed)
+    timed = (
+        facts.filter(F.col("_at").isNotNull())
+        .select("_user", *_WAITING, F.col(ts).cast("timestamp").alias("_event"))
+        .withWatermark("_event", lateness)
     )
-    kinds = {c: calls.schema[c].dataType.simpleString() for c in (user, order, ts)}
-    out = ", ".join(f"{c} {k}" for c, k in kinds.items())
-    out += ", admitted boolean, reason string, seconds_remaining bigint"
 
     def decide(
         key: tuple, batches: Iterator[pd.DataFrame], held: GroupState
     ) -> Iterator[pd.DataFrame]:
-        arrived = pd.concat(batches, ignore_index=True).sort_values(["_at", order], kind="stable")
-        state = LimitState()
-        if held.exists:
-            last, day, used = held.get
-            state = LimitState(last, {day: used})
-        at = arrived["_at"].to_numpy()
-        never, always = np.zeros(len(at), dtype=bool), np.ones(len(at), dtype=bool)
-        reason, left = decide_sorted(at, at, never, always, state, cooldown_us, int(max_calls))
-        if state.last is not None:
-            day = state.last // DAY_US
-            held.update((int(state.last), int(day), int(state.used.get(day, 0))))
-        yield arrived[[user, order, ts]].assign(
-            admitted=reason == 0, reason=REASONS[reason], seconds_remaining=left
-        )
-
-    return timed.groupBy(user).applyInPandasWithState(
-        decide, out, STATE, "append", GroupStateTimeout.NoTimeout
+        mark = held.getCurrentWatermarkMs() * 1000
+        state, waiting = _read(held.getOption)
+        waiting = [*waiting, *(batch[_WAITING] for batch in batches)]
+        rows = pd.concat(waiting) if waiting else pd.DataFrame({c: [] for c in _WAITING})
+        rows = rows.sort_values(_WAITING, kind="stable")
+        ready = rows[rows["_at"] < mark]
+        if len(ready):
+            columns = (ready[c].to_numpy(t) for c, t in zip(("_at", "_done", "_free", "_ok"), ("int64", "int64", bool, bool)))
+            reason, left = decide_sorted(*columns, state, cooldown_us, cap)
+            yield _frame(key[0], ready, REASONS[reason], left)
+        _keep(held, state, rows[rows["_at"] >= mark], mark, cooldown_us)
+
+    decided = timed.groupBy("_user").applyInPandasWithState(
+        decide,
+        "user string, id bigint, at bigint, admitted boolean, reason string, seconds_remaining bigint",
+        STATE,
+        "append",
+        GroupStateTimeout.EventTimeTimeout,
+    )
+    untimed = facts.filter(F.col("_at").isNull()).select(
+        user,
+        order,
+        F.lit(None).cast("timestamp").alias("at"),
+        F.lit(False).alias("admitted"),
+        F.lit("invalid").alias("reason"),
+        F.lit(0).cast("bigint").alias("seconds_remaining"),
     )
+    return decided.select(
+        F.nullif(F.col("user"), F.lit("")).cast(calls.schema[user].dataType).alias(user),
+        F.col("id").cast(calls.schema[order].dataType).alias(order),
+        F.timestamp_micros("at").alias("at"),
+        "admitted",
+        "reason",
+        "seconds_remaining",
+    ).unionByName(untimed)
+
+
+def _read(stored) -> tuple[LimitState, list[pd.DataFrame]]:
+    if stored is None:
+        return LimitState(), []
+    last, days, used, *waiting = stored
+    rows = pd.DataFrame(dict(zip(_WAITING, waiting)))
+    return LimitState(last, dict(zip(days, used))), [rows] if len(rows) else []
+
+
+def _frame(user: str, rows: pd.DataFrame, reason, left) -> pd.DataFrame:
+    out = pd.DataFrame({"user": user, "id": rows["_id"].astype("Int64"), "at": rows["_at"].astype("Int64")})
+    return out.assign(admitted=np.asarray(reason) == "", reason=reason, seconds_remaining=left)
+
+
+def _keep(held: GroupState, state: LimitState, waiting: pd.DataFrame, mark: int, cooldown_us: int) -> None:
+    """Store what can still matter and when to look again; drop the state when nothing can."""
+    used = {d: n for d, n in state.used.items() if (d + 1) * DAY_US > mark}
+    last = state.last if state.last is not None and state.last + cooldown_us > mark else None
+    ends = [(d + 1) * DAY_US for d in used] + ([last + cooldown_us] if last is not None else [])
+    if len(waiting):
+        ends = [int(waiting["_at"].min()) + 1]
+    if not ends:
+        if held.exists:
+            held.remove()
+        return
+    kept = [[int(v) for v in waiting[c]] for c in _WAITING[:3]] + [[bool(v) for v in waiting[c]] for c in _WAITING[3:]]
+    held.update((last, list(map(int, used)), list(map(int, used.values())), *kept))
+    held.setTimeoutTimestamp(max(mark // 1000 + 1, -(-max(ends) // 1000) if not len(waiting) else -(-ends[0] // 1000)))

@@ -41,7 +41,11 @@ def first_requests(
 ) -> DataFrame:
     """First request per fingerprint, tone, provider and day: the ones to generate for.
 
-    The key holds the day, so state is dropped once the watermark is past it.
+    The key holds the day, so state is dropped once the watermark is past it.  A key is remembered for
+    ``lateness`` only, so less than a day would let repeats of the same day through and is refused.
     """
+    days = requests.sparkSession.sql(f"SELECT INTERVAL {lateness} >= INTERVAL 1 DAY AS enough").first()
+    if not days["enough"]:
+        raise ValueError(f"lateness must be at least 1 day, got: {lateness!r}")
     dated = requests.withColumn("day", F.to_date(ts)).withWatermark(ts, lateness)
     return dated.dropDuplicatesWithinWatermark(["commit_hash", "tone", "provider", "day"])

@@ -85,16 +85,42 @@ def test_first_requests(run):
     assert sorted(map(tuple, got.select(*keys).collect())) == sorted(map(tuple, want.collect()))
 
 
-def test_admission(run):
+@pytest.mark.parametrize("files", [2, 7])
+def test_admission_in_any_order_of_arrival(run, files):
+    """Shuffled within an hour, with flags and calls without a time, at two trigger sizes."""
     rnd = random.Random(5)
-    rows = sorted(
-        ((rnd.randrange(4), i, START + timedelta(minutes=7 * i)) for i in range(300)),
-        key=lambda r: r[2],
+    rows = [
+        (
+            rnd.randrange(4),
+            i,
+            START + timedelta(minutes=7 * i),
+            rnd.random() < 0.1,
+            rnd.random() < 0.1,
+            rnd.random() < 0.8,
+            START + timedelta(minutes=7 * i + rnd.randrange(30)),
+        )
+        for i in range(240)
+    ]
+    rows = sorted(rows, key=lambda r: r[2] + timedelta(minutes=rnd.randrange(60)))
+    rows += [(1, 900, None, False, False, True, None)]
+    # far later calls of another user move the watermark past all others
+    rows += [(9, 1000 + i, START + timedelta(days=9 + i), False, False, True, None) for i in range(3)]
+    schema = "user_id bigint, call_id bigint, ts timestamp, forced boolean, off boolean, ok boolean, done timestamp"
+    flags = dict(forced="forced", enabled="on", succeeded="ok", completed="done")
+    on = F.expr("NOT off")
+    got, batch = run(
+        rows,
+        schema,
+        lambda s: admit_stream(s.withColumn("on", on), 45, 5, lateness="3 hours", **flags),
+        files=files,
     )
-    schema = "user_id bigint, call_id bigint, ts timestamp"
-    got, batch = run(rows, schema, lambda s: admit_stream(s, 45, 5))
-    want = admit(batch, 45, 5)
+    want = admit(batch.withColumn("on", on), 45, 5, **flags).filter("user_id <> 9")
     columns = ["user_id", "call_id", "admitted", "reason", "seconds_remaining"]
-    assert sorted(map(tuple, got.select(*columns).collect())) == sorted(
-        map(tuple, want.select(*columns).collect())
-    )
+    shown = sorted(map(tuple, got.filter("user_id <> 9").select(*columns).collect()))
+    assert shown == sorted(map(tuple, want.select(*columns).collect()))
+
+
+def test_short_lateness_of_first_requests_is_refused(spark):
+    rows = spark.createDataFrame([], "commit_hash string, tone string, provider string, requested_at timestamp")
+    with pytest.raises(ValueError, match="at least 1 day"):
+        flows.first_requests(rows, lateness="6 hours")
