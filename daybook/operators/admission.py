@@ -1,12 +1,12 @@
 """Admission of calls under a cooldown and a daily limit, decided per user in time order.
 
 The rule is a greedy recursion: a call is judged against the last call that was recorded.  Every
-user's days are walked apart, in time order and with constant memory, so a user with very many
-calls is as many units of work as days.  A day depends on the days before it only through its
-entry state: the last recorded call, where its cooldown reaches into the day, and calls recorded
-into the day from before.  Days are first walked from a fresh state; those whose real entry state
-differs are walked again, until none is left.  Turns follow how far a change travels from day to
-day, never the number of calls.
+user's weeks are walked apart, in time order and with constant memory, so a user with very many
+calls is as many units of work as weeks.  A week depends on the weeks before it only through its
+entry state: the last recorded call, where its cooldown reaches into the week, and calls recorded
+into its days from before.  Weeks are first walked from a fresh state; those whose real entry state
+differs are walked again, until none is left.  Turns follow how far a change travels from week to
+week, never the number of calls.
 """
 
 from __future__ import annotations
@@ -23,7 +23,9 @@ from daybook import rules
 from daybook.functions.limits import DAY_US, REASONS, LimitState, decide_sorted
 from daybook.session import checkpointed
 
-DAY = ["_user", "_day"]
+DAYS = 7
+WEEK = ["_user", "_week"]
+_USED = "array<struct<day:bigint,used:int>>"
 
 
 def admit(
@@ -47,9 +49,9 @@ def admit(
     plan = prepared(calls, user, ts, order, enabled, forced, succeeded, completed)
     cooldown_us, cap = int(cooldown_minutes) * 60_000_000, int(max_calls)
     given = list(dict.fromkeys([user, order, ts]))
-    timed = plan.filter(F.col("_at").isNotNull()).withColumn("_day", F.floor(F.col("_at") / DAY_US))
-    entries = _entries_of_days(timed, cooldown_us, cap)
-    decided = _walk_days(timed.join(entries, DAY, "left"), given, cooldown_us, cap)
+    timed = plan.filter(F.col("_at").isNotNull()).withColumn("_week", F.floor(F.col("_at") / (DAYS * DAY_US)))
+    entries = _entries_of_weeks(timed, cooldown_us, cap)
+    decided = _walk_weeks(timed.join(entries, WEEK, "left"), given, cooldown_us, cap)
     untimed = plan.filter(F.col("_at").isNull()).select(
         *given, F.lit("invalid").alias("_reason"), F.lit(0).cast("bigint").alias("_left")
     )
@@ -87,30 +89,32 @@ def prepared(calls, user, ts, order, enabled, forced, succeeded, completed) -> D
 
 
 def _in_order(rows: DataFrame) -> DataFrame:
-    """Each day of a user in one task, in the order calls are judged."""
-    return rows.repartition(*DAY).sortWithinPartitions(*DAY, "_at", "_id", "_done", "_free", "_ok")
+    """Each week of a user in one task, in the order calls are judged."""
+    return rows.repartition(*WEEK).sortWithinPartitions(*WEEK, "_at", "_id", "_done", "_free", "_ok")
 
 
 def _judged(
     batches: Iterator[pd.DataFrame], cooldown_us: int, cap: int
 ) -> Iterator[tuple[pd.DataFrame, list[tuple], np.ndarray, np.ndarray]]:
-    """Batches with their day parts (start, user, day, entry, state), reasons and seconds left.
+    """Batches with their week parts (start, user, week, entry, state), reasons and seconds left.
 
-    A part's state is the day's state after it; a day may go on in the next batch.
+    A part's state is the week's state after it; a week may go on in the next batch.
     """
     current, state, entry = None, LimitState(), None
     for batch in batches:
-        users, days, *facts = (batch[c].to_numpy() for c in (*DAY, "_at", "_done", "_free", "_ok"))
+        users, weeks, *facts = (batch[c].to_numpy() for c in (*WEEK, "_at", "_done", "_free", "_ok"))
         given = [batch[c].to_numpy() if c in batch else None for c in ("_entry_last", "_entry_used")]
-        edges = np.flatnonzero((users[1:] != users[:-1]) | (days[1:] != days[:-1])) + 1
+        edges = np.flatnonzero((users[1:] != users[:-1]) | (weeks[1:] != weeks[:-1])) + 1
         parts, reasons, lefts = [], [], []
         for start, stop in zip([0, *edges], [*edges, len(users)], strict=True):
             if start == stop:
                 continue
-            key = (users[start], int(days[start]))
+            key = (users[start], int(weeks[start]))
             if key != current:
-                last, used = (None if g is None or pd.isna(g[start]) else int(g[start]) for g in given)
-                current, entry, state = key, last, LimitState(last, {key[1]: used} if used else {})
+                last, used = (None if g is None else g[start] for g in given)
+                entry = None if last is None or pd.isna(last) else int(last)
+                days = {int(u["day"]): int(u["used"]) for u in used} if used is not None else {}
+                current, state = key, LimitState(entry, days)
             reason, left = decide_sorted(*(f[start:stop] for f in facts), state, cooldown_us, cap)
             parts.append((start, *key, entry, state))
             reasons.append(reason)
@@ -119,7 +123,7 @@ def _judged(
             yield batch, parts, np.concatenate(reasons), np.concatenate(lefts)
 
 
-def _walk_days(rows: DataFrame, given: list[str], cooldown_us: int, cap: int) -> DataFrame:
+def _walk_weeks(rows: DataFrame, given: list[str], cooldown_us: int, cap: int) -> DataFrame:
     """Every call's decision, from the entry state its row carries."""
     schema = T.StructType(
         [
@@ -136,48 +140,48 @@ def _walk_days(rows: DataFrame, given: list[str], cooldown_us: int, cap: int) ->
     return _in_order(rows).mapInPandas(walk, schema)
 
 
-_EXIT = "_user string, _day bigint, _first bigint, _last bigint, _later array<struct<day:bigint,used:int>>"
+_EXIT = f"_user string, _week bigint, _first bigint, _last bigint, _later {_USED}"
 
 
 def _exit_states(rows: DataFrame, cooldown_us: int, cap: int) -> DataFrame:
-    """One row a day: its first call, the last recorded call, calls recorded into later days."""
+    """One row a week: its first call, the last recorded call, calls recorded into later weeks."""
 
-    def frame(days: list[tuple]) -> pd.DataFrame:
+    def frame(weeks: list[tuple]) -> pd.DataFrame:
         out = [
             (
                 user,
-                day,
+                week,
                 first,
                 None if state.last == entry else state.last,
-                [{"day": d, "used": n} for d, n in sorted(state.used.items()) if d > day],
+                [{"day": d, "used": n} for d, n in sorted(state.used.items()) if d // DAYS > week],
             )
-            for first, user, day, entry, state in days
+            for first, user, week, entry, state in weeks
         ]
-        named = pd.DataFrame(out, columns=["_user", "_day", "_first", "_last", "_later"])
+        named = pd.DataFrame(out, columns=["_user", "_week", "_first", "_last", "_later"])
         return named.astype({"_last": "Int64"})
 
-    def reduce_days(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        going = None  # the day that may go on in the next batch
+    def reduce_weeks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        going = None  # the week that may go on in the next batch
         for batch, parts, _, _ in _judged(batches, cooldown_us, cap):
             at, closed = batch["_at"].to_numpy(), []
-            for start, user, day, entry, state in parts:
-                if going and going[1:3] == (user, day):
+            for start, user, week, entry, state in parts:
+                if going and going[1:3] == (user, week):
                     continue
                 if going:
                     closed.append(going)
-                going = (int(at[start]), user, day, entry, state)
+                going = (int(at[start]), user, week, entry, state)
             if closed:
                 yield frame(closed)
         if going:
             yield frame([going])
 
-    return _in_order(rows).mapInPandas(reduce_days, _EXIT)
+    return _in_order(rows).mapInPandas(reduce_weeks, _EXIT)
 
 
-def _entries_of_days(timed: DataFrame, cooldown_us: int, cap: int) -> DataFrame:
-    """(user, day, entry state) of the days that do not start fresh."""
-    facts = timed.select(*DAY, "_at", "_id", "_done", "_free", "_ok")
-    fresh = {"_entry_last": F.lit(None).cast("bigint"), "_entry_used": F.lit(0)}
+def _entries_of_weeks(timed: DataFrame, cooldown_us: int, cap: int) -> DataFrame:
+    """(user, week, entry state) of the weeks that do not start fresh."""
+    facts = timed.select(*WEEK, "_at", "_id", "_done", "_free", "_ok")
+    fresh = {"_entry_last": F.lit(None).cast("bigint"), "_entry_used": F.array().cast(_USED)}
     solved = checkpointed(_exit_states(facts, cooldown_us, cap).withColumns(fresh))
     while True:
         entry = _entry_states(solved, cooldown_us)
@@ -186,36 +190,39 @@ def _entries_of_days(timed: DataFrame, cooldown_us: int, cap: int) -> DataFrame:
             & (F.col("_entry_used") == F.col("_next_used"))
         )
         again = checkpointed(
-            solved.join(entry, DAY)
+            solved.join(entry, WEEK)
             .filter(differs)
-            .select(*DAY, F.col("_next_last").alias("_entry_last"), F.col("_next_used").alias("_entry_used"))
+            .select(*WEEK, F.col("_next_last").alias("_entry_last"), F.col("_next_used").alias("_entry_used"))
         )
         if again.isEmpty():
-            fresh_day = F.col("_entry_last").isNull() & (F.col("_entry_used") == 0)
-            return solved.filter(~fresh_day).select(*DAY, "_entry_last", "_entry_used")
-        redone = _exit_states(facts.join(again, DAY), cooldown_us, cap).join(again, DAY)
-        kept = solved.join(again.select(*DAY), DAY, "left_anti")
+            starts_fresh = F.col("_entry_last").isNull() & (F.size("_entry_used") == 0)
+            return solved.filter(~starts_fresh).select(*WEEK, "_entry_last", "_entry_used")
+        redone = _exit_states(facts.join(again, WEEK), cooldown_us, cap).join(again, WEEK)
+        kept = solved.join(again.select(*WEEK), WEEK, "left_anti")
         solved = checkpointed(kept.unionByName(redone))
 
 
 def _entry_states(solved: DataFrame, cooldown_us: int) -> DataFrame:
-    """State each day starts from, reduced to what can matter on that day."""
+    """State each week starts from, reduced to what can matter in that week."""
     earlier = (
-        Window.partitionBy("_user").orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
+        Window.partitionBy("_user").orderBy("_week").rowsBetween(Window.unboundedPreceding, -1)
     )
     carried = F.last("_last", ignorenulls=True).over(earlier)
+    day = F.col("_l.day")
     spilled = (
         solved.select("_user", F.explode("_later").alias("_l"))
-        .groupBy("_user", F.col("_l.day").alias("_day"))
-        .agg(F.sum("_l.used").cast("int").alias("_spilled"))
+        .groupBy("_user", day.alias("day"))
+        .agg(F.sum("_l.used").cast("int").alias("used"))
+        .groupBy("_user", F.floor(F.col("day") / DAYS).alias("_week"))
+        .agg(F.array_sort(F.collect_list(F.struct("day", "used"))).alias("_spilled"))
     )
     matters = F.col("_carried") + cooldown_us > F.col("_first")
     return (
-        solved.select(*DAY, "_first", carried.alias("_carried"))
-        .join(spilled, DAY, "left")
+        solved.select(*WEEK, "_first", carried.alias("_carried"))
+        .join(spilled, WEEK, "left")
         .select(
-            *DAY,
+            *WEEK,
             F.when(matters, F.col("_carried")).alias("_next_last"),
-            F.coalesce("_spilled", F.lit(0)).alias("_next_used"),
+            F.coalesce("_spilled", F.array().cast(_USED)).alias("_next_used"),
         )
     )

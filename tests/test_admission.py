@@ -67,9 +67,9 @@ def test_forced_failed_and_slow_calls(spark, cooldown, cap):
     assert decided(got) == plain_loop(rows, cooldown, cap)
 
 
-@pytest.mark.parametrize("cooldown,cap", [(200, 3), (1440, 2), (4000, 9)])
+@pytest.mark.parametrize("cooldown,cap", [(300, 3), (1440, 2), (12_000, 9)])
 def test_one_user_with_all_rows(spark, cooldown, cap):
-    rows = [(1, *r[1:]) for r in calls(300, 3, 6, seed=11, flags=True)]
+    rows = [(1, *r[1:]) for r in calls(500, 3, 40, seed=11, flags=True)]
     df = spark.createDataFrame(rows, FLAGGED)
     got = admit(df, cooldown, cap, forced="forced", succeeded="ok", completed="done")
     assert decided(got) == plain_loop(rows, cooldown, cap)
