@@ -63,11 +63,17 @@ KINDS = {
     "phone": r"\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[ .-]?[0-9]{2,4}){1,4}(?![0-9])"
     r"|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}(?![0-9])|(?<![0-9.-])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![0-9-])",
     "card": r"(?<![0-9])[3-6](?:[ -]?[0-9]){12,18}(?![0-9])",
-    "name": rf"(?<!\p{{L}})(?:{_TITLED}{_NAME}(?: {_NAME}){{0,2}}|(?:{_GIVEN_M}|{_GIVEN_F}) {_NAME})",
+    "name": rf"(?<!\p{{L}})(?=[\p{{Lu}}гκ])(?:{_TITLED}{_NAME}(?: {_NAME}){{0,2}}|(?:{_GIVEN_M}|{_GIVEN_F}) {_NAME})",
 }
 ANY = "|".join(f"(?:{p})" for p in KINDS.values())
-#: A text without any of these holds no entity, and is not searched further.
-CLUE = "[0-9@]|(?i:password|passwd|pwd|secret|token|api[_-]?key)|" + f"(?<!\\p{{L}})(?:{_TITLED}\\p{{Lu}}|(?:{_GIVEN_M}|{_GIVEN_F}) \\p{{Lu}})"
+#: A text without either holds no entity and is not searched further.  The second looks at names only
+#: where a word begins with a capital, or with the first letter of a lower-case title.
+SIGNS = "[0-9@=:]"
+NAME_SIGN = f"(?:^|[^\\p{{L}}])(?=[\\p{{Lu}}гκ])(?:{_TITLED}|(?:{_GIVEN_M}|{_GIVEN_F}) )\\p{{Lu}}"
+
+
+def may_hold(text: Column) -> Column:
+    return text.rlike(SIGNS) | text.rlike(NAME_SIGN)
 
 
 def _const(values: list[str]) -> Column:
@@ -246,7 +252,7 @@ def _bound(value: Column, then) -> Column:
 
 
 def replaced(text: Column, key: str, attempt_of) -> Column:
-    """``text`` with every entity replaced."""
+    """``text`` with every entity replaced, and the kinds of the entities, as a struct."""
     pair = F.struct(
         F.regexp_extract_all(text, F.lit(ANY), 0).alias("found"), F.split(text, ANY, -1).alias("between")
     )
@@ -255,14 +261,16 @@ def replaced(text: Column, key: str, attempt_of) -> Column:
         changed = F.transform(
             p["found"], lambda m, i: F.concat(F.get(p["between"], i), surrogate(key, m, attempt_of))
         )
-        return F.concat(F.array_join(changed, ""), F.get(p["between"], F.size(p["found"])))
+        whole = F.concat(F.array_join(changed, ""), F.get(p["between"], F.size(p["found"])))
+        return F.struct(whole.alias("text"), F.transform(p["found"], kind_of).alias("kinds"))
 
-    return F.when(text.rlike(CLUE), _bound(pair, rebuild)).otherwise(text)
+    nothing = F.struct(text.alias("text"), F.array().cast("array<string>").alias("kinds"))
+    return F.when(may_hold(text), _bound(pair, rebuild)).otherwise(nothing)
 
 
 def entities(docs: DataFrame) -> DataFrame:
     """(text, kind, canon) of every mention."""
-    found = docs.where(F.col("text").rlike(CLUE)).select(
+    found = docs.where(may_hold(F.col("text"))).select(
         "text", F.explode(F.regexp_extract_all("text", F.lit(ANY), 0)).alias("match")
     )
     return found.withColumn("kind", kind_of(F.col("match"))).select(
@@ -296,11 +304,11 @@ def attempts(docs: DataFrame, key: str = KEY, most: int = MOST_ATTEMPTS) -> Data
     return known.where("attempt > 0")
 
 
-def replace_entities(docs: DataFrame, key: str = KEY) -> DataFrame:
-    """``docs`` with surrogates in ``text``; all other columns as they are."""
-    later = cut(attempts(docs, key))
+def _with_replaced(docs: DataFrame, key: str, name: str) -> DataFrame:
+    """``docs`` and a struct column of the new text and the kinds found."""
+    later = attempts(docs, key)
     if later.isEmpty():
-        return docs.withColumn("text", replaced(F.col("text"), key, lambda kind, canon: F.lit(0)))
+        return docs.withColumn(name, replaced(F.col("text"), key, lambda kind, canon: F.lit(0)))
     digest, retry = free_name(docs, "_digest"), free_name(docs, "_retry")
     by_text = (
         entities(docs)
@@ -316,22 +324,26 @@ def replace_entities(docs: DataFrame, key: str = KEY) -> DataFrame:
     def attempt_of(kind: Column, canon: Column) -> Column:
         return F.coalesce(F.element_at(F.col(retry), F.concat_ws("\u0001", kind, canon)), F.lit(0))
 
-    return joined.withColumn("text", replaced(F.col("text"), key, attempt_of)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return joined.withColumn(name, replaced(F.col("text"), key, attempt_of)).drop(digest, retry)
+
+
+def replace_entities(docs: DataFrame, key: str = KEY) -> DataFrame:
+    """``docs`` with surrogates in ``text``; all other columns as they are."""
+    name = free_name(docs, "_replaced")
+    changed = _with_replaced(docs, key, name)
+    return changed.select(
+        *[(F.col(name)["text"].alias(c) if c == "text" else F.col(f"`{c}`")) for c in docs.columns]
+    )
 
 
 def report(docs: DataFrame, key: str = KEY) -> DataFrame:
     """(doc_id, text, n_entities, kinds): the new text of every document and what was replaced in it."""
-    own = docs.select("doc_id", "text", F.col("text").alias("before"))
-    found = F.when(F.col("before").rlike(CLUE), F.regexp_extract_all("before", F.lit(ANY), 0)).otherwise(F.array())
-    return (
-        replace_entities(own, key)
-        .withColumn("kinds", F.transform(F.coalesce(found, F.array().cast("array<string>")), kind_of))
-        .select(
-            "doc_id",
-            "text",
-            F.size("kinds").alias("n_entities"),
-            F.array_join(F.array_sort(F.array_distinct("kinds")), ",").alias("kinds"),
-        )
+    changed = _with_replaced(docs.select("doc_id", "text"), key, "made")
+    return changed.select(
+        "doc_id",
+        F.col("made")["text"].alias("text"),
+        F.size(F.col("made")["kinds"]).alias("n_entities"),
+        F.array_join(F.array_sort(F.array_distinct(F.col("made")["kinds"])), ",").alias("kinds"),
     )
 
 
