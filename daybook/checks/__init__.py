@@ -11,6 +11,7 @@ MODULES = (
     "usage_checks",
     "log_checks",
     "answer_checks",
+    "outcome_checks",
     "settings_checks",
 )
 
