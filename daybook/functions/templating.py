@@ -25,16 +25,20 @@ def sections(text: Column | str) -> Column:
     With neither of the first two, the whole text stands in for ``yesterday``.
     """
     whole = F.coalesce(col(text), F.lit(""))
-    found = {name: _section(whole, opening, closing) for name, opening, closing in rules.SECTIONS}
     plain = F.left(
         strip(F.replace(whole, F.lit("*"), F.lit(""))), F.lit(rules.FALLBACK_SECTION_CHARS)
     )
-    nothing = (found["yesterday"] == "") & (found["today"] == "")
-    return F.struct(
-        F.when(nothing, plain).otherwise(found["yesterday"]).alias("yesterday"),
-        found["today"].alias("today"),
-        F.when(found["blockers"] == "", "None").otherwise(found["blockers"]).alias("blockers"),
-    )
+    named = [_section(whole, opening, closing).alias(n) for n, opening, closing in rules.SECTIONS]
+
+    def settled(found: Column) -> Column:
+        nothing = (found["yesterday"] == "") & (found["today"] == "")
+        return F.struct(
+            F.when(nothing, plain).otherwise(found["yesterday"]).alias("yesterday"),
+            found["today"].alias("today"),
+            F.when(found["blockers"] == "", "None").otherwise(found["blockers"]).alias("blockers"),
+        )
+
+    return _once(F.struct(*named), settled)
 
 
 def template_variables(
@@ -69,20 +73,30 @@ def render(body: Column | str, variables: Column | str) -> Column:
     after name would also replace tokens inside values already put in.
     """
     text = F.coalesce(col(body), F.lit(""))
-    pieces = F.split(text, rules.TEMPLATE_TOKEN, -1)
-    names = F.regexp_extract_all(text, F.lit(rules.TEMPLATE_TOKEN), F.lit(1))
-
-    def value(name: Column) -> Column:
-        given = F.coalesce(F.try_element_at(col(variables), name), F.lit(""))
-        return F.when(
-            name.isin(*rules.TEMPLATE_VARIABLES), F.left(given, F.lit(rules.MAX_VALUE_CHARS))
-        ).otherwise(F.concat(F.lit("{"), name, F.lit("}")))
-
-    filled = F.transform(names, value)
-    joined = F.array_join(
-        F.transform(pieces, lambda p, i: F.concat(p, F.coalesce(F.get(filled, i), F.lit("")))), ""
+    parts = F.struct(
+        col(variables).alias("values"),
+        F.split(text, rules.TEMPLATE_TOKEN, -1).alias("pieces"),
+        F.regexp_extract_all(text, F.lit(rules.TEMPLATE_TOKEN), F.lit(1)).alias("names"),
     )
-    return F.left(joined, F.lit(rules.MAX_RENDERED_CHARS))
+
+    def put_together(p: Column) -> Column:
+        def value(name: Column) -> Column:
+            given = F.coalesce(F.try_element_at(p["values"], name), F.lit(""))
+            return F.when(
+                name.isin(*rules.TEMPLATE_VARIABLES), F.left(given, F.lit(rules.MAX_VALUE_CHARS))
+            ).otherwise(F.concat(F.lit("{"), name, F.lit("}")))
+
+        filled = F.transform(p["names"], value)
+        return F.array_join(
+            F.zip_with(p["pieces"], filled, lambda piece, v: F.concat(piece, F.coalesce(v, F.lit("")))), ""
+        )
+
+    return F.left(_once(parts, put_together), F.lit(rules.MAX_RENDERED_CHARS))
+
+
+def _once(value: Column, then) -> Column:
+    """``then(value)`` with the value computed once, where it would be copied into each use."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
 
 
 def unsupported_variables(body: Column | str) -> Column:
