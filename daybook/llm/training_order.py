@@ -32,7 +32,7 @@ from daybook.llm.word_tokens import word_tokenizer
 
 LENGTH = 2048
 END_ID = 49407
-SHARD_ROWS = 4096
+SHARD_ROWS = 2048
 ROUNDS = 6
 KEY = 20_250_101
 SEQUENCES = "part int, number long, n_tokens int, packed binary"
