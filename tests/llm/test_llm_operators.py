@@ -473,3 +473,27 @@ def test_helpers(spark):
     df = spark.createDataFrame([(i % 50, "x") for i in range(200)] + [(None, "x")], "doc_id long, kind string")
     assert bounded_ids(df, "kind", 10).count() <= 10
     assert free_name(df, "KIND") == "KIND_"
+
+
+def test_license_scan_equals_its_sql(spark):
+    duckdb = pytest.importorskip("duckdb")
+    from daybook.llm.queries import ORACLES, QUERIES
+
+    sf = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{sf}/documents.parquet')")
+    got = QUERIES["op4_license_scan"](spark, sf)
+    want = con.execute(f"SELECT {', '.join(got.columns)} FROM ({ORACLES['op4_license_scan']})").fetchall()
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
+
+
+def test_toxicity_and_language_on_the_given_tables(spark):
+    sf = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    scored = toxicity.score_documents(docs, toxicity.learn(docs, labels)).join(labels, "doc_id").where("held_out")
+    counts = {(r["toxic"], r["predicted"]): r["count"] for r in scored.groupBy("toxic", "predicted").count().collect()}
+    assert counts[1, 1] >= 0.8 * (counts[1, 1] + counts.get((1, 0), 0))
+    assert counts[1, 1] >= 0.85 * (counts[1, 1] + counts.get((0, 1), 0))
+    found = langid.identify_documents(docs, langid.learning_text(docs)).join(docs.select("doc_id", "lang"), "doc_id")
+    right = found.where("held_out").agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("double"))).first()[0]
+    assert right >= 0.99
