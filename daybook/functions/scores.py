@@ -11,7 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from daybook.functions.text import col, is_blank
+from daybook.functions.text import col
 
 PAYLOAD = T.StructType(
     [
@@ -22,37 +22,6 @@ PAYLOAD = T.StructType(
 )
 
 
-#: What may stay in Spark's expressions: one object without escapes, control characters or fractions of
-#: unusual form.  All else is read by the strict reader.
-_ORDINARY_SCORE = r"^-?[0-9]{1,9}([.][0-9]{1,9})?$|^\"[ ]*[+-]?[0-9]{1,9}[ ]*\"$"
-_UNUSUAL = r"[\\\x00-\x1f]|^.+\{"
-
-
-def _bounded(number):
-    return F.greatest(F.lit(0), F.least(number, F.lit(100)))
-
-
-def _flat_payload(block: Column) -> Column:
-    """The payload of an ordinary flat block, null for any other."""
-    found = F.try_parse_json(F.when(~block.rlike(_UNUSUAL), block)).try_cast("map<string,variant>")
-
-    def read(fields: Column) -> Column:
-        given = F.to_json(fields["score"])
-        number = F.trim(given, F.lit('" '))
-        score = F.when(F.map_contains_key(fields, "score"), _bounded(number.try_cast("double").cast("int"))).otherwise(0)
-        lists = [fields[name].try_cast("array<variant>") for name in ("issues", "strengths")]
-        plain = [F.coalesce(F.forall(x, lambda v: F.to_json(v).startswith('"')), F.lit(True)) for x in lists]
-        texts = [
-            F.filter(F.transform(x, lambda v: v.try_cast("string")), lambda t: ~is_blank(t)) for x in lists
-        ]
-        issues, strengths = (F.coalesce(t, F.array().cast("array<string>")) for t in texts)
-        ordinary = ~F.map_contains_key(fields, "score") | given.rlike(_ORDINARY_SCORE)
-        made = F.struct(score.cast("int").alias("score"), issues.alias("issues"), strengths.alias("strengths"))
-        return F.when(ordinary & plain[0] & plain[1], made)
-
-    return F.get(F.transform(F.array(found), lambda m: F.when(m.isNotNull(), read(m))), F.lit(0))
-
-
 def _whole(value) -> int:
     """A number, or a text that reads as a whole number, held to 0..100; 0 for anything else."""
     if isinstance(value, str):
@@ -88,17 +57,10 @@ def _strict_payload(blocks: pd.Series) -> pd.DataFrame:
 def score_payload(raw: Column | str) -> Column:
     """Score 0..100, issues and strengths from the widest ``{...}`` of a raw answer.
 
-    Ordinary flat blocks are read by Spark: a block with a single opening brace cannot hold a second
-    object behind the first, which Spark would overlook.  The rest goes to the strict reader.
+    The block goes to the strict reader: Spark's readers take texts it refuses and refuse some it
+    takes, and reading ordinary blocks by expressions measured slower.
     """
-    block = F.regexp_extract(F.coalesce(col(raw), F.lit("")), r"(?s)\{.*\}", 0)
-    flat = F.struct(_flat_payload(block).alias("flat"), block.alias("block"))
-
-    def choose(s: Column) -> Column:
-        return F.struct(s["flat"].alias("flat"), F.when(s["flat"].isNull(), s["block"]).alias("rest"))
-
-    read = F.get(F.transform(F.array(flat), choose), F.lit(0))
-    return F.coalesce(read["flat"], _strict_payload(read["rest"]))
+    return _strict_payload(F.regexp_extract(F.coalesce(col(raw), F.lit("")), r"(?s)\{.*\}", 0))
 
 
 def score_band(score: Column | str) -> Column:
