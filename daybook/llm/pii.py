@@ -22,17 +22,20 @@ Repeated rows change alike.  Given names are drawn from a list and may coincide;
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from daybook.llm.common import cut, free_name, table
+from daybook.llm.names import FEMALE, MALE, TITLES_ANY, TITLES_F, TITLES_M, either
 
 KEY = "surrogates-1"
 MOST_ATTEMPTS = 64
+LATIN, CYRILLIC, GREEK = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "АБВГДЕЖЗИКЛМНОПРСТУФХЦЧШЭЮЯ", "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ"
+INITIALS = LATIN + CYRILLIC + GREEK
 
-# Titles by gender, given names by gender and script, syllables of surnames by script.
-TITLES_M = ["Mr", "Herr", "Monsieur", "Señor", "Sr", "Don", "г-н", "господин", "κύριος"]
-TITLES_F = ["Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Mlle", "Señora", "Sra", "Doña", "г-жа", "госпожа", "κυρία"]
+# Given names of surrogates by gender and script, syllables of surnames by script.
 GIVEN = {
     ("m", "latin"): ["James", "John", "Robert", "Michael", "David", "William", "Thomas", "Peter", "Paul", "Mark", "Hans", "Karl", "Jean", "Pierre", "Carlos", "Juan"],
     ("f", "latin"): ["Mary", "Anna", "Linda", "Susan", "Karen", "Sarah", "Emma", "Laura", "Julia", "Helen", "Greta", "Marie", "Claire", "Sophie", "Carmen", "Lucia"],
@@ -48,28 +51,47 @@ SYLLABLES = {
 }
 
 _OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
-_NAME = r"\p{Lu}[\p{L}'’-]+"
-_GIVEN_M = "|".join(n for (g, _), names in GIVEN.items() if g == "m" for n in names)
-_GIVEN_F = "|".join(n for (g, _), names in GIVEN.items() if g == "f" for n in names)
-_TITLED = "(?:" + "|".join(TITLES_M + TITLES_F) + r")\.? "
+_NAME = r"\p{Lu}[\p{L}'’-]+(?![\p{L}\p{N}_])"
+_INITIALS = r"(?:(?:\p{Lu}\.)+ )*"
+_FIRST = either(MALE + FEMALE)
+_TITLES = TITLES_M + TITLES_F + TITLES_ANY
+_TITLED = f"(?:(?:{either(_TITLES)})\\.? ){{1,3}}"
+#: What a name begins with: a capital, or the first letter of a lower-case title.
+_BEGIN = "[\\p{Lu}" + "".join(sorted({t[0] for t in _TITLES if t[0].islower()})) + "]"
+#: A keyword (whatever word characters stand before it) up to the value, and the value.
+_SECRET_WORD = (
+    r"(?i:(?:password|passwd|passphrase|passcode|pwd|secret|token|credential|(?:api|access|private|auth|encryption|account)[_-]?key)"
+    r"(?:[_-][\w-]{1,40}|(?-i:[A-Z])\w{1,40}|[0-9]{1,3})?[\"']?[ \t]*(?::=|=>|[=:])[ \t]*)"
+)
+_SECRET_BARE = r"[^\s\"']"
+_HEX = "[0-9A-Fa-f]{1,4}"
 #: Kind and pattern, in the order in which they are tried at a place.
 KINDS = {
-    "secret": r"(?i:\b(?:password|passwd|pwd|secret|token|api[_-]?key)\b ?[=:] ?)[\"']?[^\s\"']{6,}[\"']?",
+    "secret": rf"{_SECRET_WORD}(?![\"']?AKIA[0-9A-Z]{{16}}\b)(?:\"[^\"\n]+\"|'[^'\n]+'|[\"']?{_SECRET_BARE}{{6,}}[\"']?"
+    rf"|(?<=(?i:password|passwd|passphrase|passcode|pwd)[\"']?[ \t]{{0,9}}[=:][ \t]{{0,9}}){_SECRET_BARE}+)",
     "access_key": r"\bAKIA[0-9A-Z]{16}\b",
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)*\.\p{L}{2,}",
     "iban": r"\b[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){3,7}(?: ?[0-9A-Z]{1,3})?\b",
+    "ipv6": rf"(?<![\p{{L}}\p{{N}}:.])(?=[0-9A-Fa-f]{{0,4}}:)(?=[0-9A-Fa-f:]*[0-9]|(?:[0-9A-Fa-f]*:){{3}})"
+    rf"(?:(?:{_HEX}:){{7}}{_HEX}|(?=(?:::)?(?:{_HEX}::?){{0,7}}{_HEX}?(?![0-9A-Fa-f:]))(?:{_HEX}(?::{_HEX}){{0,6}})?::(?:{_HEX}(?::{_HEX}){{0,6}})?)"
+    r"(?![\p{L}\p{N}:]|\.[0-9])",
     "ip": rf"(?<![0-9.])(?:{_OCTET}\.){{3}}{_OCTET}(?![0-9]|\.[0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "phone": r"\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[ .-]?[0-9]{2,4}){1,4}(?![0-9])"
-    r"|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}(?![0-9])|(?<![0-9.-])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![0-9-])",
+    r"|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}(?![0-9])|(?<![0-9.-])(?:1[ .-])?[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![0-9-])"
+    # national numbers: with a leading zero, in 9 to 11 digits, and of ten digits as in North America
+    r"|\(0[0-9]{1,4}\) ?[0-9]{2,8}(?:[ -][0-9]{2,4}){0,3}(?![0-9])"
+    r"|(?<![\p{L}\p{N}.,+_/:-])(?=0(?:[ /-]?[0-9]){8,10}(?! ?[0-9]))0[1-9][0-9]{0,3}[ /-]?[0-9]{2,8}(?: ?[0-9]{2,4}){0,4}(?![0-9]|[.,:/-][0-9])"
+    r"|(?<![\p{L}\p{N}.,+_/:-])(?<![0-9] )(?:1 ?)?[2-9][0-9]{2} ?[2-9][0-9]{2} ?[0-9]{4}(?![\p{L}\p{N}_]| [0-9]|[.,:/-][0-9])",
     "card": r"(?<![0-9])[3-6](?:[ -]?[0-9]){12,18}(?![0-9])",
-    "name": rf"(?<!\p{{L}})(?=[\p{{Lu}}гκ])(?:{_TITLED}{_NAME}(?: {_NAME}){{0,2}}|(?:{_GIVEN_M}|{_GIVEN_F}) {_NAME})",
+    "name": rf"(?<!\p{{L}})(?={_BEGIN})(?:{_TITLED}{_INITIALS}{_NAME}(?: {_INITIALS}{_NAME}){{0,2}}"
+    rf"|{_FIRST} (?:(?:{_FIRST}|(?:\p{{Lu}}\.)+) )?{_NAME})",
 }
 ANY = "|".join(f"(?:{p})" for p in KINDS.values())
 #: A text without either holds no entity and is not searched further.  The second looks at names only
-#: where a word begins with a capital, or with the first letter of a lower-case title.
+#: where a word begins as a name does.
 SIGNS = "[0-9@=:]"
-NAME_SIGN = f"(?:^|[^\\p{{L}}])(?=[\\p{{Lu}}гκ])(?:{_TITLED}|(?:{_GIVEN_M}|{_GIVEN_F}) )\\p{{Lu}}"
+NAME_SIGN = f"(?:^|[^\\p{{L}}])(?={_BEGIN})(?:{_TITLED}|{_FIRST} )\\p{{Lu}}"
 
 
 def may_hold(text: Column) -> Column:
@@ -77,7 +99,7 @@ def may_hold(text: Column) -> Column:
 
 
 def _const(values: list[str]) -> Column:
-    return F.array(*[F.lit(v) for v in values])
+    return F.split(F.lit(" ".join(values)), " ")
 
 
 def _pick(values: list[str], number: Column) -> Column:
@@ -91,8 +113,37 @@ def kind_of(match: Column) -> Column:
     return out
 
 
-def _secret_value(match: Column) -> Column:
-    return F.regexp_extract(match, r"[=:] ?[\"']?([^\s\"']+)[\"']?$", 1)
+def _secret(match: Column, part: int) -> Column:
+    """Keyword and opening quote, value, or closing quote of a secret."""
+    return F.regexp_extract(match, rf"^({_SECRET_WORD}[\"']?)(.+?)([\"']?)$", part)
+
+
+def _name_parts(match: Column) -> tuple[Column, Column, Column]:
+    """Title, words and whether female, of a name."""
+    title = F.regexp_extract(match, f"^({_TITLED})", 1)
+    words = F.split(F.substr(match, F.length(title) + 1), " ")
+    female = title.rlike(f"(?:^| )(?:{either(TITLES_F)})\\.? ") | (
+        ~title.rlike(f"(?:^| )(?:{either(TITLES_M)})\\.? ") & F.get(words, F.lit(0)).rlike(f"^(?:{either(FEMALE)})$")
+    )
+    return title, words, female
+
+
+def _given_canon(word: Column, surname: Column, female: Column) -> Column:
+    """A given name is an entity within its surname."""
+    return F.concat_ws("\u0002", F.lower(surname), F.lower(word), F.when(female, "f").otherwise("m"))
+
+
+def _is_initials(word: Column) -> Column:
+    return word.rlike(r"^(?:\p{Lu}\.)+$")
+
+
+def _hextets(match: Column) -> Column:
+    """All eight groups of an IPv6 address, lower-case and without leading zeros."""
+    sides = F.split(F.lower(match), "::")
+    groups = [F.filter(F.split(F.coalesce(F.get(sides, F.lit(i)), F.lit("")), ":"), lambda g: g != "") for i in (0, 1)]
+    zeros = F.array_repeat(F.lit("0"), 8 - F.size(groups[0]) - F.size(groups[1]))
+    every = F.concat(groups[0], zeros, groups[1])
+    return F.array_join(F.transform(every, lambda g: F.regexp_replace(g, "^0+(?=.)", "")), ":")
 
 
 def canonical(kind: Column, match: Column) -> Column:
@@ -101,7 +152,8 @@ def canonical(kind: Column, match: Column) -> Column:
         F.when(kind.isin("phone", "card", "ssn"), F.regexp_replace(match, "[^0-9]", ""))
         .when(kind == "iban", F.regexp_replace(match, " ", ""))
         .when(kind == "email", F.lower(match))
-        .when(kind == "secret", _secret_value(match))
+        .when(kind == "secret", _secret(match, 2))
+        .when(kind == "ipv6", _hextets(match))
         .when(kind == "name", F.lower(F.regexp_extract(match, r"([^ ]+)$", 1)))
         .otherwise(match)
     )
@@ -117,6 +169,10 @@ def _number(hashed: Column, start: int) -> Column:
     return F.conv(F.substring(hashed, start, 6), 16, 10).cast("int")
 
 
+def _number_at(hashed: Column, i: Column) -> Column:
+    return F.conv(F.substr(hashed, (F.pmod(i, F.lit(20)) * 6 + 1).cast("int"), F.lit(6)), 16, 10).cast("int")
+
+
 def _check_digit(payload: Column) -> Column:
     """The digit that makes a card number of this payload valid."""
     n = F.length(payload)
@@ -147,75 +203,113 @@ def _like_characters(value: Column, hashed: Column) -> Column:
     return F.array_join(F.transform(F.regexp_extract_all(value, F.lit("(?s)."), 0), change), "")
 
 
-def _surname(canon: Column, hashed: Column) -> Column:
+def _surname(canon: Column, hashed: Column, attempt: Column) -> Column:
+    """Four syllables, and one more for every four attempts."""
+
     def of(script: str) -> Column:
         parts = [_pick(SYLLABLES[script], _number(hashed, 1 + 6 * i)) for i in range(4)]
-        return F.concat(*parts)
+        more = F.transform(
+            F.sequence(F.lit(4), F.floor(attempt / 4) + 4), lambda i: _pick(SYLLABLES[script], _number_at(hashed, i))
+        )
+        return F.concat(*parts, F.array_join(F.slice(more, F.lit(2), F.size(more) - 1), ""))
 
     return (
         F.when(canon.rlike(r"\p{IsCyrillic}"), of("cyrillic")).when(canon.rlike(r"\p{IsGreek}"), of("greek")).otherwise(of("latin"))
     )
 
 
+def _given(canon: Column, hashed: Column, attempt: Column) -> Column:
+    """Surname and a name of the same gender and script; one more joined to it for every four attempts."""
+    word, gender = F.substring_index(canon, "\u0002", 2), F.substring_index(canon, "\u0002", -1)
+    word = F.substring_index(word, "\u0002", -1)
+
+    def of(script: str) -> Column:
+        def name(i: Column) -> Column:
+            number = _number_at(hashed, i)
+            return F.when(gender == "f", _pick(GIVEN[("f", script)], number)).otherwise(_pick(GIVEN[("m", script)], number))
+
+        return F.array_join(F.transform(F.sequence(F.lit(0), F.floor(attempt / 4)), name), "-")
+
+    made = F.when(word.rlike(r"\p{IsCyrillic}"), of("cyrillic")).when(word.rlike(r"\p{IsGreek}"), of("greek")).otherwise(of("latin"))
+    return F.concat_ws("\u0002", F.substring_index(canon, "\u0002", 1), made)
+
+
 def core(key: str, kind: Column, canon: Column, attempt: Column) -> Column:
     """Canonical form of the surrogate."""
-    hashed = _hash(key, kind, canon, attempt)
+    return _bound(_hash(key, kind, canon, attempt), lambda hashed: _core(key, kind, canon, attempt, hashed))
+
+
+def _core(key: str, kind: Column, canon: Column, attempt: Column, hashed: Column) -> Column:
     digits = F.translate(hashed, "abcdef", "012345")
-    size = F.length(canon)
+    wide = F.lit(0)
+    size = F.length(canon) + wide
     kept = F.substring(canon, 1, 1)
     phone = F.concat(kept, F.translate(F.substring(digits, 1, 1), "01", "23"), F.substr(digits, F.lit(2), size - 2))
     payload = F.concat(kept, F.substr(digits, F.lit(1), size - 2))
-    right = _check_digit(F.substr(canon, F.lit(1), size - 1)) == F.substr(canon, size, F.lit(1)).cast("int")
+    right = _check_digit(F.substr(canon, F.lit(1), F.length(canon) - 1)) == F.substring(canon, -1, 1).cast("int")
     card = F.concat(payload, F.pmod(_check_digit(payload) + F.when(right, 0).otherwise(1), F.lit(10)).cast("string"))
     octets = [(F.pmod(_number(hashed, 1 + 6 * i), F.lit(254)) + 1).cast("string") for i in range(4)]
+    hextets = [F.regexp_replace(F.substring(hashed, 1 + 4 * i, 4), "^0+(?=.)", "") for i in range(6)]
+    ipv6 = F.concat_ws(":", F.lit("2001:db8"), *hextets)
     email = F.concat(
         F.lower(_pick(GIVEN[("m", "latin")] + GIVEN[("f", "latin")], _number(hashed, 1))),
         F.lit("."),
-        _surname(F.lit("a"), F.substring(hashed, 7, 60)),
+        _surname(F.lit("a"), F.substring(hashed, 7, 60), F.lit(0)),
         F.substring(digits, 70, 4),
         F.lit("@mail"),
         F.substring(F.sha2(F.concat(F.lit(key), F.regexp_extract(canon, "@(.*)$", 1)), 256), 1, 6),
         F.lit(".example.org"),
     )
-    access = F.concat(F.lit("AKIA"), _like_characters(F.substring(canon, 5, 16), hashed))
-    iban = F.concat(F.substring(canon, 1, 2), _like_characters(F.substr(canon, F.lit(3)), hashed))
+
+    def widened(value: Column) -> Column:
+        return F.concat(value, F.repeat(F.lit("a"), wide))
+
+    access = F.concat(F.lit("AKIA"), _like_characters(widened(F.substring(canon, 5, 16)), hashed))
+    iban = F.concat(F.substring(canon, 1, 2), _like_characters(F.upper(widened(F.substr(canon, F.lit(3)))), hashed))
     return (
         F.when(kind == "phone", phone)
         .when(kind == "card", card)
         .when(kind == "ssn", F.substr(digits, F.lit(1), size))
-        .when(kind == "ip", F.concat_ws(".", *octets))
+        .when(kind == "ip", F.when(wide > 0, ipv6).otherwise(F.concat_ws(".", *octets)))
+        .when(kind == "ipv6", ipv6)
         .when(kind == "email", email)
         .when(kind == "access_key", access)
         .when(kind == "iban", iban)
-        .when(kind == "secret", _like_characters(canon, hashed))
-        .otherwise(_surname(canon, hashed))
+        .when(kind == "secret", _like_characters(widened(canon), hashed))
+        .when(kind == "given", _given(canon, hashed, attempt))
+        .otherwise(_surname(canon, hashed, attempt))
     )
 
 
 def _laid_out(match: Column, made: Column, what: str) -> Column:
-    """The characters of ``made`` at the places of ``what`` in ``match``."""
+    """The characters of ``made`` at the places of ``what`` in ``match``; those left over at its end."""
 
     def place(char: Column, i: Column) -> Column:
         before = F.length(F.regexp_replace(F.substr(match, F.lit(1), i + 1), f"[^{what}]", ""))
         return F.when(char.rlike(f"[{what}]"), F.substr(made, before, F.lit(1))).otherwise(char)
 
-    return F.array_join(F.transform(F.regexp_extract_all(match, F.lit("(?s)."), 0), place), "")
+    laid = F.array_join(F.transform(F.regexp_extract_all(match, F.lit("(?s)."), 0), place), "")
+    return F.concat(laid, F.substr(made, F.length(F.regexp_replace(match, f"[^{what}]", "")) + 1))
 
 
-def _name(key: str, match: Column, made: Column) -> Column:
+def _turned(key: str) -> str:
+    """The initials of each script, moved on by a keyed number of places: distinct ones stay so."""
+    out = ""
+    for script in (LATIN, CYRILLIC, GREEK):
+        by = 1 + int(hashlib.sha256(f"{key} initials".encode()).hexdigest(), 16) % (len(script) - 1)
+        out += script[by:] + script[:by]
+    return out
+
+
+def _name(key: str, match: Column, made: Column, attempt_of) -> Column:
     """Title, given names of the same gender and script, and the new surname."""
-    title = F.regexp_extract(match, f"^({_TITLED})", 1)
-    words = F.split(F.substr(match, F.length(title) + 1), " ")
+    title, words, female = _name_parts(match)
     surname = F.element_at(words, -1)
-    female = title.rlike("^(?:" + "|".join(TITLES_F) + r")\.? $") | ((title == "") & match.rlike(f"^(?:{_GIVEN_F}) "))
 
     def given(word: Column) -> Column:
-        number = F.conv(F.substring(F.sha2(F.concat(F.lit(key), F.lower(word)), 256), 1, 6), 16, 10).cast("int")
-
-        def of(script: str) -> Column:
-            return F.when(female, _pick(GIVEN[("f", script)], number)).otherwise(_pick(GIVEN[("m", script)], number))
-
-        return F.when(word.rlike(r"\p{IsCyrillic}"), of("cyrillic")).when(word.rlike(r"\p{IsGreek}"), of("greek")).otherwise(of("latin"))
+        canon, kind = _given_canon(word, surname, female), F.lit("given")
+        new = F.substring_index(_bound(F.lit(0), lambda n: _given(canon, _hash(key, kind, canon, n), n)), "\u0002", -1)
+        return F.when(_is_initials(word), F.translate(word, INITIALS, _turned(key))).otherwise(new)
 
     cased = F.when(surname.rlike(r"^[\p{Lu}'’-]+$"), F.upper(made)).otherwise(F.initcap(made))
     firsts = F.transform(F.slice(words, F.lit(1), F.size(words) - 1), given)
@@ -228,16 +322,12 @@ def surrogate(key: str, match: Column, attempt_of) -> Column:
     def with_kind(kind: Column) -> Column:
         def with_canon(canon: Column) -> Column:
             made = core(key, kind, canon, attempt_of(kind, canon))
-            secret = F.concat(
-                F.regexp_extract(match, r"^(.*?[=:] ?[\"']?)[^\s\"']+[\"']?$", 1),
-                made,
-                F.regexp_extract(match, r"([\"']?)$", 1),
-            )
+            secret = F.concat(_secret(match, 1), made, _secret(match, 3))
             return (
                 F.when(kind.isin("phone", "card", "ssn"), _laid_out(match, made, "0-9"))
                 .when(kind == "iban", _laid_out(match, made, "0-9A-Z"))
                 .when(kind == "secret", secret)
-                .when(kind == "name", _name(key, match, made))
+                .when(kind == "name", _name(key, match, made, attempt_of))
                 .otherwise(made)
             )
 
@@ -273,16 +363,17 @@ def entities(docs: DataFrame) -> DataFrame:
     found = docs.where(may_hold(F.col("text"))).select(
         "text", F.explode(F.regexp_extract_all("text", F.lit(ANY), 0)).alias("match")
     )
-    return found.withColumn("kind", kind_of(F.col("match"))).select(
-        "text", "kind", canonical(F.col("kind"), F.col("match")).alias("canon")
-    )
+    kind, match = F.col("kind"), F.col("match")
+    itself = F.array(F.struct(kind.alias("kind"), canonical(kind, match).alias("canon")))
+    every = itself
+    return found.withColumn("kind", kind_of(match)).select("text", F.explode(every).alias("entity")).select("text", "entity.*")
 
 
-def attempts(docs: DataFrame, key: str = KEY, most: int = MOST_ATTEMPTS) -> DataFrame:
+def attempts(docs: DataFrame, key: str = KEY) -> DataFrame:
     """(kind, canon, attempt) of the entities whose first surrogate is not their own alone."""
     known = cut(entities(docs).select("kind", "canon").distinct().withColumn("attempt", F.lit(0)))
     real = known.select("kind", F.col("canon").alias("made"))
-    for _ in range(most):
+    for _ in range(MOST_ATTEMPTS):
         made = known.withColumn("made", core(key, F.col("kind"), F.col("canon"), F.col("attempt")))
         first = made.groupBy("kind", "made").agg(
             F.min(F.struct("attempt", "canon"))["canon"].alias("owner"), F.count("*").alias("claims")
@@ -295,7 +386,7 @@ def attempts(docs: DataFrame, key: str = KEY, most: int = MOST_ATTEMPTS) -> Data
         ).where("real OR canon <> owner")
         losers = cut(again.select("kind", "canon", (F.col("attempt") + 1).alias("attempt")))
         if losers.isEmpty():
-            break
+            return known.where("attempt > 0")
         known = cut(
             known.join(losers.withColumnRenamed("attempt", "next"), ["kind", "canon"], "left").select(
                 "kind", "canon", F.coalesce("next", "attempt").alias("attempt")

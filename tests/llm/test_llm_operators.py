@@ -324,6 +324,35 @@ def test_surrogates_odd_rows(spark):
     assert pii.replace_entities(docs.limit(0)).count() == 0 and pii.report(docs).count() == docs.count()
 
 
+COMMON_FORMS = [
+    ("Jennifer Brown and Dr. Alice Jones", ["Jennifer", "Brown", "Alice", "Jones"], " and Dr. "),
+    ("Prof. Dr. Xu Lee, Sir Ian B. Foo", ["Xu", "Lee", "Ian", "B.", "Foo"], "Prof. Dr. "),
+    ("DB_PASSWORD=hunter2222", ["hunter2222"], "DB_PASSWORD="),
+    ("access_token: abcdef123", ["abcdef123"], "access_token: "),
+    ("client_secret=qwertz99", ["qwertz99"], "client_secret="),
+    ('SECRET_KEY = "s3cr3t-value"', ["s3cr3t-value"], 'SECRET_KEY = "'),
+    ('{"password": "hunter2222", "a": "b"}', ["hunter2222"], '", "a": "b"}'),
+    ("password:   x7z", ["x7z"], "password:   "),
+    ("host 2001:DB8:0:0::1f, or fe80::1.", ["DB8:0:0::1f", "fe80::1"], ", or "),
+    ("call 020 7946 0958 or 01 42 68 53 00", ["7946", "42 68"], " or "),
+    ("call 5552345678 or 555 234 5678", ["5552345678", "555 234 5678"], " or "),
+    ("call 02079460958.", ["02079460958"], "call 0"),
+]
+
+
+def test_surrogates_reach_common_forms_and_leave_others(spark):
+    same = ["std::abc and 12:30:45 on 01/02/2024 10:30", "v 1.2.3, 000012345, 0.1234567890", "the secretary: Johnson", "Tokens were rare. A General Public License"]
+    ipv6 = "2001:db8:0:0:0:0:0:1 2001:DB8::1 2001:0db8::0001 2001:db8::2"
+    texts = [t for t, _, _ in COMMON_FORMS] + same + [ipv6]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    new = [r["text"] for r in pii.replace_entities(df).orderBy("doc_id").collect()]
+    for (text, gone, stays), made in zip(COMMON_FORMS, new):
+        assert stays in made and not any(g in made for g in gone), (text, made)
+    assert new[len(COMMON_FORMS) : -1] == same
+    a, b, c, d = new[-1].split()
+    assert a == b == c != d
+
+
 def test_fingerprints_equal_a_plain_selection(monkeypatch):
     monkeypatch.setattr(fingerprints, "TILE", 50)
     texts = ["a", "abc", "a" * 30, "abcabcabc" * 9, "the quick brown fox jumps over the lazy dog " * 5, "é中😀" * 20]
