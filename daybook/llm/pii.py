@@ -90,7 +90,7 @@ KINDS = {
 ANY = "|".join(f"(?:{p})" for p in KINDS.values())
 #: A text without either holds no entity and is not searched further.  The second looks at names only
 #: where a word begins as a name does.
-SIGNS = "[0-9@=:]"
+SIGNS = "[0-9@=:]|AKIA"
 NAME_SIGN = f"(?:^|[^\\p{{L}}])(?={_BEGIN})(?:{_TITLED}|{_FIRST} )\\p{{Lu}}"
 
 
