@@ -308,7 +308,7 @@ def _name(key: str, match: Column, made: Column, attempt_of) -> Column:
 
     def given(word: Column) -> Column:
         canon, kind = _given_canon(word, surname, female), F.lit("given")
-        new = F.substring_index(_bound(F.lit(0), lambda n: _given(canon, _hash(key, kind, canon, n), n)), "\u0002", -1)
+        new = F.substring_index(_bound(attempt_of(kind, canon), lambda n: _given(canon, _hash(key, kind, canon, n), n)), "\u0002", -1)
         return F.when(_is_initials(word), F.translate(word, INITIALS, _turned(key))).otherwise(new)
 
     cased = F.when(surname.rlike(r"^[\p{Lu}'’-]+$"), F.upper(made)).otherwise(F.initcap(made))
@@ -364,8 +364,13 @@ def entities(docs: DataFrame) -> DataFrame:
         "text", F.explode(F.regexp_extract_all("text", F.lit(ANY), 0)).alias("match")
     )
     kind, match = F.col("kind"), F.col("match")
+    title, words, female = _name_parts(match)
+    firsts = F.filter(F.slice(words, F.lit(1), F.size(words) - 1), lambda w: ~_is_initials(w))
+    given = F.transform(
+        firsts, lambda w: F.struct(F.lit("given").alias("kind"), _given_canon(w, F.element_at(words, -1), female).alias("canon"))
+    )
     itself = F.array(F.struct(kind.alias("kind"), canonical(kind, match).alias("canon")))
-    every = itself
+    every = F.when(kind == "name", F.concat(itself, given)).otherwise(itself)
     return found.withColumn("kind", kind_of(match)).select("text", F.explode(every).alias("entity")).select("text", "entity.*")
 
 

@@ -360,6 +360,12 @@ def test_every_match_passes_the_gate(spark):
     assert df.where(matched & pii.may_hold(F.col("text"))).count() == len(texts)
 
 
+def test_full_names_stay_distinct(spark):
+    df = spark.createDataFrame([(f"Mr {n} Smith",) for n in pii.MALE[:60]], "text string")
+    new = [r["text"] for r in pii.replace_entities(df).collect()]
+    assert len(set(new)) == 60 and len({t.split()[-1] for t in new}) == 1
+
+
 def test_fingerprints_equal_a_plain_selection(monkeypatch):
     monkeypatch.setattr(fingerprints, "TILE", 50)
     texts = ["a", "abc", "a" * 30, "abcabcabc" * 9, "the quick brown fox jumps over the lazy dog " * 5, "é中😀" * 20]
