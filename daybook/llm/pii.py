@@ -31,7 +31,9 @@ from daybook.llm.common import cut, free_name, table
 from daybook.llm.names import FEMALE, MALE, TITLES_ANY, TITLES_F, TITLES_M, either
 
 KEY = "surrogates-1"
+#: From this attempt on surrogates get longer; attempts end when all are distinct, or raise.
 MOST_ATTEMPTS = 64
+WIDER_ATTEMPTS = 32
 LATIN, CYRILLIC, GREEK = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "АБВГДЕЖЗИКЛМНОПРСТУФХЦЧШЭЮЯ", "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ"
 INITIALS = LATIN + CYRILLIC + GREEK
 
@@ -235,13 +237,17 @@ def _given(canon: Column, hashed: Column, attempt: Column) -> Column:
 
 
 def core(key: str, kind: Column, canon: Column, attempt: Column) -> Column:
-    """Canonical form of the surrogate."""
+    """Canonical form of the surrogate.
+
+    From ``MOST_ATTEMPTS`` on the format is held to be full: every attempt makes the surrogate one
+    character longer, and an IPv4 address becomes an IPv6 address, so that there is always room.
+    """
     return _bound(_hash(key, kind, canon, attempt), lambda hashed: _core(key, kind, canon, attempt, hashed))
 
 
 def _core(key: str, kind: Column, canon: Column, attempt: Column, hashed: Column) -> Column:
     digits = F.translate(hashed, "abcdef", "012345")
-    wide = F.lit(0)
+    wide = F.greatest(attempt - (MOST_ATTEMPTS - 1), F.lit(0))
     size = F.length(canon) + wide
     kept = F.substring(canon, 1, 1)
     phone = F.concat(kept, F.translate(F.substring(digits, 1, 1), "01", "23"), F.substr(digits, F.lit(2), size - 2))
@@ -375,10 +381,14 @@ def entities(docs: DataFrame) -> DataFrame:
 
 
 def attempts(docs: DataFrame, key: str = KEY) -> DataFrame:
-    """(kind, canon, attempt) of the entities whose first surrogate is not their own alone."""
-    known = cut(entities(docs).select("kind", "canon").distinct().withColumn("attempt", F.lit(0)))
+    """(kind, canon, attempt) of the entities whose first surrogate is not their own alone.
+
+    A value without letters and digits, such as a masked password, tells nothing and stays as it is.
+    """
+    telling = entities(docs).select("kind", "canon").where(r"kind <> 'secret' OR canon RLIKE '[0-9\\p{L}]'")
+    known = cut(telling.distinct().withColumn("attempt", F.lit(0)))
     real = known.select("kind", F.col("canon").alias("made"))
-    for _ in range(MOST_ATTEMPTS):
+    for _ in range(MOST_ATTEMPTS + WIDER_ATTEMPTS):
         made = known.withColumn("made", core(key, F.col("kind"), F.col("canon"), F.col("attempt")))
         first = made.groupBy("kind", "made").agg(
             F.min(F.struct("attempt", "canon"))["canon"].alias("owner"), F.count("*").alias("claims")
@@ -397,7 +407,7 @@ def attempts(docs: DataFrame, key: str = KEY) -> DataFrame:
                 "kind", "canon", F.coalesce("next", "attempt").alias("attempt")
             )
         )
-    return known.where("attempt > 0")
+    raise RuntimeError("surrogates of distinct entities still coincide")
 
 
 def _with_replaced(docs: DataFrame, key: str, name: str) -> DataFrame:

@@ -366,6 +366,15 @@ def test_full_names_stay_distinct(spark):
     assert len(set(new)) == 60 and len({t.split()[-1] for t in new}) == 1
 
 
+def test_full_formats_get_wider_and_masks_are_left(spark, monkeypatch):
+    monkeypatch.setattr(pii, "MOST_ATTEMPTS", 2)
+    texts = [f"call +{n}" for n in range(1000, 2000)] + ["password: ********"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    new = {r["doc_id"]: r["text"] for r in pii.replace_entities(df).collect()}
+    assert len(set(new.values())) == 1001 and new[1000] == texts[1000]
+    assert not set(new.values()) & set(texts[:1000])
+
+
 def test_fingerprints_equal_a_plain_selection(monkeypatch):
     monkeypatch.setattr(fingerprints, "TILE", 50)
     texts = ["a", "abc", "a" * 30, "abcabcabc" * 9, "the quick brown fox jumps over the lazy dog " * 5, "é中😀" * 20]
