@@ -13,7 +13,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
     Every round links the neighbours of a node to the least of them, first upwards, then downwards,
     and the number of rounds grows with the logarithm of the longest chain.  Edges never leave the
-    cluster; a round's table replaces the one before it.
+    cluster; a round's table replaces the one before it.  Raises where ``most_rounds`` do not settle them.
     """
     now = cut(
         edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
@@ -25,6 +25,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         if after == seen:
             break
         seen = after
+    else:
+        raise RuntimeError(f"components are not settled after {most_rounds} rounds")
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)
 

@@ -276,6 +276,11 @@ def test_components_of_chains_and_stars(spark):
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_unsettled_components_raise(spark):
+    with pytest.raises(RuntimeError, match="not settled"):
+        components.components(spark.createDataFrame([(i, i + 1) for i in range(20)], "a long, b long"), most_rounds=1)
+
+
 def test_surrogates_keep_kind_format_and_coreference(spark):
     texts = [
         "mail Bob.x@mail8.example.com or bob.X@mail8.example.com, ip 42.144.35.254 card 4111 1111 1111 1111 and 4111111111111111.",
