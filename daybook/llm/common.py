@@ -61,6 +61,13 @@ def remainder(column: str, parts: int):
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % parts
 
 
+def whole_ids(texts):
+    """Ids that came as text, so that nulls beside them do not turn large ones into floats."""
+    import pandas as pd
+
+    return pd.array([None if x is None else int(x) for x in texts], "Int64")
+
+
 @lru_cache(maxsize=1)
 def latin_classes() -> dict[str, str]:
     """Letters, numbers and white space below U+0100 as the bodies of character classes."""

@@ -6,7 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from daybook.llm import byte_bpe, fingerprints, jaccard_join, langid, licenses, nearest, packing, pii, toxicity, training_order
+from daybook.llm import (
+    byte_bpe,
+    fingerprints,
+    jaccard_join,
+    langid,
+    lexical,
+    licenses,
+    merge_automaton,
+    nearest,
+    packing,
+    pii,
+    runs,
+    toxicity,
+    training_order,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": byte_bpe.query,
@@ -19,6 +33,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii_surrogates": pii.query,
     "op9_ngram_jaccard_join": jaccard_join.query,
     "op10_language_id": langid.query,
+    "op11_periodic_runs": runs.query,
+    "op12_merge_automaton": merge_automaton.query,
+    "op13_ranked_search": lexical.query,
 }
 
-ORACLES: dict[str, str] = {"op4_license_scan": licenses.oracle()}
+ORACLES: dict[str, str] = {
+    "op4_license_scan": licenses.oracle(),
+    "op13_ranked_search": lexical.oracle(),
+}
