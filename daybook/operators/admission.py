@@ -25,6 +25,8 @@ from daybook.session import checkpointed
 
 DAYS = 7
 WEEK = ["_user", "_week"]
+#: What a call is judged by, in the order calls are judged.
+FACTS = ["_at", "_id", "_done", "_free", "_ok"]
 _USED = "array<struct<day:bigint,used:int>>"
 
 
@@ -44,18 +46,25 @@ def admit(
 
     Ties in time go by ``order``, then by completion and the flags.  Calls that are forced, or not
     ``enabled`` for limiting, skip the checks; every admitted call that succeeded is recorded, at
-    its completion time where there is one.  A call without a time is refused as ``invalid``.
+    its completion time where there is one.  A call without a time or a user is refused as ``invalid``.
     """
     plan = prepared(calls, user, ts, order, enabled, forced, succeeded, completed)
     cooldown_us, cap = int(cooldown_minutes) * 60_000_000, int(max_calls)
     given = list(dict.fromkeys([user, order, ts]))
-    timed = plan.filter(F.col("_at").isNotNull()).withColumn("_week", F.floor(F.col("_at") / (DAYS * DAY_US)))
-    entries = _entries_of_weeks(timed, cooldown_us, cap)
-    decided = _walk_weeks(timed.join(entries, WEEK, "left"), given, cooldown_us, cap)
-    untimed = plan.filter(F.col("_at").isNull()).select(
+    judged = F.col("_at").isNotNull() & F.col("_user").isNotNull()
+    timed = plan.filter(judged).withColumn("_week", F.floor(F.col("_at") / (DAYS * DAY_US)))
+    refused = plan.filter(~judged).select(
         *given, F.lit("invalid").alias("_reason"), F.lit(0).cast("bigint").alias("_left")
     )
-    return decided.unionByName(untimed).select(
+    # the only reading of the calls: all weeks from a fresh state, with what they were judged by
+    walked = checkpointed(_walk(timed, given, cooldown_us, cap).unionByName(refused, allowMissingColumns=True))
+    entries = _entries_of_weeks(walked, cooldown_us, cap)
+    decided = walked.filter(F.col("_exit").isNull())
+    if entries is not None:
+        again = walked.filter(F.col("_exit").isNull()).join(entries, WEEK)
+        redone = _walk(again, given, cooldown_us, cap, exits=False)
+        decided = decided.join(entries.select(*WEEK), WEEK, "left_anti").unionByName(redone, allowMissingColumns=True)
+    return decided.select(
         *given,
         (F.col("_reason") == "").alias("admitted"),
         F.col("_reason").alias("reason"),
@@ -76,7 +85,7 @@ def prepared(calls, user, ts, order, enabled, forced, succeeded, completed) -> D
     if enabled:
         skips = skips | ~F.coalesce(enabled, F.lit(True))
     return calls.select(
-        F.coalesce(F.col(user).cast("string"), F.lit("")).alias("_user"),
+        F.col(user).cast("string").alias("_user"),
         at.alias("_at"),
         F.col(order).alias("_id"),
         F.coalesce(_micros(calls, completed), at).alias("_done") if completed else at.alias("_done"),
@@ -90,7 +99,7 @@ def prepared(calls, user, ts, order, enabled, forced, succeeded, completed) -> D
 
 def _in_order(rows: DataFrame) -> DataFrame:
     """Each week of a user in one task, in the order calls are judged."""
-    return rows.repartition(*WEEK).sortWithinPartitions(*WEEK, "_at", "_id", "_done", "_free", "_ok")
+    return rows.repartition(*WEEK).sortWithinPartitions(*WEEK, *FACTS)
 
 
 def _judged(
@@ -123,46 +132,41 @@ def _judged(
             yield batch, parts, np.concatenate(reasons), np.concatenate(lefts)
 
 
-def _walk_weeks(rows: DataFrame, given: list[str], cooldown_us: int, cap: int) -> DataFrame:
-    """Every call's decision, from the entry state its row carries."""
-    schema = T.StructType(
-        [
-            *[rows.schema[c] for c in given],
-            T.StructField("_reason", T.StringType()),
-            T.StructField("_left", T.LongType()),
-        ]
-    )
-
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch, _, reason, left in _judged(batches, cooldown_us, cap):
-            yield batch[given].assign(_reason=REASONS[reason], _left=left)
-
-    return _in_order(rows).mapInPandas(walk, schema)
-
-
-_EXIT = f"_user string, _week bigint, _first bigint, _last bigint, _later {_USED}"
+_EXIT = f"struct<_first:bigint,_last:bigint,_later:{_USED}>"
 
 
-def _exit_states(rows: DataFrame, cooldown_us: int, cap: int) -> DataFrame:
-    """One row a week: its first call, the last recorded call, calls recorded into later weeks."""
+def _walk(rows: DataFrame, given: list[str], cooldown_us: int, cap: int, decisions: bool = True, exits: bool = True) -> DataFrame:
+    """Every call's decision, from the entry state its row carries, and one more row a week.
 
-    def frame(weeks: list[tuple]) -> pd.DataFrame:
-        out = [
-            (
-                user,
-                week,
-                first,
-                None if state.last == entry else state.last,
-                [{"day": d, "used": n} for d, n in sorted(state.used.items()) if d // DAYS > week],
-            )
-            for first, user, week, entry, state in weeks
+    That row has the week's ``_exit``: its first call, the last recorded call where it is not the entry
+    state's, and calls recorded into later weeks.
+    """
+    facts = [*WEEK, *FACTS]
+    kept = list(dict.fromkeys([*(given if decisions else []), *facts]))
+    schema = T.StructType(
+        [T.StructField(c, rows.schema[c].dataType) for c in kept]
+        + [T.StructField("_reason", T.StringType()), T.StructField("_left", T.LongType())]
+        + [T.StructField("_exit", T._parse_datatype_string(_EXIT))]
+    )
+    names = schema.names
+
+    def closing(weeks: list[tuple]) -> pd.DataFrame:
+        out = pd.DataFrame({c: pd.Series([None] * len(weeks), dtype=object) for c in names})
+        out["_user"] = [user for _, user, _, _, _ in weeks]
+        out["_week"] = [number for _, _, number, _, _ in weeks]
+        out["_exit"] = [
+            {
+                "_first": first,
+                "_last": None if state.last == entry else state.last,
+                "_later": [{"day": d, "used": n} for d, n in sorted(state.used.items()) if d // DAYS > number],
+            }
+            for first, _, number, entry, state in weeks
         ]
-        named = pd.DataFrame(out, columns=["_user", "_week", "_first", "_last", "_later"])
-        return named.astype({"_last": "Int64"})
+        return out
 
-    def reduce_weeks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         going = None  # the week that may go on in the next batch
-        for batch, parts, _, _ in _judged(batches, cooldown_us, cap):
+        for batch, parts, reason, left in _judged(batches, cooldown_us, cap):
             at, closed = batch["_at"].to_numpy(), []
             for start, user, week, entry, state in parts:
                 if going and going[1:3] == (user, week):
@@ -170,19 +174,30 @@ def _exit_states(rows: DataFrame, cooldown_us: int, cap: int) -> DataFrame:
                 if going:
                     closed.append(going)
                 going = (int(at[start]), user, week, entry, state)
-            if closed:
-                yield frame(closed)
-        if going:
-            yield frame([going])
+            if decisions:
+                yield batch[kept].assign(_reason=REASONS[reason], _left=left, _exit=None)
+            if exits and closed:
+                yield closing(closed)
+        if exits and going:
+            yield closing([going])
 
-    return _in_order(rows).mapInPandas(reduce_weeks, _EXIT)
+    return _in_order(rows).mapInPandas(walk, schema)
 
 
-def _entries_of_weeks(timed: DataFrame, cooldown_us: int, cap: int) -> DataFrame:
-    """(user, week, entry state) of the weeks that do not start fresh."""
-    facts = timed.select(*WEEK, "_at", "_id", "_done", "_free", "_ok")
+def _exits(walked: DataFrame) -> DataFrame:
+    return walked.filter(F.col("_exit").isNotNull()).select(*WEEK, "_exit.*")
+
+
+def _entries_of_weeks(walked: DataFrame, cooldown_us: int, cap: int) -> DataFrame | None:
+    """(user, week, entry state) of the weeks that do not start fresh; None where all do.
+
+    ``walked`` has all weeks' calls and their exits from a fresh state.  Only weeks whose entry differs
+    from the one they were walked from are walked again.
+    """
+    facts = walked.filter(F.col("_exit").isNull()).select(*WEEK, *FACTS)
     fresh = {"_entry_last": F.lit(None).cast("bigint"), "_entry_used": F.array().cast(_USED)}
-    solved = checkpointed(_exit_states(facts, cooldown_us, cap).withColumns(fresh))
+    solved = _exits(walked).withColumns(fresh)
+    turned = False
     while True:
         entry = _entry_states(solved, cooldown_us)
         differs = ~(
@@ -196,10 +211,10 @@ def _entries_of_weeks(timed: DataFrame, cooldown_us: int, cap: int) -> DataFrame
         )
         if again.isEmpty():
             starts_fresh = F.col("_entry_last").isNull() & (F.size("_entry_used") == 0)
-            return solved.filter(~starts_fresh).select(*WEEK, "_entry_last", "_entry_used")
-        redone = _exit_states(facts.join(again, WEEK), cooldown_us, cap).join(again, WEEK)
+            return solved.filter(~starts_fresh).select(*WEEK, "_entry_last", "_entry_used") if turned else None
+        redone = _exits(_walk(facts.join(again, WEEK), [], cooldown_us, cap, decisions=False)).join(again, WEEK)
         kept = solved.join(again.select(*WEEK), WEEK, "left_anti")
-        solved = checkpointed(kept.unionByName(redone))
+        solved, turned = checkpointed(kept.unionByName(redone)), True
 
 
 def _entry_states(solved: DataFrame, cooldown_us: int) -> DataFrame:

@@ -91,10 +91,10 @@ def test_jobs_do_not_grow_with_free_or_failed_calls(spark, column):
     assert jobs[1] <= jobs[0] + 4
 
 
-def test_calls_without_a_time_are_refused_not_lost(spark):
+def test_calls_without_a_time_or_user_are_refused_not_lost(spark):
     rows = [(1, 1, None), (1, 2, START), (None, 3, None), (None, 4, START), (1, 2, START)]
     got = sorted(((r.call_id, r.admitted, r.reason) for r in admit(spark.createDataFrame(rows, SCHEMA), 30, 10).collect()))
-    assert got == [(1, False, "invalid"), (2, False, "cooldown"), (2, True, ""), (3, False, "invalid"), (4, True, "")]
+    assert got == [(1, False, "invalid"), (2, False, "cooldown"), (2, True, ""), (3, False, "invalid"), (4, False, "invalid")]
 
 
 def test_exact_boundary_admits_and_ties_go_by_id(spark):

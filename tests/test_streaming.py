@@ -3,6 +3,7 @@
 import random
 from datetime import datetime, timedelta
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,7 +11,7 @@ from daybook.functions.text import redact_counted
 from daybook.operators import logs, usage
 from daybook.operators.admission import admit
 from daybook.streaming import flows
-from daybook.streaming.admission import admit_stream
+from daybook.streaming.admission import AdmissionLimits, admit_stream, use_state_store
 
 START = datetime(2024, 1, 1)
 
@@ -19,6 +20,8 @@ START = datetime(2024, 1, 1)
 def run(spark, tmp_path):
     """Write rows as files in the given order, stream them one file per trigger, collect."""
 
+    use_state_store(spark)
+
     def go(rows, schema, transform, mode="append", files=3, name=None):
         source = str(tmp_path / "in")
         step = max(1, len(rows) // files)
@@ -102,7 +105,7 @@ def test_admission_in_any_order_of_arrival(run, files):
         for i in range(240)
     ]
     rows = sorted(rows, key=lambda r: r[2] + timedelta(minutes=rnd.randrange(60)))
-    rows += [(1, 900, None, False, False, True, None)]
+    rows += [(1, 900, None, False, False, True, None), (None, 901, START, False, False, True, None)]
     # far later calls of another user move the watermark past all others
     rows += [(9, 1000 + i, START + timedelta(days=9 + i), False, False, True, None) for i in range(3)]
     schema = "user_id bigint, call_id bigint, ts timestamp, forced boolean, off boolean, ok boolean, done timestamp"
@@ -114,10 +117,108 @@ def test_admission_in_any_order_of_arrival(run, files):
         lambda s: admit_stream(s.withColumn("on", on), 45, 5, lateness="3 hours", **flags),
         files=files,
     )
-    want = admit(batch.withColumn("on", on), 45, 5, **flags).filter("user_id <> 9")
+    want = admit(batch.withColumn("on", on), 45, 5, **flags).filter("coalesce(user_id, 0) <> 9")
     columns = ["user_id", "call_id", "admitted", "reason", "seconds_remaining"]
-    shown = sorted(map(tuple, got.filter("user_id <> 9").select(*columns).collect()))
-    assert shown == sorted(map(tuple, want.select(*columns).collect()))
+    shown = sorted(map(tuple, got.filter("coalesce(user_id, 0) <> 9").select(*columns).collect()), key=str)
+    assert shown == sorted(map(tuple, want.select(*columns).collect()), key=str)
+
+
+def test_a_backlog_of_one_user_is_decided_slice_by_slice(run, spark):
+    """A user with most rows in the first trigger, in Arrow batches far smaller than the backlog."""
+    rnd = random.Random(8)
+    rows = [(1 if rnd.random() < 0.7 else rnd.randrange(2, 9), i, START + timedelta(seconds=40 * i)) for i in range(3000)]
+    rnd.shuffle(rows)
+    rows += [(99, 5000 + i, START + timedelta(days=20 + i)) for i in range(2)]
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "97")
+    try:
+        got, batch = run(
+            rows,
+            "user_id bigint, call_id bigint, ts timestamp",
+            lambda s: admit_stream(s, 20, 6, lateness="2 days", slice_minutes=60),
+            files=1,
+        )
+        shown = got.filter("user_id <> 99").drop("at")
+        want = admit(batch, 20, 6).filter("user_id <> 99").drop("ts")
+        assert sorted(map(tuple, shown.collect())) == sorted(map(tuple, want.collect()))
+        assert shown.count() == 3000
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_only_one_slice_is_read_at_a_time():
+    """The processor against a small stand-in of its state: no call reads more chunks than one slice has."""
+    processor = AdmissionLimits(60_000_000, 3, 600_000_000)
+    processor.init(Held())
+    batches = [
+        pd.DataFrame({"at": [m * 60_000_000 for m in minutes], "id": minutes, "done": [m * 60_000_000 for m in minutes], "free": False, "ok": True})
+        for minutes in ([0, 25, 3], [12, 4, 31], [26])
+    ]
+    assert list(processor.handleInputRows(("u",), iter(batches), None)) == []
+    assert sorted(processor.handle.timers) == [600_000, 1_200_000, 1_800_000, 2_400_000]
+    reads = processor.waiting.reads = []
+    decided = processor.handleExpiredTimer(("u",), Mark(1_800_000), None)
+    for minutes, chunks in (([0, 3, 4], 2), ([12], 1), ([25, 26], 2)):
+        assert next(decided)["id"].tolist() == minutes
+        assert len(reads) == chunks
+        reads.clear()
+    assert list(decided) == []
+    assert [k for k in processor.waiting.rows] == [(3, 0)]  # the slice that the watermark has not passed
+    list(processor.handleExpiredTimer(("u",), Mark(3 * 86_400_000), None))
+    assert not any(s.rows for s in (processor.waiting, processor.chunks, processor.days, processor.last))
+
+
+class Mark:
+    def __init__(self, ms):
+        self.getCurrentWatermarkInMs = lambda: ms
+
+
+class Held:
+    """State handle kept in memory."""
+
+    def __init__(self):
+        self.timers = []
+        self.registerTimer = self.timers.append
+
+    def getMapState(self, *_):
+        return Rows()
+
+    def getValueState(self, *_):
+        return Rows()
+
+
+class Rows:
+    def __init__(self):
+        self.rows, self.reads = {}, []
+
+    def getValue(self, key):
+        if key in self.rows:
+            self.reads.append(key)
+        return self.rows.get(key)
+
+    def updateValue(self, key, value):
+        self.rows[key] = value
+
+    def removeKey(self, key):
+        self.rows.pop(key, None)
+
+    def keys(self):
+        return iter(list(self.rows))
+
+    def iterator(self):
+        return iter(list(self.rows.items()))
+
+    def exists(self):
+        return bool(self.rows)
+
+    def get(self):
+        return self.rows[()]
+
+    def update(self, value):
+        self.rows[()] = value
+
+    def clear(self):
+        self.rows.clear()
 
 
 def test_short_lateness_of_first_requests_is_refused(spark):
