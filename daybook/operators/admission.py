@@ -196,29 +196,20 @@ def _entries_of_weeks(walked: DataFrame, cooldown_us: int, cap: int) -> DataFram
     """
     facts = walked.filter(F.col("_exit").isNull()).select(*WEEK, *FACTS)
     fresh = {"_entry_last": F.lit(None).cast("bigint"), "_entry_used": F.array().cast(_USED)}
-    solved = _exits(walked).withColumns(fresh)
-    turned = False
+    solved, turned = _exits(walked).withColumns(fresh), False
     while True:
-        entry = _entry_states(solved, cooldown_us)
-        differs = ~(
-            F.col("_entry_last").eqNullSafe(F.col("_next_last"))
-            & (F.col("_entry_used") == F.col("_next_used"))
-        )
-        again = checkpointed(
-            solved.join(entry, WEEK)
-            .filter(differs)
-            .select(*WEEK, F.col("_next_last").alias("_entry_last"), F.col("_next_used").alias("_entry_used"))
-        )
+        state = checkpointed(_with_next_entry(solved, cooldown_us))
+        again = state.filter("_differs")
         if again.isEmpty():
             starts_fresh = F.col("_entry_last").isNull() & (F.size("_entry_used") == 0)
-            return solved.filter(~starts_fresh).select(*WEEK, "_entry_last", "_entry_used") if turned else None
-        redone = _exits(_walk(facts.join(again, WEEK), [], cooldown_us, cap, decisions=False)).join(again, WEEK)
-        kept = solved.join(again.select(*WEEK), WEEK, "left_anti")
-        solved, turned = checkpointed(kept.unionByName(redone)), True
+            return state.filter(~starts_fresh).select(*WEEK, "_entry_last", "_entry_used") if turned else None
+        entry = again.select(*WEEK, F.col("_next_last").alias("_entry_last"), F.col("_next_used").alias("_entry_used"))
+        redone = _exits(_walk(facts.join(entry, WEEK), [], cooldown_us, cap, decisions=False)).join(entry, WEEK)
+        solved, turned = state.filter("NOT _differs").select(*solved.columns).unionByName(redone), True
 
 
-def _entry_states(solved: DataFrame, cooldown_us: int) -> DataFrame:
-    """State each week starts from, reduced to what can matter in that week."""
+def _with_next_entry(solved: DataFrame, cooldown_us: int) -> DataFrame:
+    """Weeks with the state they should start from, reduced to what can matter in that week."""
     earlier = (
         Window.partitionBy("_user").orderBy("_week").rowsBetween(Window.unboundedPreceding, -1)
     )
@@ -232,12 +223,18 @@ def _entry_states(solved: DataFrame, cooldown_us: int) -> DataFrame:
         .agg(F.array_sort(F.collect_list(F.struct("day", "used"))).alias("_spilled"))
     )
     matters = F.col("_carried") + cooldown_us > F.col("_first")
+    differs = ~(
+        F.col("_entry_last").eqNullSafe(F.col("_next_last")) & (F.col("_entry_used") == F.col("_next_used"))
+    )
     return (
-        solved.select(*WEEK, "_first", carried.alias("_carried"))
+        solved.withColumn("_carried", carried)
         .join(spilled, WEEK, "left")
-        .select(
-            *WEEK,
-            F.when(matters, F.col("_carried")).alias("_next_last"),
-            F.coalesce("_spilled", F.array().cast(_USED)).alias("_next_used"),
+        .withColumns(
+            {
+                "_next_last": F.when(matters, F.col("_carried")),
+                "_next_used": F.coalesce("_spilled", F.array().cast(_USED)),
+            }
         )
+        .withColumn("_differs", differs)
+        .drop("_carried", "_spilled")
     )
