@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from daybook.checks.fixtures import EVENTS_NOW, with_inputs
 from daybook.checks.registry import query
 from daybook.operators import history as oh
+from daybook.operators.times import before
+from daybook.plans.maintenance import prune_history, purge_history
+from daybook.session import shared_folder
+from daybook.sources.tables import append_history, read_history
 
 _DATED = """SELECT *, CAST(created_at AS DATE) AS day FROM history"""
 
@@ -148,6 +154,45 @@ def age_purge(history):
     return oh.purge(history, EVENTS_NOW, 10).select("id")
 
 
+def _stored(history) -> str:
+    """The rows as a history table of their own below the shared folder."""
+    path = f"{shared_folder(history.sparkSession)}/history-{uuid.uuid4().hex}"
+    append_history(history.withColumn("repos", oh.decode_repos("repos")), path)
+    return path
+
+
+@query(
+    "retention_in_place",
+    "history",
+    oracle=with_inputs(
+        "history",
+        tables={"k": _RANKED},
+        then="SELECT provider, id, CAST(created_at AS DATE) AS day FROM k WHERE rn <= 365",
+    ),
+)
+def retention_in_place(history):
+    """The table on disk after its days were rewritten or dropped."""
+    path = _stored(history)
+    prune_history(history.sparkSession, path, ["provider"])
+    return read_history(history.sparkSession, path).select("provider", "id", F.col("created_date").alias("day"))
+
+
+@query(
+    "purge_in_place",
+    "history",
+    oracle=with_inputs(
+        "history",
+        then=f"""SELECT id, CAST(created_at AS DATE) AS day FROM history
+WHERE date_trunc('second', created_at) >= TIMESTAMP '{EVENTS_NOW}' - INTERVAL 235 HOUR""",
+    ),
+)
+def purge_in_place(history):
+    """The same for an age limit whose edge lies within a day."""
+    path = _stored(history)
+    purge_history(history.sparkSession, path, before(EVENTS_NOW, hours=-5), 10)
+    return read_history(history.sparkSession, path).select("id", F.col("created_date").alias("day"))
+
+
 @query(
     "history_count",
     "history",

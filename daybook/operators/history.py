@@ -105,22 +105,33 @@ def keep_newest(
     return _newest_ranked(history, owner).filter(F.col("_rank") <= ceiling).drop("_rank")
 
 
-def beyond_ceiling(
+def ceiling_edges(
     history: DataFrame, owner: Sequence[str], ceiling: int = rules.MAX_HISTORY_ROWS
 ) -> DataFrame:
-    """Rows retention deletes: older than the owner's last kept row.
+    """The last row that retention keeps of each owner with that many rows.
 
-    The last kept row comes from the ranked limit, so an owner's full history is
-    compared with one row and never sorted.
+    It comes from the ranked limit, so an owner's full history is never sorted.
     """
-    edge = (
+    return (
         _newest_ranked(history.select(*owner, "created_at", "id"), [*owner, apart(owner)])
         .filter(F.col("_rank") == ceiling)
         .select(*owner, F.struct("created_at", "id").alias("_edge"))
     )
+
+
+def by_edges(history: DataFrame, edges: DataFrame, owner: Sequence[str], beyond: bool) -> DataFrame:
+    """Rows older than their owner's edge, or all others."""
     older = F.struct("created_at", "id") < F.col("_edge")
-    edges, same = same_keys(history, edge, owner)
-    return history.join(edges, same).filter(older).select(*history.columns)
+    last, same = same_keys(history, edges, owner)
+    joined = history.join(last, same, "inner" if beyond else "left")
+    return joined.filter(older if beyond else ~F.coalesce(older, F.lit(False))).select(*[history[c] for c in history.columns])
+
+
+def beyond_ceiling(
+    history: DataFrame, owner: Sequence[str], ceiling: int = rules.MAX_HISTORY_ROWS
+) -> DataFrame:
+    """Rows retention deletes: older than the owner's last kept row."""
+    return by_edges(history, ceiling_edges(history, owner, ceiling), owner, beyond=True)
 
 
 def deleted_counts(

@@ -5,11 +5,59 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from daybook import rules
 from daybook.functions.text import key_format_ok, mask_key, size_band, size_text
 from daybook.operators import health, history, settings, usage
+from daybook.operators.times import before
+from daybook.session import checkpointed
+from daybook.sources.dayswap import NO_DAY, DaySwap, Swapped, day_folders, in_days, recover
+from daybook.sources.tables import read_history
+
+
+def prune_history(
+    spark: SparkSession, path: str, owner: Sequence[str], ceiling: int = rules.MAX_HISTORY_ROWS
+) -> Swapped:
+    """Delete the rows beyond each owner's ceiling from the history table, in place.
+
+    The owners' edges are found from keys and times of all days.  Only days with a row to delete are
+    then read whole and written anew, or dropped where none of their rows stays.
+    """
+    recover(spark, path)
+    change = DaySwap(spark, path)
+    rows = read_history(spark, path)
+    edges = checkpointed(history.ceiling_edges(rows, owner, ceiling))
+    facts = rows.select(*dict.fromkeys([*owner, "created_at", "id", "created_date"]))
+    days = change.touch_days_of(history.by_edges(facts, edges, owner, beyond=True))
+    if days:
+        change.write(history.by_edges(rows.filter(in_days(days)), edges, owner, beyond=False))
+    return change.commit()
+
+
+def purge_history(spark: SparkSession, path: str, now: datetime | str, days: int | None = None) -> Swapped:
+    """Delete everything, or everything older than ``days``, from the history table, in place.
+
+    Whole days before the edge are dropped by their folder names, unread, as are rows without a time; the
+    day that holds the edge is the only one read.
+    """
+    recover(spark, path)
+    change = DaySwap(spark, path)
+    stored = day_folders(spark, path)
+    if days is None:
+        change.touch(stored)
+        return change.commit()
+    edge = before(now, days=days)
+    cut = edge.date().isoformat()
+    change.touch(d for d in stored if d == NO_DAY or d < cut)
+    if cut in stored:
+        day = read_history(spark, path).filter(in_days([cut]))
+        kept = history.purge(day, now, days)
+        if day.count() > kept.count():
+            change.touch([cut])
+            change.write(kept)
+    return change.commit()
 
 
 def summary(

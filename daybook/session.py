@@ -30,18 +30,30 @@ def build(app: str = "daybook", master: str | None = None, **extra: str) -> Spar
     return builder.getOrCreate()
 
 
-def checkpointed(df):
-    """Cut lineage with a table written to the shared folder the cluster names in its settings.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share, as the cluster names it in ``spark.checkpoint.dir``.
 
-    Only where that setting is absent, as in tests, a temporary folder is set.  The table is removed when Spark ends.  It brings its true size to the planner, where a
-    checkpoint would carry the estimates of all rounds before it through a loop.
+    A temporary folder is set only where Spark runs in one process, as in tests; on a cluster the setting
+    must be there.
     """
-    spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="daybook-shared-")
         spark.conf.set("spark.checkpoint.dir", folder)
-    place = f"{folder.rstrip('/')}/daybook-{uuid.uuid4().hex}"
+    return folder.rstrip("/")
+
+
+def checkpointed(df):
+    """Cut lineage with a table written to the shared folder.
+
+    The table is removed when Spark ends.  It brings its true size to the planner, where a
+    checkpoint would carry the estimates of all rounds before it through a loop.
+    """
+    spark = df.sparkSession
+    place = f"{shared_folder(spark)}/daybook-{uuid.uuid4().hex}"
     df.write.parquet(place)
     path = spark._jvm.org.apache.hadoop.fs.Path(place)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
