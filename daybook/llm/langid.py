@@ -37,8 +37,6 @@ EXCERPT = 320
 #: Characters of a row of the parse, and of one round of texts.
 ROW = 512
 ROUND_CHARS = 4_000_000
-#: Above this many phrases per character a text is like none of the languages.
-MAX_RATE = 0.5
 UNKNOWN = "und"
 
 _LETTER = re.compile(r"[^\W\d_]")
@@ -229,12 +227,16 @@ def identify_documents(docs: DataFrame, texts: dict[str, str]) -> DataFrame:
     return found.select("doc_id", "held_out", "found.*")
 
 
-def keep_identified(docs: DataFrame, max_rate: float = MAX_RATE) -> DataFrame:
-    """The rows of ``docs`` whose text is in a learned language; columns stay as they are."""
+def keep_identified(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` for which a language is found; columns stay as they are.
+
+    Only null texts and texts without a letter go.  A high rate of phrases is no reason: the shortest
+    texts of every language have one.
+    """
     small_batches(docs.sparkSession)
     name = free_name(docs, "_language")
     found = docs.withColumn(name, language_of(learning_text(docs))("text"))
-    return found.where((F.col(name)["lang_pred"] != UNKNOWN) & (F.col(name)["rate"] <= max_rate)).drop(name)
+    return found.where(F.col(name)["lang_pred"] != UNKNOWN).drop(name)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@
    the smallest even-bit domain that holds all indexes; an image beyond the last index is permuted
    again (cycle-walking) until it falls inside, which keeps the map a permutation of the indexes.  The
    image is the sequence's global slot in training order, known without a sort or a random draw.
-3. **Shards.**  Slots are split into ranges of ``shard_rows``.  Each range is sorted and written as one
+3. **Shards.**  Slots are split into ranges of ``shard_rows``.  Each range is one task, which sorts it and writes one
    file of records of fixed stride: ``length`` unsigned 16-bit little-endian ids and one line feed.
    Slot ``s`` is record ``s % shard_rows`` of shard ``s // shard_rows``, so reading can go on from any slot
    by seeking.  Spark's writer commits tasks, so lost executors leave no partial shard.
@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import filterfalse
 
 import numpy as np
 import pandas as pd
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from daybook.llm.common import cut, shared_folder, small_batches, table
-from daybook.llm.word_tokens import word_tokenizer
+from daybook.llm.word_tokens import CACHE_ENTRIES, WordIds, WordTokenizer
 
 LENGTH = 2048
 END_ID = 49407
@@ -38,6 +39,77 @@ KEY = 20_250_101
 SEQUENCES = "part int, number long, n_tokens int, packed binary"
 RECORDS = "slot long, shard int, offset long, ids_crc32 long, n_ends int"
 
+
+class ShortIds(WordIds):
+    """Word to its ids as little-endian unsigned 16-bit bytes.
+
+    New words go through the library as one text; the ids that end a word part them again.
+    """
+
+    def __init__(self, library):
+        super().__init__(library)
+        vocabulary = library.get_vocab(with_added_tokens=False)
+        self.ends = np.zeros(1 << 16, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+
+    def __missing__(self, word: str) -> bytes:
+        self.add_all([word])
+        return self[word]
+
+    def add_all(self, words: list[str]) -> None:
+        new = list(filterfalse(self.__contains__, set(words)))
+        if len(self) + len(new) >= CACHE_ENTRIES:
+            self.old = dict(self)
+            self.clear()
+            new = list(set(words))
+        unknown = []
+        for word in new:
+            ids = self.old.get(word)
+            if ids is None:
+                unknown.append(word)
+            else:
+                self[word] = ids
+        for word, ids in zip(unknown, self._parted(unknown), strict=True):
+            self[word] = ids
+
+    def _parted(self, words: list[str]) -> list[bytes]:
+        if not words:
+            return []
+        made = self.library.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0]
+        ids = np.array(made.ids, "<u2")
+        stops = (2 * np.flatnonzero(self.ends[ids]) + 2).tolist()
+        held = ids.tobytes()
+        return [held[a:b] for a, b in zip([0, *stops], stops)]
+
+
+class ShortTokenizer(WordTokenizer):
+    """Ids of a text as 16-bit bytes, without a wider form on the way."""
+
+    def __init__(self, path: str):
+        super().__init__(path)
+        self.ids_of = ShortIds(self.library)
+
+    def ids(self, text: str | None) -> bytes:
+        text = text or ""
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return np.asarray(self.library.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
+        words = self.words.findall(text.lower())
+        self.ids_of.add_all(words)
+        return b"".join(map(self.ids_of.__getitem__, words))
+
+
+_made: dict[str, ShortTokenizer] = {}
+
+
+def short_tokenizer(path: str) -> ShortTokenizer:
+    """One tokenizer for all tasks of a worker."""
+    if path not in _made:
+        _made[path] = ShortTokenizer(path)
+    return _made[path]
+
+
 _GOLDEN, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -64,7 +136,7 @@ def permuted(index: np.ndarray, size: int, key: int = KEY, rounds: int = ROUNDS)
 def sequences(docs: DataFrame, path: str, length: int = LENGTH, end_id: int = END_ID) -> DataFrame:
     """Sequences of every input partition, numbered within it; ids compressed."""
     small_batches(docs.sparkSession)
-    end = int(end_id).to_bytes(4, "little")
+    end = int(end_id).to_bytes(2, "little")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import zstandard
@@ -72,7 +144,7 @@ def sequences(docs: DataFrame, path: str, length: int = LENGTH, end_id: int = EN
 
         part, number, held = TaskContext.get().partitionId(), 0, b""
         pack = zstandard.ZstdCompressor(level=3).compress
-        t = word_tokenizer(path)
+        t = short_tokenizer(path)
         stride = 2 * length
 
         def frame(packed: list[bytes], n_tokens: list[int]) -> pd.DataFrame:
@@ -80,15 +152,14 @@ def sequences(docs: DataFrame, path: str, length: int = LENGTH, end_id: int = EN
             return pd.DataFrame({"part": part, "number": numbers, "n_tokens": n_tokens, "packed": packed})
 
         for batch in batches:
-            ids = b"".join(t.ids(text) + end for text in batch["text"])
-            held += np.frombuffer(ids, "<u4").astype("<u2").tobytes()
+            held += b"".join(t.ids(text) + end for text in batch["text"])
             whole = len(held) // stride
             if whole:
                 yield frame([pack(held[i * stride : (i + 1) * stride]) for i in range(whole)], [length] * whole)
                 number, held = number + whole, held[whole * stride :]
         if held:
             missing = length - len(held) // 2
-            yield frame([pack(held + end[:2] * missing)], [length - missing])
+            yield frame([pack(held + end * missing)], [length - missing])
 
     return docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInPandas(run, SEQUENCES)
 
@@ -122,7 +193,7 @@ def write_shards(slotted: DataFrame, size: int, folder: str, length: int = LENGT
     ranged = (
         slotted.withColumn("shard", F.floor(F.col("slot") / shard_rows).cast("int"))
         .select("shard", "slot", "packed")
-        .repartition(shards, "shard")
+        .repartitionById(shards, "shard")
         .sortWithinPartitions("shard", "slot")
     )
     records = ranged.select("packed", "shard").mapInPandas(unpack, "record binary, shard int")

@@ -212,6 +212,16 @@ def test_language_of_held_out_texts_and_odd_rows(spark):
     assert langid.keep_identified(odd.limit(0)).count() == 0
 
 
+def test_very_short_texts_of_a_language_are_kept(spark):
+    """Also those that need a phrase for every character or two."""
+    long = [(i, "the cat and the other dog went over there again", "en") for i in range(1, 9)]
+    short = [(100 + i, t, None) for i, t in enumerate(["A", "Go.", "Voilà", "Ok, go", "xyzzy qqq", "中文"])]
+    none = [(200, "12 34", "en"), (201, None, "en"), (202, "!", None), (203, "", "en")]
+    docs = spark.createDataFrame(long + short + none, "doc_id long, text string, lang string")
+    kept = {r["doc_id"] for r in langid.keep_identified(docs).collect()}
+    assert kept == {r[0] for r in long + short}
+
+
 def grams(text):
     w = (text or "").lower().split()
     n = min(5, len(w))
