@@ -20,7 +20,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 10: documents in none of the learned languages go."""
+    """Operator 10: documents for which no language is found (no text, no letter) go."""
     return langid.keep_identified(docs)
 
 
