@@ -9,6 +9,8 @@ from daybook import rules
 from daybook.operators import attempts as oa
 from daybook.operators import history as oh
 from daybook.operators.admission import admit
+from daybook.session import checkpointed
+from daybook.sources.tables import append_calls, append_history, read_calls, read_history
 
 
 def outcomes(
@@ -53,3 +55,39 @@ def outcomes(
         F.when(F.col("hit"), F.col("reused_text")).when(~limited, F.col("_made")).alias("text"),
         F.when(F.col("hit"), F.col("reused_score")).when(~limited, F.col("_made_score")).alias("score"),
     )
+
+
+def record_outcomes(decided: DataFrame, requests: DataFrame, history_path: str, calls_path: str) -> None:
+    """Store generated texts as history rows and as calls that count towards their users' limits.
+
+    Both are kept under the request's id and only where the table has no such row on that day yet, so a
+    run that was cut off between the two, or repeated, is finished by running it again: every
+    generated text ends up with one history row and one call.  ``requests`` holds what a history row
+    has besides text and score: the reuse keys, ``requested_at``, ``model``, ``repos`` and ``hours_lookback``.
+    """
+    facts = requests.drop("user_id") if "user_id" in requests.columns else requests
+    made = checkpointed(
+        decided.filter(F.col("outcome") == "generated").join(facts, "request_id").withColumn("day", F.to_date("requested_at"))
+    )
+    if made.isEmpty():
+        return
+    spark = decided.sparkSession
+    first, last = made.agg(F.min("day"), F.max("day")).first()
+    within = F.col("created_date").between(F.lit(first), F.lit(last))
+    calls = made.select(F.col("request_id").alias("call_id"), "user_id", F.col("requested_at").alias("ts"))
+    known = read_calls(spark, calls_path).select("call_id")
+    append_calls(calls.join(known, "call_id", "left_anti"), calls_path)
+    rows = made.select(
+        F.col("request_id").alias("id"),
+        F.col("requested_at").alias("created_at"),
+        "commit_hash",
+        "provider",
+        "model",
+        "tone",
+        F.col("text").alias("standup_text"),
+        "repos",
+        "hours_lookback",
+        F.col("score").alias("quality_score"),
+    )
+    stored = read_history(spark, history_path).filter(within).select("id")
+    append_history(rows.join(stored, "id", "left_anti"), history_path)

@@ -43,6 +43,11 @@ def read_calls(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFram
         return spark.createDataFrame([], schemas.CALL)
 
 
+def append_calls(rows: DataFrame, path: str) -> None:
+    """Append call facts."""
+    rows.select("call_id", "user_id", F.col("ts").cast("timestamp_ntz").alias("ts")).write.mode("append").parquet(path)
+
+
 def union_repos(tables: Sequence[DataFrame]) -> DataFrame:
     """All repositories' commits as one table; columns are matched by name."""
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
@@ -70,9 +75,17 @@ def append_history(rows: DataFrame, path: str) -> None:
 
 
 def read_history(spark: SparkSession, path: str) -> DataFrame:
-    """History rows; files from before the score column read a score of 0."""
+    """History rows; files from before the score column read a score of 0.
+
+    A missing table is an empty one.
+    """
     schema = schemas.HISTORY + ", created_date DATE"
-    stored = spark.read.schema(schema).parquet(path)
+    try:
+        stored = spark.read.schema(schema).parquet(path)
+    except AnalysisException as problem:
+        if problem.getCondition() != "PATH_NOT_FOUND":
+            raise
+        stored = spark.createDataFrame([], schema)
     return stored.withColumn("quality_score", F.coalesce("quality_score", F.lit(0)))
 
 

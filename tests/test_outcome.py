@@ -2,7 +2,11 @@
 
 from datetime import datetime
 
-from daybook.plans.outcome import outcomes
+import pytest
+
+from daybook.plans import outcome
+from daybook.plans.outcome import outcomes, record_outcomes
+from daybook.sources.tables import read_calls, read_history
 
 DAY = datetime(2024, 1, 1)
 
@@ -33,3 +37,32 @@ def test_a_hit_spends_no_limit(spark):
         4: ("limited", "daily", None, None),
         5: ("limited", "invalid", None, None),
     }
+
+
+def test_a_generated_text_is_recorded_once_with_its_call(spark, tmp_path, monkeypatch):
+    """Also when the run is cut off between the two tables, and when it is repeated."""
+    history, calls = str(tmp_path / "history"), str(tmp_path / "calls")
+    decided = spark.createDataFrame(
+        [(1, 7, "reused", "", "stored", 70), (2, 7, "limited", "daily", None, None), (3, 7, "generated", "", "good", 80), (4, None, "generated", "", "text", 60)],
+        "request_id bigint, user_id bigint, outcome string, reason string, text string, score int",
+    )
+    requests = spark.createDataFrame(
+        [(i, 5, f"h{i}", "casual", "local", "m", ["api"], 24, DAY.replace(day=i)) for i in range(1, 6)],
+        "request_id bigint, user_id bigint, commit_hash string, tone string, provider string, model string, repos array<string>, hours_lookback int, requested_at timestamp_ntz",
+    )
+
+    def cut_off(*_):
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as patched:
+        patched.setattr(outcome, "append_history", cut_off)
+        with pytest.raises(RuntimeError, match="lost"):
+            record_outcomes(decided, requests, history, calls)
+    assert read_calls(spark, calls).count() == 2 and read_history(spark, history).count() == 0
+    for _ in range(2):
+        record_outcomes(decided, requests, history, calls)
+        stored = sorted((r.id, r.commit_hash, r.standup_text, r.quality_score, str(r.created_date)) for r in read_history(spark, history).collect())
+        assert stored == [(3, "h3", "good", 80, "2024-01-03"), (4, "h4", "text", 60, "2024-01-04")]
+        assert sorted((r.call_id, r.user_id) for r in read_calls(spark, calls).collect()) == [(3, 7), (4, None)]
+    record_outcomes(decided.filter("outcome <> 'generated'"), requests, history, calls)
+    assert read_calls(spark, calls).count() == 2
