@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from daybook.functions.text import redact_counted
 from daybook.operators import logs
+from daybook.operators.history import REUSE_KEYS
 
 
 def redact_texts(texts: DataFrame, column: str = "text") -> DataFrame:
@@ -49,3 +50,47 @@ def first_requests(
         raise ValueError(f"lateness must be at least 1 day, got: {lateness!r}")
     dated = requests.withColumn("day", F.to_date(ts)).withWatermark(ts, lateness)
     return dated.dropDuplicatesWithinWatermark(["commit_hash", "tone", "provider", "day"])
+
+
+def find_reusable(requests: DataFrame, history: DataFrame, lateness: str = "1 hour") -> DataFrame:
+    """Each request with the newest history row of the same key and day, or without one: the batch lookup as a
+    join of two streams.
+
+    Columns are those of ``operators.history.find_reusable``.  Both sides carry a watermark and are joined on the
+    reuse key and the day's window, so a day's rows leave the state once both watermarks have passed its end;
+    then the day's hits and misses come out, each request once.  History rows that come later than ``lateness``
+    after the day was closed are not seen.  A request delivered again, equal in every column, is one request.
+    Requests without a time have no day: they are misses and come out at once.
+    """
+    names = requests.columns
+    day = F.window("_at", "1 day").alias("_day")
+    timed = requests.withColumn("_at", F.col("requested_at").cast("timestamp"))
+    asked = timed.filter("_at IS NOT NULL").withWatermark("_at", lateness).select(*names, day)
+    made = (
+        history.withColumn("_at", F.col("created_at").cast("timestamp"))
+        .withWatermark("_at", lateness)
+        .select(
+            *[F.col(k).alias(f"_{k}") for k in REUSE_KEYS if k != "day"],
+            day.alias("_made"),
+            F.struct("created_at", "id", "standup_text", "quality_score").alias("_row"),
+        )
+    )
+    same = F.col("_day") == F.col("_made")
+    for key in REUSE_KEYS:
+        if key != "day":
+            same &= F.col(key) == F.col(f"_{key}")
+    found = asked.join(made, same, "left").groupBy("_day", *names).agg(F.max("_row").alias("_row"))
+    answered = found.withColumn("day", F.to_date("_day.start")).select(*names, "day", "_row")
+    row = answered.schema["_row"].dataType
+    dateless = timed.filter("_at IS NULL").select(
+        *names, F.lit(None).cast("date").alias("day"), F.lit(None).cast(row).alias("_row")
+    )
+    return answered.unionByName(dateless).select(
+        *names,
+        "day",
+        F.col("_row.id").alias("history_id"),
+        F.col("_row.created_at").alias("reused_from"),
+        F.col("_row.standup_text").alias("reused_text"),
+        F.col("_row.quality_score").alias("reused_score"),
+        F.col("_row").isNotNull().alias("hit"),
+    )
