@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from daybook.llm import license_texts
-from daybook.llm.common import table
+from daybook.llm.common import cut, table
 
 THRESHOLD = 0.6
 ID_THRESHOLD = 0.9
@@ -88,7 +88,8 @@ def weighed_templates(files: DataFrame, templates: list[tuple[str, str, str]], t
     """(kind, word, template, license, idf, unit): as many rows as the templates have words."""
     per_template = template_words(files.sparkSession, templates)
     vocabulary = sorted(r["word"] for r in per_template.where("kind = 'text'").select("word").distinct().collect())
-    idf = word_weights(files, vocabulary, total)
+    rarities = word_weights(files, vocabulary, total).collect()
+    idf = files.sparkSession.createDataFrame([tuple(r) for r in rarities], "word string, idf double")
     weight = F.col("n") * F.when(F.col("kind") == "id", 1.0).otherwise(F.col("idf"))
     weighed = per_template.join(idf, "word", "left").withColumn("weight", weight)
     lengths = weighed.groupBy("template").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("length"))
@@ -199,8 +200,10 @@ def scan(files: DataFrame, templates: list[tuple[str, str, str]] | None = None,
     unknown = float(spark.range(1).select(F.log(F.lit(1.0 + total)) + 1).first()[0])
 
     kind = F.when(F.col("level") == 4, "id").otherwise("text")
-    said = units(files, keys).withColumn("kind", kind).withColumn("uid", F.sha2(F.concat("kind", F.lit(":"), "unit"), 256))
-    scored = scored_units(said.select("uid", "kind", "unit").distinct(), postings, unknown, threshold)
+    # texts are cut into units once; grouped by uid alone, distinct units stay where they are until they are scored
+    said = cut(units(files, keys).withColumn("kind", kind).withColumn("uid", F.unhex(F.sha2(F.concat("kind", F.lit(":"), "unit"), 256))))
+    distinct = said.groupBy("uid").agg(F.max("kind").alias("kind"), F.max("unit").alias("unit"))
+    scored = scored_units(distinct, postings, unknown, threshold)
     best = F.min(F.struct((-F.col("level")).alias("above"), (-F.col("score")).alias("less"), "license")).alias("best")
     own = (
         said.groupBy("doc_id", "path", "dir", "uid")
@@ -218,6 +221,7 @@ def scan(files: DataFrame, templates: list[tuple[str, str, str]] | None = None,
             (-F.col("best")["above"]).alias("own_level"),
         )
     )
+    own = cut(own)
     licensed = (
         own.where(F.col("path").rlike(LICENSE_FILE))
         .groupBy(F.col("dir").alias("ancestor"))
