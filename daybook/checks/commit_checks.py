@@ -12,6 +12,7 @@ from daybook.checks.registry import query
 from daybook.functions import commits as fc
 from daybook.functions.text import subject_line
 from daybook.operators import commits as oc
+from daybook.operators import folds
 from daybook.plans import daily
 from daybook.sources.tables import union_repos
 
@@ -540,6 +541,42 @@ def weekly_digest(commits, files, orders):
     )
 
 
+# Whole histories per author: no cap.
+_WHOLE = {k: _per_author(v) for k, v in (q.CAPPED | q.digest_tables("annotated")).items()} | {
+    "capped": q.CAPPED["capped"].replace(" WHERE rn <= 200", "")
+}
+
+
+@query(
+    "fingerprint_whole",
+    "commits",
+    oracle=with_inputs(
+        "commits",
+        then="""SELECT author_email, sha256(string_agg(hash, chr(10) ORDER BY hash)) AS fingerprint
+FROM commits GROUP BY author_email""",
+    ),
+)
+def fingerprint_whole(commits):
+    return folds.fingerprint_any_size(commits, ["author_email"])
+
+
+@query(
+    "digest_whole",
+    "commits",
+    "commit_files",
+    oracle=with_inputs(
+        "commits",
+        "commit_files",
+        tables=_WHOLE,
+        then="SELECT author_email, length(digest) AS n_chars, sha256(digest) AS sha256 FROM digests",
+    ),
+)
+def digest_whole(commits, files):
+    full = oc.with_file_totals(oc.with_subject(commits), files)
+    parts = folds.digest_parts(oc.with_lines(oc.annotate(full)), ["author_email"])
+    return parts.groupBy("author_email").agg(F.max("n_chars").alias("n_chars"), F.max_by("sha256", "part").alias("sha256"))
+
+
 # Earlier answers for runs of one commit, so that some digests can be reused.
 _EARLIER = """SELECT o_orderkey AS id, o_orderdate + INTERVAL '20' HOUR AS created_at,
   {sha}(left(md5(CAST(o_orderkey AS STRING)), 7){bits}) AS commit_hash,

@@ -248,17 +248,17 @@ def _fingerprint_of(hashes):
     return F.sha2(F.array_join(F.array_sort(hashes), "\n"), 256)
 
 
-def _usable_hash(column: str):
+def usable_hash(column: str):
     return F.nullif(strip(column), F.lit(""))
 
 
 def fingerprint(df: DataFrame, run: Sequence[str], hash_column: str = "hash") -> DataFrame:
     """Order-independent SHA-256 of a run's hashes, repeats kept.
 
-    The digest of a sorted list needs the list, so runs must be capped first
-    (``cap_newest``), which is what bounds them in a digest as well.
+    The list of hashes is one row here, so runs must be capped first (``cap_newest``), which is what
+    bounds them in a digest as well; ``folds.fingerprint_any_size`` has no such condition.
     """
-    hashes = F.collect_list(_usable_hash(hash_column))
+    hashes = F.collect_list(usable_hash(hash_column))
     return df.groupBy(*run).agg(_fingerprint_of(hashes).alias("fingerprint"))
 
 
@@ -282,7 +282,7 @@ def digest(df: DataFrame, run: Sequence[str], seq: str = "seq") -> DataFrame:
     """Digest text, totals, names and fingerprint per capped run.
 
     Repositories come in the order of their first commit, commits in ``seq`` order.
-    A run is at most the cap times its repositories; cap first.
+    A run is at most the cap times its repositories; cap first, or take ``folds.digest_parts``.
     """
     line = F.struct(F.col(seq).alias("seq"), "line")
     per_repo = df.groupBy(*run, "repo").agg(
@@ -292,7 +292,7 @@ def digest(df: DataFrame, run: Sequence[str], seq: str = "seq") -> DataFrame:
         F.sum("insertions").alias("_ins"),
         F.sum("deletions").alias("_del"),
         F.array_distinct(F.flatten(F.collect_list("modules"))).alias("_modules"),
-        F.collect_list(_usable_hash("hash")).alias("_hashes"),
+        F.collect_list(usable_hash("hash")).alias("_hashes"),
     )
     block = F.concat(
         F.lit("REPO: "), F.coalesce("repo", F.lit("")), F.lit("\n"), F.array_join("_lines.line", "\n"), F.lit("\n")
