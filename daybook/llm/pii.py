@@ -1,7 +1,8 @@
 """Operator 8: personal data replaced by surrogates, with DataFrame functions only.
 
 Found entities (email and IP addresses, phone, card and social security numbers, IBANs, names of
-persons, access keys, passwords and tokens) get keyed surrogates of the same kind and format.  A
+persons, access keys, passwords, tokens with or without a keyword, private keys and the user and password of
+an address) get keyed surrogates of the same kind and format.  A
 surrogate is a function of the key, the kind and the entity's canonical form, so one entity gets one
 surrogate in all documents, in whatever format it is written, without any exchange:
 
@@ -9,9 +10,11 @@ surrogate in all documents, in whatever format it is written, without any exchan
   digit and whether their check digit is right;
 * names keep title, gender, script (Latin, Cyrillic or Greek) and number of words, and a surname stays
   one surname whether or not a given name stands before it;
-* keys and passwords keep length and kinds of characters; email addresses stay addresses.
+* keys and passwords keep length and kinds of characters; email addresses stay addresses;
+* tokens of a service keep its prefix, private keys (of up to 20,000 characters) their first and last line.
 
-Collision check: the distinct entities of all documents are compared by surrogate.  Where two share
+Collision check: the distinct entities of all documents are compared by surrogate, which is made once and
+again only for those that try again.  Where two share
 one, or a surrogate is itself a real entity, all but the least try again with the next attempt, until
 all are distinct.  Only the entities with a later attempt are joined back, by text.  The entity table
 is reduced before its exchange and never leaves the cluster.
@@ -63,14 +66,29 @@ _TITLED = f"(?:(?:{either(_TITLES)})\\.? ){{1,3}}"
 _BEGIN = "[\\p{Lu}" + "".join(sorted({t[0] for t in _TITLES if t[0].islower()})) + "]"
 #: A keyword (whatever word characters stand before it) up to the value, and the value.
 _SECRET_WORD = (
-    r"(?i:(?:password|passwd|passphrase|passcode|pwd|secret|token|credential|(?:api|access|private|auth|encryption|account)[_-]?key)"
-    r"(?:[_-][\w-]{1,40}|(?-i:[A-Z])\w{1,40}|[0-9]{1,3})?[\"']?[ \t]*(?::=|=>|[=:])[ \t]*)"
+    r"(?:(?i:authorization[\"']?[ \t]*[=:][ \t]*[\"']?(?:bearer|basic|token)[ \t]+)"
+    r"|(?:[Bb]earer|BEARER) +(?=[A-Za-z._~+/-]*[0-9])(?=[\w.~+/=-]{16})"
+    r"|(?i:(?:password|passwd|passphrase|passcode|pwd|secret|token|credential|(?:api|access|private|auth|encryption|account)[_-]?key)"
+    r"(?:[_-][\w-]{1,40}|(?-i:[A-Z])\w{1,40}|[0-9]{1,3})?[\"']?[ \t]*(?::=|=>|[=:])[ \t]*))"
 )
 _SECRET_BARE = r"[^\s\"']"
+#: What tokens of well-known services begin with, and the characters that follow.
+_TOKEN_BEGIN = r"gh[pousr]_|github_pat_|glpat-|sk-(?:proj-|svcacct-)?|[srp]k_(?:live|test)_|xox[abeprs]-|AIza|npm_|hf_|eyJ"
+_TOKEN = (
+    r"(?:(?:gh[pousr]_|[srp]k_(?:live|test)_)[A-Za-z0-9]{16,}|github_pat_[A-Za-z0-9_]{20,}|glpat-[\w-]{16,}"
+    r"|sk-(?:proj-|svcacct-)?(?=[A-Za-z_-]*[0-9])[\w-]{16,}|xox[abeprs]-[A-Za-z0-9-]{10,}|AIza[\w-]{30,}"
+    r"|(?:npm_|hf_)[A-Za-z0-9]{24,}|eyJ[\w-]{8,}\.[\w-]{8,}\.[\w-]{8,})"
+)
+_PEM_LINE = r"-----(?:BEGIN|END) [A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?-----"
+#: Values that have a kind of their own also behind a keyword.
+_OWN_KIND = rf"[\"']?(?:AKIA[0-9A-Z]{{16}}\b|{_TOKEN}(?![^\s\"',;)\]}}])|-----BEGIN [A-Z0-9 ]{{0,40}}PRIVATE KEY)"
 _HEX = "[0-9A-Fa-f]{1,4}"
 #: Kind and pattern, in the order in which they are tried at a place.
 KINDS = {
-    "secret": rf"{_SECRET_WORD}(?![\"']?AKIA[0-9A-Z]{{16}}\b)(?:\"[^\"\n]+\"|'[^'\n]+'|[\"']?{_SECRET_BARE}{{6,}}[\"']?"
+    "login": rf"://[^\s/:@\"'<>]*:(?!{_TOKEN}@)[^\s/@\"'<>]+@",
+    "token": rf"(?<![\p{{L}}\p{{N}}_-]){_TOKEN}",
+    "private_key": rf"{_PEM_LINE.replace('(?:BEGIN|END)', 'BEGIN')}(?s:.{{1,20000}}?){_PEM_LINE.replace('(?:BEGIN|END)', 'END')}",
+    "secret": rf"{_SECRET_WORD}(?!{_OWN_KIND})(?:\"[^\"\n]+\"|'[^'\n]+'|[\"']?{_SECRET_BARE}{{6,}}[\"']?"
     rf"|(?<=(?i:password|passwd|passphrase|passcode|pwd)[\"']?[ \t]{{0,9}}[=:][ \t]{{0,9}}){_SECRET_BARE}+)",
     "access_key": r"\bAKIA[0-9A-Z]{16}\b",
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)*\.\p{L}{2,}",
@@ -90,12 +108,12 @@ KINDS = {
     "name": rf"(?<!\p{{L}})(?={_BEGIN})(?:{_TITLED}{_INITIALS}{_NAME}(?: {_INITIALS}{_NAME}){{0,2}}"
     rf"|{_FIRST} (?:(?:{_FIRST}|(?:\p{{Lu}}\.)+) )?{_NAME})",
 }
-#: First characters of two kinds, told before their many alternatives are tried.
-STARTS = {"secret": "(?=[PpSsTtCcAaEe])", "phone": "(?=[+(0-9])"}
+#: First characters of three kinds, told before their many alternatives are tried.
+STARTS = {"token": "(?=[gsrpxAnhe])", "secret": "(?=[PpSsTtCcAaEeBb])", "phone": "(?=[+(0-9])"}
 ANY = "|".join(f"(?:{STARTS.get(k, '')}(?:{p}))" for k, p in KINDS.items())
 #: A text without either holds no entity and is not searched further.  The second looks at names only
 #: where a word begins as a name does.
-SIGNS = "[0-9@=:]|AKIA"
+SIGNS = f"[0-9@=:]|AKIA|-----BEGIN|{_TOKEN_BEGIN}"
 NAME_SIGN = f"(?:^|[^\\p{{L}}])(?={_BEGIN})(?:{_TITLED}|{_FIRST} )\\p{{Lu}}"
 
 
@@ -118,6 +136,12 @@ def kind_of(match: Column) -> Column:
     return out
 
 
+def _between(kind: str, match: Column, part: int) -> Column:
+    """What stands before, within or after the value of a login or private key."""
+    first, last = ("://", "@") if kind == "login" else (_PEM_LINE, _PEM_LINE)
+    return F.regexp_extract(match, f"(?s)^({first})(.+?)({last})$", part)
+
+
 def _secret(match: Column, part: int) -> Column:
     """Keyword and opening quote, value, or closing quote of a secret."""
     return F.regexp_extract(match, rf"^({_SECRET_WORD}[\"']?)(.+?)([\"']?)$", part)
@@ -158,6 +182,8 @@ def canonical(kind: Column, match: Column) -> Column:
         .when(kind == "iban", F.regexp_replace(match, " ", ""))
         .when(kind == "email", F.lower(match))
         .when(kind == "secret", _secret(match, 2))
+        .when(kind == "login", _between("login", match, 2))
+        .when(kind == "private_key", _between("private_key", match, 2))
         .when(kind == "ipv6", _hextets(match))
         .when(kind == "name", F.lower(F.regexp_extract(match, r"([^ ]+)$", 1)))
         .otherwise(match)
@@ -191,21 +217,22 @@ def _check_digit(payload: Column) -> Column:
     return F.pmod(10 - total % 10, F.lit(10))
 
 
-def _like_characters(value: Column, hashed: Column) -> Column:
-    """Digits for digits, letters for letters of the same case; hexadecimal values stay so."""
+def _like_characters(value: Column, hashed: Column, token: str = "(?s).") -> Column:
+    """Digits for digits, letters for letters of the same case; hexadecimal values and escaped line ends stay so."""
     span = F.when(value.rlike("^[0-9a-f]+$|^[0-9A-F]+$"), 6).otherwise(26)
 
     def change(char: Column, i: Column) -> Column:
         number = F.conv(F.substr(hashed, F.pmod(i * 2, F.lit(126)).cast("int") + 1, F.lit(2)), 16, 10).cast("int")
         letter = F.chr((number % span + 97).cast("long"))
         return (
-            F.when(char.rlike("[0-9]"), (number % 10).cast("string"))
+            F.when(F.length(char) > 1, char)
+            .when(char.rlike("[0-9]"), (number % 10).cast("string"))
             .when(char.rlike(r"\p{Lu}"), F.upper(letter))
             .when(char.rlike(r"\p{L}"), letter)
             .otherwise(char)
         )
 
-    return F.array_join(F.transform(F.regexp_extract_all(value, F.lit("(?s)."), 0), change), "")
+    return F.array_join(F.transform(F.regexp_extract_all(value, F.lit(token), 0), change), "")
 
 
 def _surname(canon: Column, hashed: Column, attempt: Column) -> Column:
@@ -274,6 +301,8 @@ def _core(key: str, kind: Column, canon: Column, attempt: Column, hashed: Column
         return F.concat(value, F.repeat(F.lit("a"), wide))
 
     access = F.concat(F.lit("AKIA"), _like_characters(widened(F.substring(canon, 5, 16)), hashed))
+    begin = F.regexp_extract(canon, f"^(?:{_TOKEN_BEGIN})", 0)
+    token = F.concat(begin, _like_characters(widened(F.substr(canon, F.length(begin) + 1)), hashed))
     iban = F.concat(F.substring(canon, 1, 2), _like_characters(F.upper(widened(F.substr(canon, F.lit(3)))), hashed))
     return (
         F.when(kind == "phone", phone)
@@ -284,7 +313,9 @@ def _core(key: str, kind: Column, canon: Column, attempt: Column, hashed: Column
         .when(kind == "email", email)
         .when(kind == "access_key", access)
         .when(kind == "iban", iban)
-        .when(kind == "secret", _like_characters(widened(canon), hashed))
+        .when(kind == "token", token)
+        .when(kind.isin("secret", "login"), _like_characters(widened(canon), hashed))
+        .when(kind == "private_key", _like_characters(widened(canon), hashed, r"(?s)\\[nr]|."))
         .when(kind == "given", _given(canon, hashed, attempt))
         .otherwise(_surname(canon, hashed, attempt))
     )
@@ -332,10 +363,13 @@ def surrogate(key: str, match: Column, attempt_of) -> Column:
         def with_canon(canon: Column) -> Column:
             made = core(key, kind, canon, attempt_of(kind, canon))
             secret = F.concat(_secret(match, 1), made, _secret(match, 3))
+            login, private = (F.concat(_between(k, match, 1), made, _between(k, match, 3)) for k in ("login", "private_key"))
             return (
                 F.when(kind.isin("phone", "card", "ssn"), _laid_out(match, made, "0-9"))
                 .when(kind == "iban", _laid_out(match, made, "0-9A-Z"))
                 .when(kind == "secret", secret)
+                .when(kind == "login", login)
+                .when(kind == "private_key", private)
                 .when(kind == "name", _name(key, match, made, attempt_of))
                 .otherwise(made)
             )
@@ -388,26 +422,35 @@ def attempts(docs: DataFrame, key: str = KEY) -> DataFrame:
 
     A value without letters and digits, such as a masked password, tells nothing and stays as it is.
     """
-    telling = entities(docs).select("kind", "canon").where(r"kind <> 'secret' OR canon RLIKE '[0-9\\p{L}]'")
-    known = cut(telling.distinct().withColumn("attempt", F.lit(0)))
+    telling = entities(docs).select("kind", "canon").where(
+        r"kind NOT IN ('secret', 'login', 'private_key') OR canon RLIKE '[0-9\\p{L}]'"
+    )
+    none = F.lit(0)
+    known = cut(
+        telling.distinct().select("kind", "canon", none.alias("attempt"), core(key, F.col("kind"), F.col("canon"), none).alias("made"))
+    )
     real = known.select("kind", F.col("canon").alias("made"))
     for _ in range(MOST_ATTEMPTS + WIDER_ATTEMPTS):
-        made = known.withColumn("made", core(key, F.col("kind"), F.col("canon"), F.col("attempt")))
-        first = made.groupBy("kind", "made").agg(
+        first = known.groupBy("kind", "made").agg(
             F.min(F.struct("attempt", "canon"))["canon"].alias("owner"), F.count("*").alias("claims")
         )
         shared = first.where("claims > 1").select("kind", "made", "owner")
         clash = first.join(real, ["kind", "made"], "left_semi").select("kind", "made", F.lit(None).cast("string").alias("owner"))
-        again = made.join(
+        again = known.join(
             shared.unionByName(clash).groupBy("kind", "made").agg(F.min("owner").alias("owner"), F.max(F.col("owner").isNull()).alias("real")),
             ["kind", "made"],
         ).where("real OR canon <> owner")
         losers = cut(again.select("kind", "canon", (F.col("attempt") + 1).alias("attempt")))
         if losers.isEmpty():
-            return known.where("attempt > 0")
+            return known.where("attempt > 0").drop("made")
         known = cut(
             known.join(losers.withColumnRenamed("attempt", "next"), ["kind", "canon"], "left").select(
-                "kind", "canon", F.coalesce("next", "attempt").alias("attempt")
+                "kind",
+                "canon",
+                F.coalesce("next", "attempt").alias("attempt"),
+                F.when(F.col("next").isNull(), F.col("made"))
+                .otherwise(core(key, F.col("kind"), F.col("canon"), F.col("next")))
+                .alias("made"),
             )
         )
     raise RuntimeError("surrogates of distinct entities still coincide")
