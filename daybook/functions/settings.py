@@ -19,9 +19,8 @@ from daybook.functions.text import is_blank, parse_int, strip
 MISSING = object()
 
 
-def setting(doc: Column, path: str, default=MISSING) -> Column:
-    """Value at a path; the default stands in only where the key is absent, not for null."""
-    found = F.try_variant_get(doc, "$." + path, "variant")
+def setting(found: Column, default=MISSING) -> Column:
+    """A key's value; the default stands in only where the key is absent, not for null."""
     if default is MISSING:
         return found
     return F.coalesce(found, F.parse_json(F.lit(json.dumps(default))))
@@ -29,18 +28,23 @@ def setting(doc: Column, path: str, default=MISSING) -> Column:
 
 @dataclass(frozen=True)
 class Value:
-    """A JSON value with its kind, its text and, where asked for, its whole number."""
+    """A JSON value with its kind, its text and, where asked for, its whole number.
+
+    Blocks and lists that rules look into have their entries instead, which are null where the value
+    is of another type; naming the kind of a block would walk all that is in it.
+    """
 
     raw: Column
-    kind: Column
-    text: Column
+    kind: Column | None = None
+    text: Column | None = None
     number: Column | None = None
+    entries: Column | None = None
 
     def is_object(self) -> Column:
-        return self.kind.startswith("OBJECT")
+        return self.kind.startswith("OBJECT") if self.entries is None else self.entries.isNotNull()
 
     def is_list(self) -> Column:
-        return self.kind.startswith("ARRAY")
+        return self.kind.startswith("ARRAY") if self.entries is None else self.entries.isNotNull()
 
     def is_text(self) -> Column:
         return self.kind == "STRING"
@@ -107,8 +111,8 @@ def message_when(bad: Column, *parts: Column | str) -> Column:
 
 def joined(errors: list[Column], prefix: str) -> Column:
     """One message out of a block's messages, null when the block is clean."""
-    found = F.array_compact(F.array(*errors))
-    return F.when(F.size(found) > 0, F.concat(F.lit(prefix), F.array_join(found, " | ")))
+    text = F.concat(F.lit(prefix), F.concat_ws(" | ", *errors))
+    return F.when(F.coalesce(*errors).isNotNull(), text)
 
 
 def _names(words) -> str:
@@ -182,30 +186,36 @@ def webhook_error(value: Value) -> Column:
     )
 
 
-def rate_limit_error(v: dict[str, Value]) -> Column:
-    inside = [
+def rate_limit_messages(v: dict[str, Value]) -> list[Column]:
+    return [
         boolean_error(v["rate_enabled"], "rate_limit.enabled"),
         range_error(v["cooldown"], "rate_limit.cooldown_minutes", 0, 1440),
         range_error(v["max_calls"], "rate_limit.max_calls_per_day", 1, 50),
     ]
+
+
+def rate_limit_error(v: dict[str, Value], inside: list[Column]) -> Column:
     return F.when(
         ~v["rate_limit"].is_object(), "rate_limit: rate_limit must be a JSON object."
     ).otherwise(joined(inside, "rate_limit: "))
 
 
-def quality_error(v: dict[str, Value]) -> Column:
-    inside = [
+def quality_messages(v: dict[str, Value]) -> list[Column]:
+    return [
         boolean_error(v["quality_enabled"], "quality.enabled"),
         boolean_error(v["show_breakdown"], "quality.show_breakdown"),
         range_error(v["min_score"], "quality.min_score", 0, 100),
     ]
+
+
+def quality_error(v: dict[str, Value], inside: list[Column]) -> Column:
     return F.when(
         ~v["quality"].is_object(), "quality: quality must be a JSON object."
     ).otherwise(joined(inside, "quality: "))
 
 
-def provider_error(v: dict[str, Value]) -> Column:
-    name, local, cloud, key = v["provider_name"], v["ollama"], v["groq"], v["api_key"]
+def provider_messages(v: dict[str, Value]) -> list[Column]:
+    local, cloud, key = v["ollama"], v["groq"], v["api_key"]
 
     def model_error(owner: Value, model: Value, label: str) -> Column:
         bad = ~model.is_text() | is_blank(model.text)
@@ -214,7 +224,7 @@ def provider_error(v: dict[str, Value]) -> Column:
         )
 
     key_bad = ~key.is_text() | ~key.text.startswith(rules.API_KEY_PREFIX)
-    inside = [
+    return [
         message_when(~local.is_object(), "provider.ollama must be a JSON object."),
         message_when(
             local.is_object() & ~printed(v["base_url"]).rlike(rules.BASE_URL),
@@ -229,6 +239,10 @@ def provider_error(v: dict[str, Value]) -> Column:
             "provider.groq.api_key must start with 'gsk_' when provided.",
         ),
     ]
+
+
+def provider_error(v: dict[str, Value], inside: list[Column]) -> Column:
+    name = v["provider_name"]
     unknown = message_when(
         ~(name.is_text() & name.text.isin(*rules.PROVIDERS)),
         f"provider: provider.name must be one of {_names(rules.PROVIDERS)}, got: ",
@@ -240,7 +254,7 @@ def provider_error(v: dict[str, Value]) -> Column:
 
 
 def template_name_error(value: Value, custom: Value) -> Column:
-    own = F.coalesce(F.map_keys(custom.raw.try_cast("map<string,variant>")), F.array())
+    own = F.coalesce(F.map_keys(custom.entries), F.array())
     builtin = F.array(*[F.lit(name) for name, _ in rules.BUILTIN_TEMPLATES])
     available = F.array_union(builtin, own.cast("array<string>"))
     shown = F.array_join(
@@ -262,8 +276,6 @@ def template_name_error(value: Value, custom: Value) -> Column:
 
 
 def custom_templates_error(block: Value) -> Column:
-    entries = F.map_entries(block.raw.try_cast("map<string,variant>"))
-
     def one(e: Column) -> Column:
         body = F.when(F.schema_of_variant(e["value"]) == "STRING", e["value"].try_cast("string"))
         problem = template_error(body)
@@ -276,13 +288,13 @@ def custom_templates_error(block: Value) -> Column:
             message_when(problem != "", "custom_templates.", e["key"], F.lit(": "), problem),
         )
 
-    found = F.array_compact(F.transform(entries, one))
+    found = F.array_compact(F.transform(F.map_entries(block.entries), one))
     return (
         F.when(
             ~block.is_object(), "custom_templates: custom_templates must be a JSON object."
         )
         .when(
-            F.size(entries) > rules.MAX_CUSTOM_TEMPLATES,
+            F.size(block.entries) > rules.MAX_CUSTOM_TEMPLATES,
             f"custom_templates: custom_templates must contain at most "
             f"{rules.MAX_CUSTOM_TEMPLATES} templates.",
         )
@@ -295,8 +307,6 @@ def custom_templates_error(block: Value) -> Column:
 
 def repos_errors(value: Value) -> Column:
     """One message per bad entry."""
-    items = value.raw.try_cast("array<variant>")
-
     def one(v: Column) -> Column:
         bad = (F.schema_of_variant(v) != "STRING") | is_blank(v.try_cast("string"))
         return message_when(
@@ -304,11 +314,11 @@ def repos_errors(value: Value) -> Column:
         )
 
     return F.when(~value.is_list(), F.array(F.lit("repos must be a JSON array."))).otherwise(
-        F.array_compact(F.transform(items, one))
+        F.array_compact(F.transform(value.entries, one))
     )
 
 
-# name: path, value where the key is absent
+# name: path, value where the key is absent; a block stands before its keys
 SETTINGS = {
     "repos": ("repos", []),
     "email": ("author_email", ""),
@@ -328,70 +338,127 @@ SETTINGS = {
     "cooldown": ("rate_limit.cooldown_minutes", MISSING),
     "max_calls": ("rate_limit.max_calls_per_day", MISSING),
     "quality": ("quality", {"enabled": True, "min_score": 0, "show_breakdown": False}),
+    "quality_enabled": ("quality.enabled", MISSING),
+    "show_breakdown": ("quality.show_breakdown", MISSING),
+    "min_score": ("quality.min_score", MISSING),
     "template": ("template", "default"),
     "custom": ("custom_templates", {}),
     "noise_filter": ("noise_filter_enabled", True),
     "auto_warm_up": ("auto_warm_up", False),
 }
-# read from the quality block itself, which has a default as a whole
-QUALITY = {
-    "quality_enabled": "enabled",
-    "show_breakdown": "show_breakdown",
-    "min_score": "min_score",
-}
 NUMBERS = {
     "hours": whole,
     "cooldown": whole_or_zero,
     "max_calls": whole_or_zero,
     "min_score": whole_or_zero,
 }
+ENTRIES = {"repos": "array<variant>", "custom": "map<string,variant>"}
+# several rules in one message
+BLOCKS = {
+    "provider": (provider_messages, provider_error),
+    "rate_limit": (rate_limit_messages, rate_limit_error),
+    "quality": (quality_messages, quality_error),
+}
 
 
-def with_values(documents: DataFrame, doc: str) -> tuple[DataFrame, dict[str, Value]]:
-    """Read every setting once into columns of its own, for rules that use it many times."""
-    out = documents.withColumns(
-        {f"_{n}": setting(F.col(doc), path, default) for n, (path, default) in SETTINGS.items()}
+def _members(path: str) -> dict[str, str]:
+    """Names of the settings right below a block, by key."""
+    parted = {n: where.rpartition(".") for n, (where, _) in SETTINGS.items()}
+    return {key: n for n, (parent, _, key) in parted.items() if parent == path}
+
+
+def _opened(out: DataFrame, blocks: dict[str, str]) -> DataFrame:
+    """The keys of the named blocks (name: path) in columns, each block read in one pass."""
+    keys = {n: _members(path) for n, path in blocks.items()}
+    out = out.withColumns(
+        {
+            f"_{n}_entries": F.col(f"_{n}").try_cast(
+                "struct<" + ", ".join(f"{key}: variant" for key in found) + ">"
+            )
+            for n, found in keys.items()
+        }
+    )
+    return out.withColumns(
+        {
+            f"_{name}": setting(F.col(f"_{n}_entries")[key], SETTINGS[name][1])
+            for n, found in keys.items()
+            for key, name in found.items()
+        }
     )
-    out = out.withColumns({f"_{n}": setting(F.col("_quality"), p) for n, p in QUALITY.items()})
-    names = [*SETTINGS, *QUALITY]
+
+
+def with_values(documents: DataFrame, doc: str) -> tuple[DataFrame, dict[str, Value]]:
+    """Read every setting once into columns of its own, for rules that use it many times.
+
+    Of ``doc`` itself only ``entries`` are given, under the empty name.
+    """
+    out, level, opened = documents.withColumn("_", F.col(doc)), {"": ""}, []
+    while level:
+        out = _opened(out, level)
+        opened += level
+        below = [n for block in level.values() for n in _members(block).values()]
+        level = {n: SETTINGS[n][0] for n in below if _members(SETTINGS[n][0])}
+    entries = {f"_{n}_entries": F.col(f"_{n}").try_cast(kind) for n, kind in ENTRIES.items()}
+    plain = [n for n in SETTINGS if n not in opened and n not in ENTRIES]
     facts = {}
-    for n in names:
+    for n in plain:
         value = value_of(F.col(f"_{n}"))
         facts |= {f"_{n}_kind": value.kind, f"_{n}_text": value.text}
-    out = out.withColumns(facts)
-    values = {
-        n: Value(F.col(f"_{n}"), F.col(f"_{n}_kind"), F.col(f"_{n}_text")) for n in names
-    }
-    out = out.withColumns({f"_{n}_number": read(values[n]) for n, read in NUMBERS.items()})
+    out = out.withColumns(facts | entries)
+    values = {n: Value(F.col(f"_{n}"), entries=F.col(f"_{n}_entries")) for n in [*opened, *ENTRIES]}
+    values |= {n: Value(F.col(f"_{n}"), F.col(f"_{n}_kind"), F.col(f"_{n}_text")) for n in plain}
+    out = out.withColumns({f"_{n}_number": number(values[n]) for n, number in NUMBERS.items()})
     values |= {n: replace(values[n], number=F.col(f"_{n}_number")) for n in NUMBERS}
     return out, values
 
 
-def settings_errors(v: dict[str, Value]) -> Column:
-    """All messages of a settings document, in field order; empty when it is valid."""
-    single = [
-        email_error(v["email"]),
-        F.concat(F.lit("hours_lookback: "), hours_error(v["hours"])),
-        tone_error(v["tone"]),
-        webhook_error(v["webhook"]),
-        provider_error(v),
-        rate_limit_error(v),
-        quality_error(v),
-        template_name_error(v["template"], v["custom"]),
-        custom_templates_error(v["custom"]),
-        boolean_error(v["noise_filter"], "noise_filter_enabled"),
-        boolean_error(v["auto_warm_up"], "auto_warm_up"),
-        message_when(
-            F.size(v["repos"].raw.try_cast("array<variant>")) > rules.MAX_REPOS,
+def with_messages(held: DataFrame, v: dict[str, Value]) -> tuple[DataFrame, list[Column]]:
+    """Every rule's message in a column of its own, in field order; null where the rule is kept.
+
+    Array functions with a lambda interpret all that is written inside them, so they are given columns.
+    """
+    single = {
+        "email": email_error(v["email"]),
+        "hours": hours_error(v["hours"]),
+        "tone": tone_error(v["tone"]),
+        "webhook": webhook_error(v["webhook"]),
+        "template": template_name_error(v["template"], v["custom"]),
+        "custom": custom_templates_error(v["custom"]),
+        "noise_filter": boolean_error(v["noise_filter"], "noise_filter_enabled"),
+        "auto_warm_up": boolean_error(v["auto_warm_up"], "auto_warm_up"),
+        "n_repos": message_when(
+            F.size(v["repos"].entries) > rules.MAX_REPOS,
             f"repos must contain at most {rules.MAX_REPOS} entries.",
         ),
-        message_when(
-            F.size(v["custom"].raw.try_cast("map<string,variant>")) > rules.MAX_CUSTOM_TEMPLATES,
+        "n_custom": message_when(
+            F.size(v["custom"].entries) > rules.MAX_CUSTOM_TEMPLATES,
             f"custom_templates must contain at most {rules.MAX_CUSTOM_TEMPLATES} entries.",
         ),
-        hours_error(v["hours"]),
-    ]
-    return F.concat(repos_errors(v["repos"]), F.array_compact(F.array(*single)))
+    }
+    inside = {
+        block: {f"_{block}_message_{i}": m for i, m in enumerate(messages(v))}
+        for block, (messages, _) in BLOCKS.items()
+    }
+    out = held.withColumns({f"_{n}_message": m for n, m in single.items()})
+    out = out.withColumns({n: m for found in inside.values() for n, m in found.items()})
+    out = out.withColumns(
+        {
+            f"_{block}_message": whole_block(v, [F.col(n) for n in inside[block]])
+            for block, (_, whole_block) in BLOCKS.items()
+        }
+    )
+    m = {n: F.col(f"_{n}_message") for n in [*single, *BLOCKS]}
+    fields = [m["email"], F.concat(F.lit("hours_lookback: "), m["hours"]), m["tone"], m["webhook"], *(m[b] for b in BLOCKS)]
+    rest = ["template", "custom", "noise_filter", "auto_warm_up", "n_repos", "n_custom", "hours"]
+    return out, [*fields, *(m[n] for n in rest)]
+
+
+def settings_errors(v: dict[str, Value], messages: list[Column]) -> Column:
+    """All messages of a settings document, in field order; empty when it is valid."""
+    found = F.when(F.coalesce(*messages).isNull(), F.array().cast("array<string>")).otherwise(
+        F.array_compact(F.array(*messages))
+    )
+    return F.concat(repos_errors(v["repos"]), found)
 
 
 def argument_errors(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from daybook.functions.settings import settings_errors, with_values
+from daybook.functions.settings import settings_errors, with_messages, with_values
 from daybook.operators.joins import apart
 
 SECRET_LAYERS_FROM = 2  # keychain and environment rows count only when they hold a value
@@ -51,17 +51,32 @@ def resolve(layers: DataFrame, scope: str = "scope") -> DataFrame:
     )
 
 
-def validate(documents: DataFrame, document: str = "settings") -> DataFrame:
-    """Settings documents with ``errors`` and ``is_valid``.
+def dealt(documents: DataFrame, tasks: int | None = None) -> DataFrame:
+    """Rows dealt evenly over ``tasks``, by default the session's number of shuffle partitions.
+
+    A rule book costs far more per row than moving the row, and a table of small rows is few splits
+    (one row group is one task however many rows it has).  ``tasks=0`` leaves the rows where they are, as
+    do streams, whose triggers are small.
+    """
+    if tasks == 0 or documents.isStreaming:
+        return documents
+    spark = documents.sparkSession
+    least = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return documents.repartition(tasks or least)
+
+
+def validate(documents: DataFrame, document: str = "settings", tasks: int | None = None) -> DataFrame:
+    """Settings documents with ``errors`` and ``is_valid``, judged in ``tasks`` tasks (see ``dealt``).
 
     The document is JSON text or a variant; text that is no JSON object is an error.
     """
+    documents = dealt(documents, tasks)
     doc = F.col(document)
     if documents.schema[document].dataType.typeName() == "string":
         doc = F.try_parse_json(doc)
     held, values = with_values(documents.withColumn("_doc", doc), "_doc")
-    is_object = F.coalesce(F.schema_of_variant("_doc").startswith("OBJECT"), F.lit(False))
-    errors = F.when(is_object, settings_errors(values)).otherwise(
+    held, messages = with_messages(held, values)
+    errors = F.when(values[""].is_object(), settings_errors(values, messages)).otherwise(
         F.array(F.lit("settings must be a JSON object."))
     )
     judged = held.select(*documents.columns, errors.alias("errors"))

@@ -255,6 +255,30 @@ def test_provider_messages(spark):
     ]
 
 
+def test_settings_of_one_split_are_judged_in_many_tasks(spark):
+    one = spark.range(0, 400, 1, 1).select("id", F.lit(json.dumps({**GOOD, "tone": 5})).alias("settings"))
+    judged = settings.validate(one)
+    tasks = judged.groupBy(F.spark_partition_id().alias("task")).agg(F.count_if(~F.col("is_valid")).alias("n")).collect()
+    assert len(tasks) >= 4 and sum(r.n for r in tasks) == 400 and max(r.n for r in tasks) <= 200
+    assert settings.validate(one, tasks=0).select(F.spark_partition_id()).distinct().count() == 1
+    assert sorted(judged.collect()) == sorted(settings.validate(one, tasks=0).collect())
+
+
+def test_blocks_of_another_type(spark):
+    rows = [(i, json.dumps({**GOOD, **change})) for i, change in enumerate((
+        {"provider": {"name": "groq", "ollama": [1], "groq": None}},
+        {"rate_limit": ["enabled"]}, {"quality": None}, {"custom_templates": [1]}, {"repos": {"a": 1}},
+    ))]
+    got = {r.scope: r.errors for r in settings.validate(spark.createDataFrame(rows, "scope int, settings string")).collect()}
+    assert got == {
+        0: ["provider: provider.ollama must be a JSON object. | provider.groq must be a JSON object."],
+        1: ["rate_limit: rate_limit must be a JSON object."],
+        2: ["quality: quality must be a JSON object."],
+        3: ["custom_templates: custom_templates must be a JSON object."],
+        4: ["repos must be a JSON array."],
+    }
+
+
 def test_layered_settings(spark):
     rows = [
         ("tone", "casual", 0), ("rate.cooldown", "30", 0), ("rate.cap", "10", 0), ("key", "", 0),
