@@ -11,6 +11,7 @@ from daybook.functions import settings as fs
 from daybook.functions import templating as ft
 from daybook.operators import attempts as oa
 from daybook.operators import health, logs, settings
+from daybook.plans import maintenance
 from daybook.operators import templates as ot
 from daybook.sources import loglines
 
@@ -314,3 +315,14 @@ def test_health_score(spark):
     got = {r.scope: (r.score, r.band) for r in health.score(df, ["scope"]).collect()}
     assert got == {"a": (66, "fair"), "b": (0, "low"), "c": (100, "good")}
     assert health.score(df.limit(0)).first()["score"] == 0
+
+
+def test_table_health_judges_one_split_in_many_tasks(spark):
+    documents = spark.range(0, 40, 1, 1).select(F.lit(json.dumps({**GOOD, "tone": 5})).alias("settings"))
+    history = spark.createDataFrame([("text",)], "standup_text string")
+    versions = spark.createDataFrame([(50,)], "version int")
+    keys = spark.createDataFrame([("",)], "key string")
+    checks = maintenance.table_health(history, versions, documents, keys, latest=50)
+    got = {r.check: (r.status, r.detail) for r in checks.collect()}
+    assert got["Settings valid"] == ("fail", "40 of 40 invalid")
+    assert "RoundRobinPartitioning(8)" in checks._jdf.queryExecution().executedPlan().toString()
