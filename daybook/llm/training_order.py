@@ -21,7 +21,6 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from itertools import filterfalse
 
 import numpy as np
 import pandas as pd
@@ -29,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from daybook.llm.common import cut, shared_folder, small_batches, table
-from daybook.llm.word_tokens import CACHE_ENTRIES, WordIds, WordTokenizer
+from daybook.llm.word_tokens import word_tokenizer
 
 LENGTH = 2048
 END_ID = 49407
@@ -40,76 +39,6 @@ SEQUENCES = "part int, number long, n_tokens int, packed binary"
 RECORDS = "slot long, shard int, offset long, ids_crc32 long, n_ends int"
 
 
-class ShortIds(WordIds):
-    """Word to its ids as little-endian unsigned 16-bit bytes.
-
-    New words go through the library as one text; the ids that end a word part them again.
-    """
-
-    def __init__(self, library):
-        super().__init__(library)
-        vocabulary = library.get_vocab(with_added_tokens=False)
-        self.ends = np.zeros(1 << 16, bool)
-        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-
-    def __missing__(self, word: str) -> bytes:
-        self.add_all([word])
-        return self[word]
-
-    def add_all(self, words: list[str]) -> None:
-        new = list(filterfalse(self.__contains__, set(words)))
-        if len(self) + len(new) >= CACHE_ENTRIES:
-            self.old = dict(self)
-            self.clear()
-            new = list(set(words))
-        unknown = []
-        for word in new:
-            ids = self.old.get(word)
-            if ids is None:
-                unknown.append(word)
-            else:
-                self[word] = ids
-        for word, ids in zip(unknown, self._parted(unknown), strict=True):
-            self[word] = ids
-
-    def _parted(self, words: list[str]) -> list[bytes]:
-        if not words:
-            return []
-        made = self.library.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0]
-        ids = np.array(made.ids, "<u2")
-        stops = (2 * np.flatnonzero(self.ends[ids]) + 2).tolist()
-        held = ids.tobytes()
-        return [held[a:b] for a, b in zip([0, *stops], stops)]
-
-
-class ShortTokenizer(WordTokenizer):
-    """Ids of a text as 16-bit bytes, without a wider form on the way."""
-
-    def __init__(self, path: str):
-        super().__init__(path)
-        self.ids_of = ShortIds(self.library)
-
-    def ids(self, text: str | None) -> bytes:
-        text = text or ""
-        try:
-            text.encode("latin-1")
-        except UnicodeEncodeError:
-            return np.asarray(self.library.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
-        words = self.words.findall(text.lower())
-        self.ids_of.add_all(words)
-        return b"".join(map(self.ids_of.__getitem__, words))
-
-
-_made: dict[str, ShortTokenizer] = {}
-
-
-def short_tokenizer(path: str) -> ShortTokenizer:
-    """One tokenizer for all tasks of a worker."""
-    if path not in _made:
-        _made[path] = ShortTokenizer(path)
-    return _made[path]
-
-
 _GOLDEN, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -144,7 +73,7 @@ def sequences(docs: DataFrame, path: str, length: int = LENGTH, end_id: int = EN
 
         part, number, held = TaskContext.get().partitionId(), 0, b""
         pack = zstandard.ZstdCompressor(level=3).compress
-        t = short_tokenizer(path)
+        t = word_tokenizer(path, "<u2")
         stride = 2 * length
 
         def frame(packed: list[bytes], n_tokens: list[int]) -> pd.DataFrame:

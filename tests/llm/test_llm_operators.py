@@ -27,6 +27,7 @@ from daybook.llm import (  # noqa: E402
     training_order,
 )
 from daybook.llm.common import bounded_ids, free_name  # noqa: E402
+from daybook.llm import word_tokens  # noqa: E402
 from daybook.llm.word_tokens import WordTokenizer  # noqa: E402
 
 BYTES, WORDS = pt.path("byte_bpe_50k.tiktoken"), pt.path("word_bpe_49k.json")
@@ -94,6 +95,27 @@ def test_word_tokens_equal_the_library():
         assert np.frombuffer(t.ids(text), "<u4").tolist() == want
 
 
+def test_new_words_go_through_the_merge_model_alone(monkeypatch):
+    class Watched:
+        def __init__(self, library):
+            self.library, self.calls = library, 0
+
+        def __getattr__(self, name):
+            self.calls += name.startswith("encode")
+            return getattr(self.library, name)
+
+    texts = [x for x in random_texts(200) if x.isascii()]
+    texts += ["Straße ÉLAN, élan! naïve's 12 <|", "a \x1c\x1f b\x85c\xa0d\x00", "".join(map(chr, range(256)))]
+    for kind, held in (("<u4", 250_000), ("<u4", 7), ("<u2", 50)):
+        monkeypatch.setattr(word_tokens, "CACHE_ENTRIES", held)
+        t = WordTokenizer(WORDS, kind)
+        whole, t.library = t.library, Watched(t.library)
+        for text in texts:
+            want = whole.encode(text, add_special_tokens=False).ids
+            assert np.frombuffer(t.ids(text), kind).tolist() == want
+        assert t.library.calls == 0
+
+
 def test_first_fit_decreasing_equals_a_plain_search():
     rnd = random.Random(3)
     lengths = [rnd.randrange(1, 101) for _ in range(400)]
