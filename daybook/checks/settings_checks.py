@@ -31,7 +31,10 @@ def settings_resolve(layers):
 
 
 def _documents(rows):
-    """Settings documents as JSON text out of the flat rows."""
+    """Settings documents as JSON text out of the flat rows, dealt over all tasks.
+
+    The flat rows are dealt, by their unique key: the texts are several times as wide.
+    """
     text = F.expr(
         """'{"repos": [' || repeat('"r", ', CAST(n_repos AS INT)) || '"r"], "author_email": "'
         || author_email || '", "hours_lookback": "' || hours_lookback || '", "tone": "' || tone
@@ -43,7 +46,7 @@ def _documents(rows):
         || '"}, "noise_filter_enabled": ' || noise_filter || ', "template": "' || template
         || '", "custom_templates": {"team": "{today}"}}'"""
     )
-    return rows.select("scope", text.alias("settings"))
+    return settings.dealt(rows, by=["scope"]).select("scope", text.alias("settings"))
 
 
 _HOURS = """CASE WHEN CAST(hours_lookback AS INT) NOT BETWEEN 1 AND 720 THEN
@@ -88,7 +91,7 @@ _ERRORS = f"""array_to_string(list_filter([
     ),
 )
 def settings_validate(rows):
-    return settings.validate(_documents(rows)).select(
+    return settings.validate(_documents(rows), tasks=0).select(
         "scope", F.array_join("errors", " ; ").alias("errors"), "is_valid"
     )
 
@@ -194,4 +197,4 @@ UNION ALL SELECT 'Key format', CASE WHEN bad > 0 THEN 'fail' ELSE 'pass' END,
 )
 def table_health(history, part, rows, keys):
     versions = part.select(F.col("p_size").alias("version"))
-    return maintenance.table_health(history, versions, _documents(rows), keys, latest=50)
+    return maintenance.table_health(history, versions, _documents(rows), keys, latest=50, tasks=0)

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from daybook import rules
-from daybook.functions.templating import template_error
+from daybook.functions.templating import plainly_sound, template_error
 from daybook.functions.text import is_blank, parse_int, strip
 
 MISSING = object()
@@ -276,19 +276,24 @@ def template_name_error(value: Value, custom: Value) -> Column:
 
 
 def custom_templates_error(block: Value) -> Column:
-    def one(e: Column) -> Column:
+    def read(e: Column) -> Column:
         body = F.when(F.schema_of_variant(e["value"]) == "STRING", e["value"].try_cast("string"))
-        problem = template_error(body)
-        return F.coalesce(
+        return F.struct(e["key"].alias("key"), body.alias("body"))
+
+    def one(e: Column) -> Column:
+        named = e["key"].rlike(rules.TEMPLATE_NAME)
+        problem = template_error(e["body"])
+        broken = F.coalesce(
             message_when(
-                ~e["key"].rlike(rules.TEMPLATE_NAME),
+                ~named,
                 "custom_templates keys must use letters, numbers, underscores, "
                 "or dashes (max 50 chars).",
             ),
             message_when(problem != "", "custom_templates.", e["key"], F.lit(": "), problem),
         )
+        return F.when(~F.coalesce(named & plainly_sound(e["body"]), F.lit(False)), broken)
 
-    found = F.array_compact(F.transform(F.map_entries(block.entries), one))
+    found = F.array_compact(F.transform(F.transform(F.map_entries(block.entries), read), one))
     return (
         F.when(
             ~block.is_object(), "custom_templates: custom_templates must be a JSON object."
@@ -306,16 +311,23 @@ def custom_templates_error(block: Value) -> Column:
 
 
 def repos_errors(value: Value) -> Column:
-    """One message per bad entry."""
+    """One message per bad entry.
+
+    Entries are looked at one by one only where the list as text leaves a doubt: there every entry that
+    opens with a quote and a visible ASCII character other than a quote is a text that is not blank.
+    """
+    listed = F.to_json(value.raw)
+    doubt = listed.contains("\\") | listed.rlike(r'(?:^\[|,)(?!"[!#-~])')
+
     def one(v: Column) -> Column:
         bad = (F.schema_of_variant(v) != "STRING") | is_blank(v.try_cast("string"))
         return message_when(
             F.coalesce(bad, F.lit(True)), "repos: each entry must be a non-empty string."
         )
 
-    return F.when(~value.is_list(), F.array(F.lit("repos must be a JSON array."))).otherwise(
-        F.array_compact(F.transform(value.entries, one))
-    )
+    return F.when(~value.is_list(), F.array(F.lit("repos must be a JSON array."))).when(
+        F.coalesce(doubt, F.lit(True)), F.array_compact(F.transform(value.entries, one))
+    ).otherwise(F.array().cast("array<string>"))
 
 
 # name: path, value where the key is absent; a block stands before its keys
@@ -416,7 +428,9 @@ def with_messages(held: DataFrame, v: dict[str, Value]) -> tuple[DataFrame, list
     """Every rule's message in a column of its own, in field order; null where the rule is kept.
 
     Array functions with a lambda interpret all that is written inside them, so they are given columns.
+    The messages of ``repos``, one per entry, are a list in the column ``_repos_messages``.
     """
+    held = held.withColumn("_repos_messages", repos_errors(v["repos"]))
     single = {
         "email": email_error(v["email"]),
         "hours": hours_error(v["hours"]),
@@ -453,12 +467,12 @@ def with_messages(held: DataFrame, v: dict[str, Value]) -> tuple[DataFrame, list
     return out, [*fields, *(m[n] for n in rest)]
 
 
-def settings_errors(v: dict[str, Value], messages: list[Column]) -> Column:
+def settings_errors(messages: list[Column]) -> Column:
     """All messages of a settings document, in field order; empty when it is valid."""
     found = F.when(F.coalesce(*messages).isNull(), F.array().cast("array<string>")).otherwise(
         F.array_compact(F.array(*messages))
     )
-    return F.concat(repos_errors(v["repos"]), found)
+    return F.concat(F.col("_repos_messages"), found)
 
 
 def argument_errors(

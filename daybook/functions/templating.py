@@ -106,6 +106,13 @@ def unsupported_variables(body: Column | str) -> Column:
     return F.array_sort(F.array_except(tokens, allowed))
 
 
+def plainly_sound(body: Column | str) -> Column:
+    """Whether a short look shows that ``template_error`` finds nothing: every brace belongs to an allowed token."""
+    b, names = col(body), "|".join(rules.TEMPLATE_VARIABLES)
+    stray = rf"\{{(?!(?:{names})\}})|(?<!\{{(?:{names}))\}}"
+    return b.contains("{") & (F.length(b) <= rules.MAX_TEMPLATE_CHARS) & ~b.rlike(stray)
+
+
 def template_error(body: Column | str) -> Column:
     """First broken rule of a template body, ``''`` when there is none."""
     b = col(body)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -51,18 +53,19 @@ def resolve(layers: DataFrame, scope: str = "scope") -> DataFrame:
     )
 
 
-def dealt(documents: DataFrame, tasks: int | None = None) -> DataFrame:
+def dealt(documents: DataFrame, tasks: int | None = None, by: Sequence[str] = ()) -> DataFrame:
     """Rows dealt evenly over ``tasks``, by default the session's number of shuffle partitions.
 
     A rule book costs far more per row than moving the row, and a table of small rows is few splits
     (one row group is one task however many rows it has).  ``tasks=0`` leaves the rows where they are, as
-    do streams, whose triggers are small.
+    do streams, whose triggers are small.  Rows are dealt in turn, which Spark sorts them for, or by the hash
+    of the columns ``by``, without a sort; these must be as good as unique, as equal values meet in one task.
     """
     if tasks == 0 or documents.isStreaming:
         return documents
     spark = documents.sparkSession
     least = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return documents.repartition(tasks or least)
+    return documents.repartition(tasks or least, *by)
 
 
 def validate(documents: DataFrame, document: str = "settings", tasks: int | None = None) -> DataFrame:
@@ -76,7 +79,7 @@ def validate(documents: DataFrame, document: str = "settings", tasks: int | None
         doc = F.try_parse_json(doc)
     held, values = with_values(documents.withColumn("_doc", doc), "_doc")
     held, messages = with_messages(held, values)
-    errors = F.when(values[""].is_object(), settings_errors(values, messages)).otherwise(
+    errors = F.when(values[""].is_object(), settings_errors(messages)).otherwise(
         F.array(F.lit("settings must be a JSON object."))
     )
     judged = held.select(*documents.columns, errors.alias("errors"))

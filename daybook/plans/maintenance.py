@@ -81,16 +81,24 @@ def summary(
 
 
 def table_health(
-    rows: DataFrame, versions: DataFrame, documents: DataFrame, keys: DataFrame, latest: int
+    rows: DataFrame,
+    versions: DataFrame,
+    documents: DataFrame,
+    keys: DataFrame,
+    latest: int,
+    tasks: int | None = None,
 ) -> DataFrame:
-    """Checks of the history, version, settings and key tables, one row each."""
+    """Checks of the history, version, settings and key tables, one row each.
+
+    Settings documents are judged in ``tasks`` tasks, see ``settings.validate``.
+    """
     n_bytes = F.sum(F.octet_length("standup_text"))
     history_facts = rows.agg(
         F.count("*").alias("n"), F.coalesce(n_bytes, F.lit(0)).alias("n_bytes")
     )
     version = history.highest_version(versions)
     current = F.when(F.col("version") == latest, "pass").otherwise("warn")
-    valid = settings.validate(documents).agg(
+    valid = settings.validate(documents, tasks=tasks).agg(
         F.count("*").alias("n"), F.count_if(~F.col("is_valid")).alias("bad")
     )
     formats = keys.agg(

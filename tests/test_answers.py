@@ -280,6 +280,43 @@ def test_blocks_of_another_type(spark):
     }
 
 
+def test_rules_fit_methods_that_hotspot_compiles(spark):
+    number = F.col("id").cast("string")
+    text = F.concat(F.lit(json.dumps(GOOD)[:-1] + ', "other": '), number, F.lit("}"))  # no constant
+    documents = spark.range(40).select(text.alias("settings"))
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # the final plan without a run
+    try:
+        counted = settings.validate(documents).agg(F.count_if("is_valid"))
+        plan = counted._jdf.queryExecution().executedPlan()
+        debug = getattr(getattr(spark._jvm.org.apache.spark.sql.execution.debug, "package$"), "MODULE$")
+        stages = debug.codegenStringSeq(plan)
+        sizes = [stages.apply(i)._3().maxMethodCodeSize() for i in range(stages.length())]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    assert 0 < max(sizes) < 8000  # longer methods stay interpreted, at every row
+
+
+def test_entries_and_templates_in_doubt(spark):
+    bad = "repos: each entry must be a non-empty string."
+    repos = [
+        (["/a", "b,c", ",", "[x", 'q"', "é", "a\\b", "\u200b"], 0), (["\u00a0"], 1), (["a", "\x1f"], 1), (["a", None], 1),
+        (["a", [""]], 1), ([["a"]], 1), (["a", {"b": "c"}], 1), ([1, True, "a", "\u3000"], 3), ([], 0), (["", ""], 2),
+    ]
+    bodies = [
+        "{today}{date}", "{today}}", "{{today}", "{today} {x}", "{today", "}{today}", "{today:>3}", "{Today}", "a{provider}b",
+        "{today}" + "x" * 1993, "{today}" + "x" * 1994, " ", "", "plain", "{tod{today}ay}", "{{today}}", "\u00a0{time}\n",
+    ]
+    rows = [(i, json.dumps({**GOOD, "repos": r})) for i, (r, _) in enumerate(repos)]
+    rows += [(len(repos) + i, json.dumps({**GOOD, "custom_templates": {"t": b}})) for i, b in enumerate(bodies)]
+    got = {r.scope: r.errors for r in settings.validate(spark.createDataFrame(rows, "scope int, settings string")).collect()}
+    assert [got[i] for i in range(len(repos))] == [[bad] * n for _, n in repos]
+    told = [got[len(repos) + i] for i in range(len(bodies))]
+    problems = spark.createDataFrame(list(enumerate(bodies)), "i int, b string").select("i", ft.template_error("b").alias("p")).collect()
+    assert told == [[f"custom_templates: custom_templates.t: {r.p}"] if r.p else [] for r in sorted(problems)]
+    assert [i for i, e in enumerate(told) if not e] == [0, 5, 8, 9, 14, 16]
+
+
 def test_layered_settings(spark):
     rows = [
         ("tone", "casual", 0), ("rate.cooldown", "30", 0), ("rate.cap", "10", 0), ("key", "", 0),
